@@ -11,12 +11,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import fixed_values as fv
 from ..functions import display
 from ..functions.text import normalize
+from ..operators.shuffle import spread
+from ..session import stored
 
 WS = fv.WHITESPACE
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in TEXT_TABLES else found
 
 
 # ----------------------------------------------------------------- SQL spellings
@@ -102,7 +108,8 @@ def search_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     paired = vectors.join(following, "vec_id", "left").select(
         F.col("vec_id").alias("record_id"), F.col("embedding").alias("full_vec"),
         F.coalesce("next", "embedding").alias("title_vec"))
-    return part_records(spark, sf_dir).withColumn("combined_text", display.combined_text()).join(paired, "record_id")
+    rows = part_records(spark, sf_dir).join(paired, "record_id")
+    return stored(rows.withColumn("combined_text", display.combined_text()), "records")
 
 
 def search_questions(spark: SparkSession, sf_dir: str) -> DataFrame:

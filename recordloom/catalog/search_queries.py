@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.text import normalize
@@ -10,6 +10,7 @@ from ..operators import fusion, lexical
 from ..operators.dense import dense_topk, unit
 from ..plans import search
 from ..plans.reports import evaluate_rankings
+from ..session import stored
 from .common import (SQL_RANKED, SQL_SEARCH, search_questions, search_records, sql_bm25, sql_normalize, sql_top, table)
 from .text_queries import LATIN_INTENTS, LATIN_PATTERNS, LATIN_REQUESTS, _sql_any, _SQL_INTENT
 
@@ -55,7 +56,7 @@ def dense_nearest(spark, sf_dir):
 
 
 def _asked(spark, sf_dir):
-    return search_questions(spark, sf_dir).withColumn("q", normalize(F.col("question")))
+    return stored(search_questions(spark, sf_dir).withColumn("q", normalize(F.col("question"))), "questions")
 
 
 def hybrid_topk(spark, sf_dir):
@@ -91,7 +92,8 @@ def related_titles(spark, sf_dir):
 
 
 def _classified(spark, sf_dir):
-    return search.classify_questions(search_questions(spark, sf_dir), LATIN_INTENTS, LATIN_REQUESTS, LATIN_PATTERNS)
+    rows = search.classify_questions(search_questions(spark, sf_dir), LATIN_INTENTS, LATIN_REQUESTS, LATIN_PATTERNS)
+    return stored(rows, "questions")
 
 
 def _replies(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions.text import lexical_tokens
-from .shuffle import broadcast_if_small, top_per_group
+from .shuffle import BROADCAST_BYTES, measured_bytes, top_per_group
 
 # No token is empty, so the empty token can stand for the document itself.
 _DOCUMENT = ""
@@ -63,7 +63,9 @@ def score_pairs(docs: DataFrame, doc_id: str, text: str, questions: DataFrame, q
     wanted = question_tokens(questions, query_id, question)
     spark = docs.sparkSession
     marker = spark.createDataFrame([(_DOCUMENT,)], "token string")
-    vocabulary = broadcast_if_small(wanted.select("token").distinct().unionByName(marker))
+    small = measured_bytes(wanted) <= BROADCAST_BYTES
+    fit = F.broadcast if small else (lambda df: df)
+    vocabulary = fit(wanted.select("token").distinct().unionByName(marker))
     terms = matched_terms(docs, doc_id, text, vocabulary)
 
     corpus = terms.filter(F.col("token") == _DOCUMENT).agg(
@@ -77,24 +79,26 @@ def score_pairs(docs: DataFrame, doc_id: str, text: str, questions: DataFrame, q
     best = weights.groupBy("query_id").agg((F.sum("idf") * (k1 + 1.0)).alias("best"))
     asked = (weights.filter(F.col("df").isNotNull()).join(best, "query_id")
              .select("query_id", "token", (F.col("idf") * (k1 + 1.0) / F.col("best")).alias("w")))
-    # `asked` has at most the rows of `wanted`, which is measured here in its place.
-    asked = F.broadcast(asked) if _fits(wanted) else asked
+    # `asked` has at most the rows of `wanted`, whose size was measured.
+    asked = fit(asked)
     part = F.col("w") * F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("len") / avg_len))
     return (real.join(asked, "token")
             .groupBy("doc_id", "query_id").agg(F.sum(part).alias("sparse")))
 
 
-def _fits(wanted: DataFrame) -> bool:
-    from .shuffle import BROADCAST_BYTES, measured_bytes
-    return measured_bytes(wanted) <= BROADCAST_BYTES
-
-
 def bm25_topk(docs: DataFrame, doc_id: str, text: str, questions: DataFrame, query_id: str,
-              question: str, k: int = fv.CHANNEL_DEPTH) -> DataFrame:
+              question: str, k: int = fv.CHANNEL_DEPTH, also: DataFrame | None = None) -> DataFrame:
     """W2, sparse channel: the `k` best documents per question, ranked from 1.
 
-    Scores equal to nine digits are ties and go to the smaller document id.
+    Scores equal to nine digits are ties and go to the smaller document id.  Pairs named
+    by `also` are reported with their score even when they rank lower, with a NULL rank.
     """
     scores = score_pairs(docs, doc_id, text, questions, query_id, question)
-    return top_per_group(scores, ["query_id"],
+    best = top_per_group(scores, ["query_id"],
                          [F.round("sparse", SCORE_DIGITS).desc(), F.col("doc_id").asc()], k)
+    if also is None:
+        return best
+    named = (scores.join(also.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+             .withColumn("rank", F.lit(None).cast("int")))
+    return (best.unionByName(named).groupBy("query_id", "doc_id")
+            .agg(F.max("sparse").alias("sparse"), F.max("rank").alias("rank")))

@@ -22,6 +22,16 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataF
     return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of a few splits dealt out over all cores; larger scans are left as they are.
+
+    Only meant for stored tables with heavy per-row work: a small file is one split,
+    however many cores wait.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
                   rank: str = "rank") -> DataFrame:
     """The first `k` rows of each group with their rank from 1.

@@ -11,7 +11,8 @@ from ..functions.text import normalize
 from ..operators.dense import dense_topk, dot, hybrid_vector
 from ..operators.fusion import (prefer_title, question_mode, related_titles, request_mode,
                                 rrf_fuse, secondary)
-from ..operators.lexical import bm25_topk, score_pairs
+from ..operators.lexical import bm25_topk
+from ..session import stored
 
 
 def with_combined_text(records: DataFrame) -> DataFrame:
@@ -30,27 +31,33 @@ def classify_questions(questions: DataFrame, keywords=None, phrases=None, patter
 
 
 def rank_candidates(records: DataFrame, questions: DataFrame, depth: int = fv.CHANNEL_DEPTH) -> DataFrame:
-    """`(query_id, doc_id, rank, rrf, rank_d, rank_s)` from both channels.
+    """`(query_id, doc_id, rank, rrf, rank_d, rank_s, sparse)` from both channels.
 
     Records: `record_id`, `combined_text`, `full_vec`, `title_vec`.  Questions:
     `query_id`, `q`, `query_vec`.  Only documents sharing a token enter the sparse
-    channel.
+    channel.  Both channel lists are written out: a corpus is scanned once per channel,
+    however often the short lists are used.
     """
-    dense = dense_topk(records, "record_id", hybrid_vector(), questions, "query_id", "query_vec", depth)
-    sparse = bm25_topk(records, "record_id", "combined_text", questions, "query_id", "q", depth)
-    return rrf_fuse(dense, sparse)
+    dense = stored(dense_topk(records, "record_id", hybrid_vector(), questions, "query_id",
+                              "query_vec", depth), "dense")
+    sparse = stored(bm25_topk(records, "record_id", "combined_text", questions, "query_id", "q",
+                              depth, also=dense), "sparse")
+    fused = rrf_fuse(dense, sparse.filter(F.col("rank").isNotNull()))
+    return (fused.join(sparse.drop("rank"), ["query_id", "doc_id"], "left")
+            .withColumn("sparse", F.coalesce("sparse", F.lit(0.0))))
 
 
 def scored_candidates(records: DataFrame, questions: DataFrame, ranked: DataFrame) -> DataFrame:
-    """The candidates with their dense score, title and full vector.
+    """The candidates with their dense score, title and full vector, written out.
 
-    At most two channel depths per question, so this joins a short list to the records.
+    At most two channel depths per question are joined to the records.
     """
     facts = records.select(F.col("record_id").alias("doc_id"), "job_title", "full_vec",
                            hybrid_vector().alias("_mix"))
     asked = questions.select("query_id", "q", "is_request", "query_vec")
-    return (ranked.join(facts, "doc_id").join(asked, "query_id")
-            .withColumn("dense", dot(F.col("_mix"), F.col("query_vec"))).drop("_mix", "query_vec"))
+    scored = (facts.join(ranked, "doc_id").join(asked, "query_id")
+              .withColumn("dense", dot(F.col("_mix"), F.col("query_vec"))).drop("_mix", "query_vec"))
+    return stored(scored, "candidates")
 
 
 def decide(records: DataFrame, questions: DataFrame, replies: DataFrame | None = None,
@@ -69,13 +76,12 @@ def decide(records: DataFrame, questions: DataFrame, replies: DataFrame | None =
     ordered = (prefer_title(tied, "q", "job_title", **gates.get("title", {}))
                .unionByName(scored.filter("is_request")))
     leaders = ordered.filter(F.col("rank") == 1).select(
-        "query_id", F.col("doc_id").alias("doc_id1"), F.col("dense").alias("dense1"))
+        "query_id", F.col("doc_id").alias("doc_id1"), F.col("dense").alias("dense1"),
+        F.col("sparse").alias("sparse1"))
     second = secondary(ordered, "full_vec", **gates.get("secondary", {}))
     related = related_titles(ordered, "job_title")
     led = leaders.join(second, "query_id", "left").join(related, "query_id", "left")
-    sparse = leader_sparse(records, questions, leaders)
-    rows = (questions.drop("query_vec").join(led, "query_id").join(sparse, "query_id", "left")
-            .withColumn("sparse1", F.coalesce("sparse1", F.lit(0.0)))
+    rows = (questions.drop("query_vec").join(led, "query_id")
             .withColumn("explicit", is_combination(F.col("q"), gates.get("phrases", fv.COMBINATION_PHRASES))))
     if replies is None:
         rows = rows.withColumn("reply", F.lit(None).cast("string"))
@@ -94,18 +100,6 @@ def decide(records: DataFrame, questions: DataFrame, replies: DataFrame | None =
             .drop("_w", "drafted", "reply"))
 
 
-def leader_sparse(records: DataFrame, questions: DataFrame, leaders: DataFrame) -> DataFrame:
-    """`(query_id, sparse1)`: the leader's own lexical score.
-
-    It is looked up in the pair scores, whose plan (and shuffle) the sparse channel
-    already holds.
-    """
-    scores = score_pairs(records, "record_id", "combined_text", questions, "query_id", "q")
-    wanted = leaders.select("query_id", F.col("doc_id1").alias("doc_id"))
-    return (scores.join(wanted, ["query_id", "doc_id"])
-            .select("query_id", F.col("sparse").alias("sparse1")))
-
-
 def answer_batch(records: DataFrame, questions: DataFrame, replies: DataFrame | None = None,
                  depth: int = fv.CHANNEL_DEPTH, gates: dict | None = None) -> DataFrame:
     """One answer row per question.

@@ -71,7 +71,7 @@ if __name__ == "__main__":
     from recordloom.session import configure
     sf = sys.argv[1]
     wanted = sys.argv[2:]
-    spark = configure(SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+    spark = configure(SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
                       .config("spark.driver.memory", "8g").config("spark.sql.shuffle.partitions", "8")).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
