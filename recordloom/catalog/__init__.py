@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "search_queries")
+MODULES = ("text_queries", "search_queries", "profile_queries", "corpus_queries")
 
 
 def _merged(name: str) -> dict:

@@ -11,13 +11,11 @@ where two words meet when either is a prefix of the other.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions.text import cell_items, item_tokens, normalize
-from .shuffle import broadcast_if_small
+from .shuffle import BROADCAST_BYTES
 
 WHOLE, PREFIX = 0, 1
 
@@ -75,20 +73,28 @@ class ProfileIndex:
         words = item_tokens(F.col("item")) if words is None else words
         self.items = (profiles.withColumn("words", F.sort_array(words))
                       .withColumn("form", F.array_join("words", " ")))
+        # One look at the items bounds every table made of them: a word of n characters
+        # has at most n prefixes.
+        length = lambda w: F.char_length(w)
+        squares = F.aggregate("words", F.lit(0).cast("long"), lambda s, w: s + 4 * length(w) * length(w) + 64)
+        seen = self.items.agg(
+            F.max(F.array_max(F.transform("words", length))).alias("longest"),
+            F.sum(squares).alias("probes"),
+            F.sum((F.octet_length("item") * 2 + 96) * (F.size("words") + 1)).alias("forms")).first()
+        self.longest = seen["longest"] or 0
+        fit = lambda df, size: F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
+        self.fit = lambda df: fit(df, seen["forms"])
+
         forms = self.items.filter(F.size("words") > 0).select("field", "form", "words").distinct()
-        self.forms = forms
         word_rows = forms.select("field", F.explode("words").alias("word")).distinct()
-        self.longest = word_rows.agg(F.max(F.char_length("word")).alias("n")).first()["n"] or 0
-        own = word_rows.select("field", "word", F.col("word").alias("probe"), F.lit(PREFIX).alias("kind"))
-        shorter = F.filter(_leading(F.col("word"), F.lit(self.longest)), lambda p: p != F.col("word"))
-        parts = word_rows.select("field", "word", F.explode(shorter).alias("probe"), F.lit(WHOLE).alias("kind"))
-        self.probes = broadcast_if_small(own.unionByName(parts))
+        prefixes = F.transform(_leading(F.col("word"), F.lit(self.longest)), lambda p: F.struct(
+            p.alias("probe"), F.when(p == F.col("word"), PREFIX).otherwise(WHOLE).alias("kind")))
+        self.probes = fit(word_rows.select("field", "word", F.explode(prefixes).alias("p"))
+                          .select("field", "word", "p.probe", "p.kind"), seen["probes"])
         # The words of one item are the residual test; the longest stands for the item.
-        anchor = F.array_max(F.transform("words", lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))
-        self.by_anchor = broadcast_if_small(forms.select(
-            "field", "form", "words", anchor.getField("w").alias("word")))
-        self.by_word = broadcast_if_small(forms.select(
-            "field", "form", "words", F.explode("words").alias("word")))
+        anchor = F.array_max(F.transform("words", lambda w: F.struct(length(w).alias("n"), w.alias("w"))))
+        self.by_anchor = self.fit(forms.select("field", "form", "words", anchor.getField("w").alias("word")))
+        self.by_word = self.fit(forms.select("field", "form", "words", F.explode("words").alias("word")))
 
     def met_words(self, rows: DataFrame, word: str) -> DataFrame:
         """`rows` joined to each profile word that its column `word` meets (`met`)."""
@@ -150,7 +156,7 @@ def coverage_ratios(records: DataFrame, doc_id: str, profiles: DataFrame, index:
     # How many items of the profile share one form (and are therefore covered together).
     shared = (index.items.groupBy("profile_id", "field", "form").agg(F.count(F.lit(1)).alias("n"))
               .join(totals, "profile_id"))
-    hits = covered_forms(records, doc_id, index, fields).join(broadcast_if_small(shared), ["field", "form"])
+    hits = covered_forms(records, doc_id, index, fields).join(index.fit(shared), ["field", "form"])
     return (hits.groupBy("doc_id", "profile_id")
             .agg(F.sum("n").alias("n_matched"), F.max("n_items").alias("n_items"))
             .select("doc_id", "profile_id", "n_matched",

@@ -13,6 +13,7 @@ from .. import fixed_values as fv
 from .shuffle import number_rows, top_per_group
 
 BLOCK_ROWS = 4096
+SCAN_ROWS = 1024
 SCORE_DIGITS = 9
 
 
@@ -52,39 +53,73 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _scanner(query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """A partition scan keeping the `k` best records per question."""
+class _Best:
+    """The `k` best records per question seen so far, as (question x candidate) arrays."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.scores, self.ids = np.empty((n, 0)), np.empty((n, 0), dtype=np.int64)
+        self.dense = np.empty((n, 0))
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, dense: np.ndarray) -> None:
+        self.scores = np.hstack([self.scores, scores])
+        self.ids = np.hstack([self.ids, np.broadcast_to(ids, scores.shape)])
+        self.dense = np.hstack([self.dense, dense])
+        if self.scores.shape[1] > self.k:
+            self._cut()
+
+    def _cut(self) -> None:
+        """Equal scores (nine digits) go to the smaller id."""
+        rounded = np.round(self.scores, SCORE_DIGITS)
+        limit = -np.partition(-rounded, self.k - 1, axis=1)[:, self.k - 1]
+        pick = np.empty((len(rounded), self.k), dtype=np.int64)
+        for row in range(len(rounded)):
+            near = np.flatnonzero(rounded[row] >= limit[row])
+            pick[row] = near[np.lexsort((self.ids[row, near], -rounded[row, near]))[:self.k]]
+        self.scores, self.ids, self.dense = (
+            np.take_along_axis(a, pick, axis=1) for a in (self.scores, self.ids, self.dense))
+
+
+def _bonus_matrix(column: pa.ListArray, query_ids: np.ndarray) -> np.ndarray:
+    """The per-record lists of (question, value) as a (question x record) matrix."""
+    out = np.zeros((len(query_ids), len(column)))
+    flat = column.flatten()
+    counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    rows = np.repeat(np.arange(len(column)), counts)
+    asked = flat.field(0).to_numpy(zero_copy_only=False)
+    slots = np.minimum(np.searchsorted(query_ids, asked), len(query_ids) - 1)
+    here = query_ids[slots] == asked
+    out[slots[here], rows[here]] = flat.field(1).to_numpy(zero_copy_only=False)[here]
+    return out
+
+
+def _scanner(query_ids: np.ndarray, queries: np.ndarray, k: int, weights: tuple[float, float] | None):
+    """A partition scan keeping the `k` best records per question.
+
+    With `weights` the score is `weights[0] * dense + weights[1] * bonus`, the bonus
+    coming from a third column.
+    """
+    order = np.argsort(query_ids)
+    query_ids, queries = query_ids[order], queries[order]
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(query_ids)
-        scores, ids = np.empty((n, 0)), np.empty((n, 0), dtype=np.int64)
+        best = _Best(len(query_ids), k)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            fresh = queries @ _matrix(batch.column(1)).T
-            doc_ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            scores = np.hstack([scores, fresh])
-            ids = np.hstack([ids, np.broadcast_to(doc_ids, fresh.shape)])
-            if scores.shape[1] > k:
-                scores, ids = _keep_best(scores, ids, k)
-        if scores.shape[1]:
+            for start in range(0, batch.num_rows, SCAN_ROWS):
+                part = batch.slice(start, SCAN_ROWS)
+                dense = queries @ _matrix(part.column(1)).T
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                scores = dense if weights is None else (
+                    weights[0] * dense + weights[1] * _bonus_matrix(part.column(2), query_ids))
+                best.add(scores, ids, dense)
+        if best.ids.shape[1]:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(query_ids, scores.shape[1])), pa.array(ids.ravel()),
-                 pa.array(scores.ravel())], names=["query_id", "doc_id", "dense"])
+                [pa.array(np.repeat(query_ids, best.ids.shape[1])), pa.array(best.ids.ravel()),
+                 pa.array(best.dense.ravel()), pa.array(best.scores.ravel())],
+                names=["query_id", "doc_id", "dense", "score"])
     return scan
 
 
-def _keep_best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `k` best columns per row; equal scores (nine digits) go to the smaller id."""
-    rounded = np.round(scores, SCORE_DIGITS)
-    cut = -np.partition(-rounded, k - 1, axis=1)[:, k - 1]
-    out_s, out_i = np.empty((len(scores), k)), np.empty((len(scores), k), dtype=np.int64)
-    for row in range(len(scores)):
-        near = np.flatnonzero(rounded[row] >= cut[row])
-        pick = near[np.lexsort((ids[row, near], -rounded[row, near]))[:k]]
-        out_s[row], out_i[row] = scores[row, pick], ids[row, pick]
-    return out_s, out_i
-
-
 def _blocks(questions: DataFrame, block_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The questions in blocks of at most `block_rows` rows."""
     first = questions.limit(block_rows + 1).toArrow()
@@ -102,22 +137,28 @@ def _blocks(questions: DataFrame, block_rows: int) -> Iterator[tuple[np.ndarray,
 
 def dense_topk(records: DataFrame, doc_id: str, vector: Column, questions: DataFrame,
                query_id: str, query_vector: str, k: int = fv.CHANNEL_DEPTH,
+               bonus: Column | None = None, weights: tuple[float, float] | None = None,
                block_rows: int = BLOCK_ROWS) -> DataFrame:
     """J9 + W2, dense channel: the `k` records nearest to each question, ranked from 1.
 
     The record vectors are scanned where they lie.  Each task multiplies its Arrow
     batches with a question block of bounded size and hands on `k` rows per question;
     more questions mean more blocks, never a larger broadcast.
+
+    `bonus`, an array of struct(query_id, value) per record, is blended in by `weights`;
+    the result then has `score` beside `dense`.
     """
-    corpus = records.select(F.col(doc_id).cast("long").alias("doc_id"), vector.alias("vec"))
+    columns = [F.col(doc_id).cast("long").alias("doc_id"), vector.alias("vec")]
+    corpus = records.select(*columns, *([] if bonus is None else [bonus.alias("bonus")]))
     asked = questions.select(F.col(query_id).cast("long").alias("query_id"),
                              F.col(query_vector).alias("vec"))
-    schema = "query_id long, doc_id long, dense double"
-    scans = [corpus.mapInArrow(_scanner(ids, matrix, k), schema)
+    schema = "query_id long, doc_id long, dense double, score double"
+    scans = [corpus.mapInArrow(_scanner(ids, matrix, k, weights), schema)
              for ids, matrix in _blocks(asked, block_rows)]
     if not scans:
         found = corpus.sparkSession.createDataFrame([], schema)
     else:
         found = reduce(DataFrame.unionByName, scans)
-    return top_per_group(found, ["query_id"],
-                         [F.round("dense", SCORE_DIGITS).desc(), F.col("doc_id").asc()], k)
+    best = top_per_group(found, ["query_id"],
+                         [F.round("score", SCORE_DIGITS).desc(), F.col("doc_id").asc()], k)
+    return best if weights else best.drop("score")

@@ -68,21 +68,21 @@ def score_pairs(docs: DataFrame, doc_id: str, text: str, questions: DataFrame, q
     vocabulary = fit(wanted.select("token").distinct().unionByName(marker))
     terms = matched_terms(docs, doc_id, text, vocabulary)
 
-    corpus = terms.filter(F.col("token") == _DOCUMENT).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avg_len"))
-    n_docs, avg_len = corpus.select("n").scalar(), corpus.select("avg_len").scalar()
-    real = terms.filter(F.col("token") != _DOCUMENT)
-    lexicon = real.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # Both uses of `terms` need the same columns and filter nothing, so that Spark reuses
+    # the one shuffle: the texts are read and tokenised once.
+    lexicon = terms.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.avg("len").alias("avg_len"))
+    of_all = lambda c: F.coalesce(F.max(F.when(F.col("token") == _DOCUMENT, F.col(c))), F.lit(1.0))
+    n_docs = lexicon.agg(of_all("df").alias("n")).scalar()
+    avg_len = lexicon.agg(of_all("avg_len").alias("avg_len")).scalar()
     weights = (wanted.join(lexicon, "token", "left")
                .select("query_id", "token", "df",
                        _idf(n_docs, F.coalesce("df", F.lit(0))).alias("idf")))
     best = weights.groupBy("query_id").agg((F.sum("idf") * (k1 + 1.0)).alias("best"))
-    asked = (weights.filter(F.col("df").isNotNull()).join(best, "query_id")
-             .select("query_id", "token", (F.col("idf") * (k1 + 1.0) / F.col("best")).alias("w")))
     # `asked` has at most the rows of `wanted`, whose size was measured.
-    asked = fit(asked)
+    asked = fit(weights.join(best, "query_id")
+                .select("query_id", "token", (F.col("idf") * (k1 + 1.0) / F.col("best")).alias("w")))
     part = F.col("w") * F.col("tf") / (F.col("tf") + k1 * (1.0 - b + b * F.col("len") / avg_len))
-    return (real.join(asked, "token")
+    return (terms.join(asked, "token")
             .groupBy("doc_id", "query_id").agg(F.sum(part).alias("sparse")))
 
 

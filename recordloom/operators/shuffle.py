@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import pinned
 
@@ -12,9 +14,15 @@ _LOCAL_BITS = (1 << 33) - 1
 
 
 def measured_bytes(df: DataFrame) -> int:
-    """An upper estimate of the size of `df`, from one distributed aggregate."""
-    width = F.octet_length(F.to_json(F.struct("*"))) + 16 + 8 * len(df.columns)
-    return df.select(width.alias("b")).agg(F.sum("b")).first()[0] or 0
+    """The size of the rows of `df`, near enough, from one distributed aggregate."""
+    def width(field):
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.octet_length(F.to_json(F.struct(field.name))) + 16
+        return F.lit(16)
+    total = reduce(lambda a, b: a + b, (width(f) for f in df.schema.fields), F.lit(16))
+    return df.agg(F.sum(total)).first()[0] or 0
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:

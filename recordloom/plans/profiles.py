@@ -9,8 +9,7 @@ from ..functions import display
 from ..functions.text import normalize
 from ..operators.coverage import (ProfileIndex, clean_profiles, coverage_fields, coverage_ratios,
                                   profile_fields)
-from ..operators.dense import SCORE_DIGITS, dense_topk, dot
-from ..operators.shuffle import broadcast_if_small, top_per_group
+from ..operators.dense import SCORE_DIGITS, dense_topk
 
 
 def profile_queries(profiles: DataFrame) -> DataFrame:
@@ -27,25 +26,23 @@ def profile_rank(records: DataFrame, profiles: DataFrame, vectors: DataFrame, in
     Records carry `record_id`, `full_vec` and the list cells; `profiles` are cleaned
     rows; `vectors` is `(profile_id, query_vec)`.
 
-    A record covering nothing can only be among the best by its dense score, so the
-    records above zero coverage and the `top` nearest ones together hold the answer
-    exactly; no record-by-profile table is formed.
+    Coverage reaches the vector scan as a short list per record, so every record takes
+    part with both halves of its score and no record-by-profile table is formed.
     """
     index = index or ProfileIndex(profiles)
     asked = vectors.join(profiles.select("profile_id").distinct(), "profile_id", "left_semi")
-    nearest = (dense_topk(records, "record_id", F.col("full_vec"), asked, "profile_id", "query_vec", top)
-               .select(F.col("query_id").alias("profile_id"), "doc_id", "dense", F.lit(0.0).alias("coverage")))
     covered = coverage_ratios(records, "record_id", profiles, index)
-    held = records.select(F.col("record_id").alias("doc_id"), "full_vec")
-    blended = (covered.join(held, "doc_id").join(broadcast_if_small(asked), "profile_id")
-               .select("profile_id", "doc_id", dot(F.col("full_vec"), F.col("query_vec")).alias("dense"), "coverage"))
-    score = w_dense * F.col("dense") + w_cover * F.col("coverage")
-    order = [F.round("score", SCORE_DIGITS).desc(), F.col("doc_id").asc()]
-    best = top_per_group(blended.withColumn("score", score), ["profile_id"], order, top).drop("rank", "score")
-    # A record may be in both lists; the one that knows its coverage holds the higher value.
-    merged = best.unionByName(nearest).groupBy("profile_id", "doc_id").agg(
-        F.max("dense").alias("dense"), F.max("coverage").alias("coverage"))
-    return top_per_group(merged.withColumn("score", score), ["profile_id"], order, top)
+    per_record = covered.groupBy(F.col("doc_id").alias("record_id")).agg(
+        F.collect_list(F.struct(F.col("profile_id").cast("long").alias("query_id"),
+                                F.col("coverage").alias("value"))).alias("bonus"))
+    held = records.select("record_id", "full_vec").join(per_record, "record_id", "left")
+    none = F.array().cast("array<struct<query_id:bigint,value:double>>")
+    best = dense_topk(held, "record_id", F.col("full_vec"), asked, "profile_id", "query_vec", top,
+                      F.coalesce("bonus", none), (w_dense, w_cover))
+    # The blend is linear, so the covered share follows from it.
+    cover = F.round((F.col("score") - w_dense * F.col("dense")) / w_cover, SCORE_DIGITS)
+    return best.select(F.col("query_id").alias("profile_id"), "doc_id", "dense",
+                       cover.alias("coverage"), "score", "rank")
 
 
 def open_profiles(ranked: DataFrame, dense_only: float = fv.PROFILE_DENSE_ONLY) -> DataFrame:
