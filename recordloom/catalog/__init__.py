@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "search_queries", "profile_queries", "corpus_queries")
+MODULES = ("text_queries", "search_queries", "profile_queries", "corpus_queries",
+           "tenancy_queries", "budget_queries", "report_queries")
 
 
 def _merged(name: str) -> dict:

@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(found) if name in TEXT_TABLES else found
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """An intermediate table written once, read by all cores."""
+    return spread(stored(df, label))
+
+
 # ----------------------------------------------------------------- SQL spellings
 def sql_squeeze(x: str) -> str:
     return f"trim(regexp_replace({x}, '[{WS}]+', ' ', 'g'))"
@@ -109,7 +114,7 @@ def search_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("record_id"), F.col("embedding").alias("full_vec"),
         F.coalesce("next", "embedding").alias("title_vec"))
     rows = part_records(spark, sf_dir).join(paired, "record_id")
-    return stored(rows.withColumn("combined_text", display.combined_text()), "records")
+    return kept(rows.withColumn("combined_text", display.combined_text()), "records")
 
 
 def search_questions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from .. import fixed_values as fv
 from ..operators import coverage, lists, validate
 from ..plans import profiles as P
 from ..session import stored
-from .common import part_records, SQL_PART_RECORDS, table
+from .common import SQL_PART_RECORDS, kept, part_records, table
 
 
 def _order_records(spark, sf_dir):
@@ -48,7 +48,7 @@ def _profile_vectors(spark, sf_dir):
 
 
 def _inputs(spark, sf_dir):
-    return stored(_order_records(spark, sf_dir), "orders"), stored(
+    return kept(_order_records(spark, sf_dir), "orders"), stored(
         coverage.clean_profiles(_size_profiles(spark, sf_dir)), "profiles"), _profile_vectors(spark, sf_dir)
 
 
