@@ -235,13 +235,13 @@ roles AS (SELECT c_custkey, CASE WHEN c_custkey IN (SELECT k FROM root) THEN 'su
     WHEN c_custkey IN (SELECT k FROM heads) THEN 'unit_admin'
     WHEN c_custkey IN (SELECT k FROM chiefs) THEN 'org_admin' ELSE 'user' END AS role FROM customer),
 users AS (SELECT c.c_custkey AS id, c_name AS username, role, c_acctbal >= 0 AS is_active,
-    CASE WHEN role = 'org_admin' THEN n_regionkey END AS organization_id,
-    CASE WHEN role IN ('unit_admin', 'user') THEN c_nationkey END AS unit_id,
+    CASE WHEN role = 'org_admin' THEN n_regionkey::BIGINT END AS organization_id,
+    CASE WHEN role IN ('unit_admin', 'user') THEN c_nationkey::BIGINT END AS unit_id,
     (SELECT min(o_orderdate) FROM orders WHERE o_custkey = c.c_custkey) AS created_at
   FROM customer c JOIN roles USING (c_custkey) JOIN nation ON n_nationkey = c_nationkey),
-units AS (SELECT n_nationkey AS id, n_name AS name, n_regionkey AS organization_id,
+units AS (SELECT n_nationkey::BIGINT AS id, n_name AS name, n_regionkey::BIGINT AS organization_id,
     (SELECT min(created_at) FROM users WHERE unit_id = n_nationkey) AS created_at FROM nation),
-orgs AS (SELECT r_regionkey AS id, r_name AS name,
+orgs AS (SELECT r_regionkey::BIGINT AS id, r_name AS name,
     (SELECT min(created_at) FROM units WHERE organization_id = r_regionkey) AS created_at FROM region),
 jobs AS (SELECT o_orderkey AS id, o_custkey AS suggested_by,
     CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN 'approved' ELSE 'rejected' END AS status,

@@ -116,7 +116,7 @@ _SPLIT = f"[{fv.WHITESPACE}{fv.ITEM_SEPARATORS}]+"
 _WORDS = lambda x: f"list_distinct(list_filter(regexp_split_to_array(lower({x}), '{_SPLIT}'), lambda t: length(t) >= {fv.TOKEN_MIN}))"
 
 _SQL_PROFILES = """
-raw AS (SELECT p_size AS profile_id, 'skills' AS field, 1 AS field_no, p_partkey AS pos, p_name AS item FROM part
+raw AS (SELECT p_size::BIGINT AS profile_id, 'skills' AS field, 1 AS field_no, p_partkey AS pos, p_name AS item FROM part
   UNION ALL SELECT p_size, 'knowledge', 2, p_partkey, p_type FROM part
   UNION ALL SELECT p_size, 'work_context', 5, p_partkey, p_type || '/' || list_extract(string_split(p_name, ' '), -1) FROM part),
 profiles AS (SELECT profile_id, field, field_no, min(pos) AS pos, arg_min(item, pos) AS item FROM raw

@@ -265,7 +265,7 @@ ORACLE = {
     "dense_topk": f"""
 WITH spread AS (SELECT label, generate_subscripts(embedding, 1) AS slot, unnest(embedding)::DOUBLE AS x FROM embeddings),
 means AS (SELECT label, slot, avg(x) AS x FROM spread GROUP BY label, slot),
-cents AS (SELECT label AS query_id, array_agg(x ORDER BY slot) AS v, sqrt(sum(x * x)) AS norm FROM means GROUP BY label),
+cents AS (SELECT label::BIGINT AS query_id, array_agg(x ORDER BY slot) AS v, sqrt(sum(x * x)) AS norm FROM means GROUP BY label),
 scored AS (SELECT query_id, vec_id AS doc_id, list_dot_product(embedding::DOUBLE[], v) / norm AS dense FROM cents, embeddings)
 SELECT query_id, doc_id, rank, round(dense, 6) AS score FROM {sql_top('scored', 'dense', DEEP)}""",
     "hybrid_topk": f"WITH {SQL_SEARCH} SELECT query_id, doc_id, rank, round(dense, 6) AS score "

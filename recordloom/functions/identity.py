@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
-from .text import fold_digits_latin, let, strip
+from .text import fold_digits_latin, WS, let, strip
 
 UNIT_MARK, GROUP_MARK = "\x1f", "\x1e"
 EXACT_DIGEST_BYTES = 256 * 1024 * 1024
@@ -68,7 +68,7 @@ def phone(c: Column) -> Column:
 
 def email(c: Column) -> Column:
     """struct(value, is_valid); the value is lower-cased."""
-    return _checked(F.lower(blank_to_null(c)), lambda v: v.rlike(fv.EMAIL_PATTERN.format(ws=fv.WHITESPACE)))
+    return _checked(F.lower(blank_to_null(c)), lambda v: v.rlike("(?U)" + fv.EMAIL_PATTERN.format(ws=WS)))
 
 
 def _checked(value: Column, test) -> Column:

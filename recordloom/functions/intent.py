@@ -32,7 +32,7 @@ def question_intent(q: Column, keywords=None, question_words=fv.QUESTION_WORDS,
                     marks=fv.QUESTION_MARKS, max_words: int = fv.BARE_NAME_MAX_WORDS) -> Column:
     """`detect_intent`, with a short bare name read as a request for a description."""
     found = detect_intent(q, keywords)
-    words = F.array_distinct(F.array_remove(F.split(q, f"[{WS}]+"), ""))
+    words = F.array_distinct(F.array_remove(F.split(q, f"(?U)[{WS}]+"), ""))
     asks = contains_any(q, marks) | F.arrays_overlap(
         words, F.array(*[F.lit(w) for w in question_words]))
     bare = (found == fv.DEFAULT_INTENT) & (F.size(words) <= max_words) & ~F.coalesce(asks, F.lit(False))

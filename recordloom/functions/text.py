@@ -8,7 +8,8 @@ from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fv
 
-WS = fv.WHITESPACE
+# The members of `fixed_values.WHITESPACE` as the JVM tests them fastest; needs `(?U)`.
+WS = "\\s\\x1c-\\x1f"
 _ESCAPED_BAR = "\\|"
 
 
@@ -19,17 +20,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column, extra: str = "") -> Column:
     """Trim every Unicode blank (plus the characters of `extra`, in regex class syntax)."""
-    return F.regexp_replace(c, f"^[{WS}{extra}]+|[{WS}{extra}]+$", "")
+    return F.regexp_replace(c, f"(?U)^[{WS}{extra}]+|[{WS}{extra}]+$", "")
 
 
 def squeeze(c: Column) -> Column:
     """Collapse runs of blanks to one space and trim."""
-    return F.trim(F.regexp_replace(c, f"[{WS}]+", " "))
+    return F.trim(F.regexp_replace(c, f"(?U)[{WS}]+", " "))
 
 
 def is_blank(c: Column) -> Column:
     """True for NULL, empty and blank-only cells."""
-    return F.coalesce(~c.rlike(f"[^{WS}]"), F.lit(True))
+    return F.coalesce(~c.rlike(f"(?U)[^{WS}]"), F.lit(True))
 
 
 def normalize(c: Column, normalizer=None) -> Column:
@@ -46,7 +47,7 @@ def strip_markdown(c: Column) -> Column:
     """unwrap bold, emphasis and code marks, drop heading marks wherever they stand."""
     for mark in (r"\*\*(.*?)\*\*", r"\*(.*?)\*", r"`(.*?)`"):
         c = F.regexp_replace(c, f"(?d){mark}", "$1")
-    return strip(F.regexp_replace(c, f"#{{1,6}}[{WS}]?", ""))
+    return strip(F.regexp_replace(c, f"(?U)#{{1,6}}[{WS}]?", ""))
 
 
 def parse_object(c: Column) -> Column:
@@ -75,7 +76,7 @@ def match_key(c: Column) -> Column:
 
 
 def bars_to_commas(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{WS}]*{_ESCAPED_BAR}[{WS}]*", f"{fv.PROSE_COMMA} ")
+    return F.regexp_replace(c, f"(?U)[{WS}]*{_ESCAPED_BAR}[{WS}]*", f"{fv.PROSE_COMMA} ")
 
 
 def repair_prose(c: Column) -> Column:
@@ -85,8 +86,8 @@ def repair_prose(c: Column) -> Column:
 
 def unify_separators(c: Column) -> Column:
     """commas of a list cell become bars, repeated bars collapse, ends are trimmed."""
-    spaced = F.regexp_replace(c, f"[{WS}]*[،,|][{WS}]*", fv.LIST_SEPARATOR)
-    single = F.regexp_replace(spaced, f"({_ESCAPED_BAR}[{WS}]*)+", "| ")
+    spaced = F.regexp_replace(c, f"(?U)[{WS}]*[،,|][{WS}]*", fv.LIST_SEPARATOR)
+    single = F.regexp_replace(spaced, f"(?U)({_ESCAPED_BAR}[{WS}]*)+", "| ")
     return F.regexp_replace(single, r"^[ |]+|[ |]+$", "")
 
 
@@ -114,20 +115,20 @@ def cell_items(field: str, c: Column, prose_whole: bool = True) -> Column:
 
 def title_tokens(c: Column, stop_words=fv.QUESTION_WORDS, min_chars: int = fv.TOKEN_MIN) -> Column:
     """content words of a question or title, case kept, question words removed."""
-    words = F.split(c, f"[{WS}{fv.TITLE_SEPARATORS}]+")
+    words = F.split(c, f"(?U)[{WS}{fv.TITLE_SEPARATORS}]+")
     return F.array_distinct(F.filter(
         words, lambda w: (F.char_length(w) >= min_chars) & ~w.isin(*stop_words)))
 
 
 def item_tokens(c: Column, min_chars: int = fv.TOKEN_MIN) -> Column:
     """lower-cased content words of one item, each once."""
-    words = F.split(F.lower(c), f"[{WS}{fv.ITEM_SEPARATORS}]+")
+    words = F.split(F.lower(c), f"(?U)[{WS}{fv.ITEM_SEPARATORS}]+")
     return F.array_distinct(F.filter(words, lambda w: F.char_length(w) >= min_chars))
 
 
 def lexical_tokens(c: Column) -> Column:
     """Lower-cased blank-separated tokens, repeats kept (the BM25 view of a text)."""
-    return F.array_remove(F.split(F.lower(c), f"[{WS}]+"), "")
+    return F.array_remove(F.split(F.lower(c), f"(?U)[{WS}]+"), "")
 
 
 def fold_digits_latin(c: Column) -> Column:
