@@ -1,3 +1,11 @@
 """recordloom: corpus building, hybrid search and scoped analytics over record tables, on Spark."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to the Python workers whole, so that executors need no
+# installed copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

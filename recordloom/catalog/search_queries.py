@@ -114,7 +114,7 @@ def mode_decision(spark, sf_dir):
     return _decided(spark, sf_dir).select(
         "query_id", "is_request", "intent", "mode", "reason", "doc_id1", "doc_id2", F.round("dense1", 6).alias("dense1"),
         F.round("sparse1", 6).alias("sparse1"), F.round("dense2", 6).alias("dense2"),
-        F.col("draft.job_title").alias("draft_title"), F.array_join("related", " / ").alias("related"))
+        F.col("draft")["job_title"].alias("draft_title"), F.array_join("related", " / ").alias("related"))
 
 
 def _answers(spark, sf_dir):

@@ -1,37 +1,47 @@
 """Records written out as text or as display structures.
 
-A record is passed as `rec`, a callable from column name to Column, so that the same
-functions serve flat tables, structs and drafts.
+A record is passed as its cells, a map from column name to text, so that the same
+functions serve tables, joined records and drafts, and every per-field rule is one lambda.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Mapping
 
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as fv
-from .text import bars_to_commas, cell_items, let, normalize, object_value, parse_object, strip
+from .text import bars_to_commas, let, list_items, normalize, object_value, parse_object, strip
 
-Record = Callable[[str], Column]
+_COMMA = f"{fv.PROSE_COMMA} "
 
 
-def record_struct(alias: str) -> Record:
-    """The record held in struct column `alias`."""
-    return lambda field: F.coalesce(F.col(alias)[field], F.lit(""))
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def flat(field: str) -> Column:
-    """The record spread over the columns of the table."""
-    return F.coalesce(F.col(field), F.lit(""))
+def strings(values) -> Column:
+    """A literal array of strings."""
+    return F.expr(f"array({', '.join(map(_quoted, values))})")
 
 
-def _label_map(labels) -> Column:
-    return F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+def _literal_map(values: Mapping[str, str]) -> Column:
+    return F.expr(f"map({', '.join(_quoted(x) for kv in values.items() for x in kv)})")
 
 
-def _value_map(rec: Record) -> Column:
-    return F.create_map(*[x for f in fv.RECORD_COLUMNS for x in (F.lit(f), rec(f))])
+def record_cells(struct: str | None = None) -> Column:
+    """The cells of the record in the columns of the table, or in one struct column."""
+    head = f"{struct}." if struct else ""
+    return F.expr("map(" + ", ".join(f"'{c}', coalesce({head}{c}, '')" for c in fv.RECORD_COLUMNS) + ")")
+
+
+def _cell(cells: Column, field) -> Column:
+    key = F.lit(field) if isinstance(field, str) else field
+    return F.coalesce(F.try_element_at(cells, key), F.lit(""))
+
+
+def _label(names: Column, field: Column) -> Column:
+    return F.coalesce(F.try_element_at(names, field), field)
 
 
 def _labelled(label: Column | str, value: Column) -> Column:
@@ -39,18 +49,23 @@ def _labelled(label: Column | str, value: Column) -> Column:
     return F.concat(label, F.lit(": "), value)
 
 
-def combined_text(rec: Record = flat, labels=fv.LABELS) -> Column:
+def combined_text(cells: Column | None = None, labels=fv.LABELS) -> Column:
     """the whole record as one text, most telling fields first."""
-    def part(field):
-        value = F.translate(rec(field), "|", fv.PROSE_COMMA) if field == "aliases" else rec(field)
-        return F.when(strip(value) != "", _labelled(labels[field], value))
-    return F.concat_ws(" . ", *[part(f) for f in fv.ENCODING_ORDER])
+    names = _literal_map(labels)
 
+    def part(record, field):
+        value = _cell(record, field)
+        shown = F.when(field == "aliases", F.translate(value, "|", fv.PROSE_COMMA)).otherwise(value)
+        return F.when(strip(value) != "", _labelled(_label(names, field), shown))
+    return let(record_cells() if cells is None else cells, lambda record: F.array_join(
+        F.transform(strings(fv.ENCODING_ORDER), lambda field: part(record, field)), " . "))
 
-def title_alias_text(rec: Record = flat) -> Column:
+
+def title_alias_text(cells: Column | None = None) -> Column:
     """title and aliases as one text."""
-    text = F.concat(rec("job_title"), F.lit(f" {fv.PROSE_COMMA} "),
-                    F.translate(rec("aliases"), "|", fv.PROSE_COMMA))
+    cells = record_cells() if cells is None else cells
+    text = F.concat(_cell(cells, "job_title"), F.lit(f" {fv.PROSE_COMMA} "),
+                    F.translate(_cell(cells, "aliases"), "|", fv.PROSE_COMMA))
     return F.btrim(text, F.lit(f" {fv.PROSE_COMMA}"))
 
 
@@ -59,43 +74,43 @@ def profile_text(fields: Column, labels=fv.LABELS) -> Column:
 
     `fields` is an array of struct(key, items) in profile field order.
     """
-    names = _label_map(labels)
+    names = _literal_map(labels)
     parts = F.transform(F.filter(fields, lambda f: F.size(f["items"]) > 0),
-                        lambda f: _labelled(F.coalesce(names[f["key"]], f["key"]),
-                                            F.array_join(f["items"], f"{fv.PROSE_COMMA} ")))
+                        lambda f: _labelled(_label(names, f["key"]), F.array_join(f["items"], _COMMA)))
     return F.array_join(parts, " . ")
 
 
-def context_lines(fields: Column, rec: Record = flat, labels=fv.LABELS) -> Column:
+def context_lines(fields: Column, cells: Column | None = None, labels=fv.LABELS) -> Column:
     """The labelled non-empty fields, one per line, in the order of the array `fields`."""
-    names, values = _label_map(labels), _value_map(rec)
-    filled = F.filter(fields, lambda f: F.coalesce(F.try_element_at(values, f), F.lit("")) != "")
-    return F.array_join(F.transform(
-        filled, lambda f: _labelled(F.coalesce(F.try_element_at(names, f), f), values[f])), "\n")
+    names = _literal_map(labels)
+    lines = lambda record: F.transform(F.filter(fields, lambda f: _cell(record, f) != ""),
+                                       lambda f: _labelled(_label(names, f), _cell(record, f)))
+    return let(record_cells() if cells is None else cells, lambda record: F.array_join(lines(record), "\n"))
 
 
-def record_context(fields: Column, rec: Record = flat, labels=fv.LABELS) -> Column:
+def record_context(fields: Column, cells: Column | None = None, labels=fv.LABELS) -> Column:
     """title, aliases if there are any, then the labelled fields."""
-    body = context_lines(fields, rec, labels)
+    cells = record_cells() if cells is None else cells
+    aliases = _cell(cells, "aliases")
     return F.concat_ws(
-        "\n", _labelled(labels["job_title"], rec("job_title")),
-        F.when(rec("aliases") != "", _labelled(labels["aliases"], rec("aliases"))),
-        F.nullif(body, F.lit("")))
+        "\n", _labelled(labels["job_title"], _cell(cells, "job_title")),
+        F.when(aliases != "", _labelled(labels["aliases"], aliases)),
+        F.nullif(context_lines(fields, cells, labels), F.lit("")))
 
 
-def answer_one(fields: Column, rec: Record = flat) -> Column:
+def answer_one(fields: Column, cells: Column | None = None) -> Column:
     """the answer text for one record."""
-    return F.concat(F.lit(f"{fv.PIN_MARK} "), rec("job_title"), F.lit("\n\n"),
-                    context_lines(fields, rec))
+    cells = record_cells() if cells is None else cells
+    return F.concat(F.lit(f"{fv.PIN_MARK} "), _cell(cells, "job_title"), F.lit("\n\n"), context_lines(fields, cells))
 
 
-def answer_two(fields: Column, first: Record, second: Record) -> Column:
+def answer_two(fields: Column, first: Column, second: Column) -> Column:
     """the answer text for a combined role."""
-    head = F.concat(F.lit(f"{fv.LINK_MARK} {fv.COMBINED_ROLE}: "), first("job_title"),
-                    F.lit(" + "), second("job_title"))
-    section = lambda rec: F.concat(F.lit("— "), rec("job_title"), F.lit(":\n"),
-                                   context_lines(fields, rec))
-    return F.concat(head, F.lit("\n\n"), section(first), F.lit("\n\n"), section(second))
+    titles = [_cell(c, "job_title") for c in (first, second)]
+    head = F.concat(F.lit(f"{fv.LINK_MARK} {fv.COMBINED_ROLE}: "), titles[0], F.lit(" + "), titles[1])
+    sections = [F.concat(F.lit("— "), t, F.lit(":\n"), context_lines(fields, c))
+                for t, c in zip(titles, (first, second))]
+    return F.concat_ws("\n\n", head, *sections)
 
 
 def _lines(parts: Column) -> Column:
@@ -103,7 +118,7 @@ def _lines(parts: Column) -> Column:
 
 
 def _joined(items: Column) -> Column:
-    return F.array_join(items, f"{fv.PROSE_COMMA} ")
+    return F.array_join(items, _COMMA)
 
 
 def profile_answer(matches: Column) -> Column:
@@ -113,10 +128,10 @@ def profile_answer(matches: Column) -> Column:
     missing)).
     """
     def field_lines(f):
-        covered = _labelled(F.concat(f["label"], F.lit(f" — {fv.PROFILE_COVERED}")), _joined(f["matched"]))
-        missed = _labelled(F.concat(f["label"], F.lit(f" — {fv.PROFILE_UNCOVERED}")), _joined(f["missing"]))
-        return F.filter(F.array(F.when(F.size(f["matched"]) > 0, covered),
-                                F.when(F.size(f["missing"]) > 0, missed)), lambda x: x.isNotNull())
+        line = lambda heading, items: F.when(F.size(items) > 0, _labelled(
+            F.concat(f["label"], F.lit(f" — {heading}")), _joined(items)))
+        return F.array_compact(F.array(line(fv.PROFILE_COVERED, f["matched"]),
+                                       line(fv.PROFILE_UNCOVERED, f["missing"])))
     per_match = F.transform(matches, lambda m: F.concat(
         F.array(F.lit(""), F.concat(F.lit(f"{fv.PIN_MARK} "), m["job_title"])),
         F.flatten(F.transform(m["fields"], field_lines))))
@@ -125,8 +140,8 @@ def profile_answer(matches: Column) -> Column:
 
 def profile_context(profile: Column, matches: Column, labels=fv.LABELS) -> Column:
     """the profile and the finished comparison, as handed to a text generator."""
-    names = _label_map(labels)
-    own = F.transform(profile, lambda f: _labelled(F.coalesce(names[f["key"]], f["key"]), _joined(f["items"])))
+    names = _literal_map(labels)
+    own = F.transform(profile, lambda f: _labelled(_label(names, f["key"]), _joined(f["items"])))
     dash = lambda items: F.coalesce(F.nullif(_joined(items), F.lit("")), F.lit("—"))
 
     def field_line(f):
@@ -139,62 +154,68 @@ def profile_context(profile: Column, matches: Column, labels=fv.LABELS) -> Colum
     return _lines(F.concat(F.array(F.concat(F.array(F.lit(fv.PROFILE_CONTEXT_HEADER)), own)), per_match))
 
 
-def draft_offer(draft: Record, related: Column) -> Column:
-    """the offer of a designed record."""
-    related_line = F.concat(F.lit(f"\n{fv.RELATED_LABEL}: "), _joined(related))
+def draft_offer(draft: Column, related: Column) -> Column:
+    """the offer of a designed record, `related` naming its neighbours."""
+    description = _cell(draft, "description")
     return F.concat_ws(
         "\n", F.lit(fv.DRAFT_HEADER), F.lit(""),
-        _labelled(f"{fv.PIN_MARK} {fv.LABELS['job_title']}", draft("job_title")),
-        F.when(draft("description") != "", _labelled(fv.LABELS["description"], draft("description"))),
-        F.when(F.size(related) > 0, related_line),
+        _labelled(f"{fv.PIN_MARK} {fv.LABELS['job_title']}", _cell(draft, "job_title")),
+        F.when(description != "", _labelled(fv.LABELS["description"], description)),
+        F.when(F.size(related) > 0, F.concat(F.lit(f"\n{fv.RELATED_LABEL}: "), _joined(related))),
         F.lit(""), F.lit(fv.DRAFT_QUESTION))
 
 
-def related_list(header: str, related: Column) -> Column:
+def related_list(header: Column | str, related: Column) -> Column:
     """A refusal sentence followed by the nearest titles."""
-    return F.concat(F.lit(header), F.lit("\n"), F.array_join(
+    header = F.lit(header) if isinstance(header, str) else header
+    return F.concat(header, F.lit("\n"), F.array_join(
         F.transform(related, lambda t: F.concat(F.lit("- "), t)), "\n"))
 
 
-def detail(primary: Column, rec: Record = flat, labels=fv.LABELS) -> Column:
+def detail(primary: Column, cells: Column | None = None, labels=fv.LABELS) -> Column:
     """struct(job_title, fields) with the primary fields first, order kept otherwise."""
+    names, prose = _literal_map(labels), strings(fv.PROSE_COLUMNS)
+    none = F.expr("cast(array() as array<string>)")
+
     def filled(key, value, items):
-        shown = F.when(F.size(items) > 0, _joined(items)).otherwise(value)
-        usable = ~value.isin(*fv.BLANK_CELLS)
-        if key not in fv.PROSE_COLUMNS:
-            usable = usable & (F.size(items) > 0)
+        is_prose = F.array_contains(prose, key)
+        usable = ~value.isin(*fv.BLANK_CELLS) & (is_prose | (F.size(items) > 0))
         return F.when(usable, F.struct(
-            F.lit(key).alias("key"), F.lit(labels.get(key, key)).alias("label"),
-            shown.alias("value"), items.alias("items"),
+            key.alias("key"), _label(names, key).alias("label"),
+            F.when(is_prose, value).otherwise(_joined(items)).alias("value"),
+            F.when(is_prose, none).otherwise(items).alias("items"),
             F.array_contains(primary, key).alias("primary")))
 
-    def box(key):
-        return let(strip(rec(key)), lambda v: let(
-            cell_items(key, v, prose_whole=False), lambda items: filled(key, v, items)))
-    boxes = F.filter(F.array(*[box(k) for k in fv.DETAIL_FIELDS]), lambda b: b.isNotNull())
-    ordered = lambda bs: F.concat(F.filter(bs, lambda b: b["primary"]), F.filter(bs, lambda b: ~b["primary"]))
-    return F.struct(strip(rec("job_title")).alias("job_title"), let(boxes, ordered).alias("fields"))
+    def box(record, key):
+        return let(strip(_cell(record, key)), lambda v: let(list_items(v), lambda items: filled(key, v, items)))
+
+    def shaped(record):
+        boxes = F.array_compact(F.transform(strings(fv.DETAIL_FIELDS), lambda key: box(record, key)))
+        ordered = lambda bs: F.concat(F.filter(bs, lambda b: b["primary"]), F.filter(bs, lambda b: ~b["primary"]))
+        return F.struct(strip(_cell(record, "job_title")).alias("job_title"), let(boxes, ordered).alias("fields"))
+    return let(record_cells() if cells is None else cells, shaped)
 
 
 def clean_draft(reply: Column) -> Column:
-    """struct(status, draft) of one generated reply.
+    """struct(status, draft) of one generated reply, the draft being its cells.
 
     Status is `generated`, `not_a_job` or `unavailable` (no reply, no object, no title).
     """
+    columns, prose = strings(fv.RECORD_COLUMNS), strings(fv.PROSE_COLUMNS)
+
     def cell(obj, name):
-        value = normalize(object_value(obj, name))
-        if name in fv.PROSE_COLUMNS:
-            value = F.btrim(bars_to_commas(value), F.lit(f"{fv.PROSE_COMMA} "))
-        return value.alias(name)
+        plain = lambda v: F.when(F.array_contains(prose, name), F.btrim(
+            bars_to_commas(v), F.lit(_COMMA))).otherwise(v)
+        return let(normalize(object_value(obj, name)), plain)
 
     def judged(obj, draft):
-        flagged = F.lower(strip(F.coalesce(object_value(obj, "not_a_job"), F.lit("")))) == "true"
+        flagged = F.lower(strip(F.coalesce(object_value(obj, F.lit("not_a_job")), F.lit("")))) == "true"
         return (F.when(obj.isNull(), "unavailable").when(flagged, "not_a_job")
-                .when(draft["job_title"] == "", "unavailable").otherwise("generated"))
+                .when(_cell(draft, "job_title") == "", "unavailable").otherwise("generated"))
 
     def shaped(status, draft):
         return F.struct(status.alias("status"), F.when(status == "generated", draft).alias("draft"))
 
     return let(parse_object(reply), lambda obj: let(
-        F.struct(*[cell(obj, c) for c in fv.RECORD_COLUMNS]), lambda draft: let(
+        F.map_from_arrays(columns, F.transform(columns, lambda name: cell(obj, name))), lambda draft: let(
             judged(obj, draft), lambda status: shaped(status, draft))))

@@ -62,7 +62,7 @@ def parse_object(c: Column) -> Column:
     return let(as_list(F.nullif(F.regexp_extract(c, r"(?s)\{.*\}", 0), F.lit(""))), only)
 
 
-def object_value(obj: Column, key: str) -> Column:
+def object_value(obj: Column, key: Column | str) -> Column:
     """The value under `key`; of repeated keys the last one counts."""
     entries = F.filter(F.map_entries(obj), lambda e: e["key"] == key)
     return F.try_element_at(entries, F.lit(-1))["value"]

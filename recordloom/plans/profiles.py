@@ -10,6 +10,7 @@ from ..functions.text import normalize
 from ..operators.coverage import (ProfileIndex, clean_profiles, coverage_fields, coverage_ratios,
                                   profile_fields)
 from ..operators.dense import SCORE_DIGITS, dense_topk
+from ..session import stored
 
 
 def profile_queries(profiles: DataFrame) -> DataFrame:
@@ -61,14 +62,15 @@ def analyze_batch(records: DataFrame, profiles: DataFrame, vectors: DataFrame,
     """
     cleaned = clean_profiles(profiles) if clean else profiles
     index = ProfileIndex(cleaned)
-    ranked = profile_rank(records, cleaned, vectors, index, top)
+    # The short result is used three times; the corpus behind it is scanned once.
+    ranked = stored(profile_rank(records, cleaned, vectors, index, top), "ranked")
     passing = ranked.join(open_profiles(ranked, dense_only), "profile_id", "left_semi")
     listed = coverage_fields(passing, records, "record_id", cleaned, index)
     shown = (records.select(F.col("record_id").alias("doc_id"),
-                            F.struct(*fv.RECORD_COLUMNS).alias("rec")).join(listed, "doc_id"))
+                            display.record_cells().alias("cells")).join(listed, "doc_id"))
     primary = F.transform("fields", lambda f: f["key"])
-    match = F.struct("rank", F.col("rec.job_title").alias("job_title"), "score", "dense", "coverage",
-                     "fields", display.detail(primary, display.record_struct("rec")).alias("detail"))
+    match = F.struct("rank", F.col("cells")["job_title"].alias("job_title"), "score", "dense", "coverage",
+                     "fields", display.detail(primary, F.col("cells")).alias("detail"))
     matches = shown.groupBy("profile_id").agg(F.sort_array(F.collect_list(match)).alias("matches"))
     everyone = profiles.select("profile_id").distinct() if ids is None else ids.select("profile_id").distinct()
     best = ranked.filter(F.col("rank") == 1).select("profile_id", F.col("dense").alias("_dense"))

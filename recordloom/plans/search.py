@@ -108,34 +108,33 @@ def answer_batch(records: DataFrame, questions: DataFrame, replies: DataFrame |
     details, answer`.
     """
     decided = decide(records, questions, replies, depth, gates)
-    pool = records.select(F.col("record_id").alias("_id"), F.struct(*fv.RECORD_COLUMNS).alias("_rec"))
-    rows = (decided.join(pool.select(F.col("_id").alias("doc_id1"), F.col("_rec").alias("r1")), "doc_id1", "left")
-            .join(pool.select(F.col("_id").alias("doc_id2"), F.col("_rec").alias("r2")), "doc_id2", "left"))
-    first, second, draft = (display.record_struct(c) for c in ("r1", "r2", "draft"))
+    pool = records.select(F.col("record_id").alias("_id"), display.record_cells().alias("_cells"))
+    rows = (decided.join(pool.select(F.col("_id").alias("doc_id1"), F.col("_cells").alias("c1")), "doc_id1", "left")
+            .join(pool.select(F.col("_id").alias("doc_id2"), F.col("_cells").alias("c2")), "doc_id2", "left"))
     mode, reason, related = F.col("mode"), F.col("reason"), F.col("related")
-    strings = lambda names: F.array(*[F.lit(n) for n in names])
-    showcase, lead_fields = strings(fv.SHOWCASE_FIELDS), strings(fv.REQUEST_PRIMARY)
-    fields = F.col("fields")
-    answer = (F.when(mode == "single", display.answer_one(fields, first))
-              .when(mode == "interdisciplinary", display.answer_two(fields, first, second))
-              .when(mode == "job_match", F.concat(F.lit(fv.MATCH_HEADER + "\n\n"), display.answer_one(showcase, first)))
-              .when(mode == "job_generated", display.draft_offer(draft, related))
-              .when(reason == "not_a_job", display.related_list(fv.DRAFT_NOT_REAL, related))
-              .when(reason == "unavailable", display.related_list(fv.DRAFT_UNAVAILABLE, related))
+    both, generated, found = mode == "interdisciplinary", mode == "job_generated", mode != "out_of_domain"
+    wished = F.col("is_request")
+    # One main record per answer, shown by the fields of its mode.
+    rows = rows.withColumns({
+        "c1": F.when(generated, F.col("draft")).otherwise(F.col("c1")),
+        "shown": F.when(wished, display.strings(fv.SHOWCASE_FIELDS)).otherwise(F.col("fields")),
+        "lead": F.when(wished, display.strings(fv.REQUEST_PRIMARY)).otherwise(F.col("fields"))})
+    rows = rows.withColumns({
+        "one": display.answer_one(F.col("shown"), F.col("c1")),
+        "d1": display.detail(F.col("lead"), F.col("c1")),
+        "d2": display.detail(F.col("lead"), F.col("c2"))})
+    refusal = F.when(reason == "not_a_job", fv.DRAFT_NOT_REAL).otherwise(fv.DRAFT_UNAVAILABLE)
+    answer = (F.when(mode == "single", F.col("one"))
+              .when(mode == "job_match", F.concat(F.lit(fv.MATCH_HEADER + "\n\n"), F.col("one")))
+              .when(both, display.answer_two(F.col("shown"), F.col("c1"), F.col("c2")))
+              .when(generated, display.draft_offer(F.col("draft"), related))
+              .when(reason.isin("not_a_job", "unavailable"), display.related_list(refusal, related))
               .otherwise(F.lit(fv.OUT_OF_DOMAIN)))
-    details = (F.when(mode == "single", F.array(display.detail(fields, first)))
-               .when(mode == "interdisciplinary",
-                     F.array(display.detail(fields, first), display.detail(fields, second)))
-               .when(mode == "job_match", F.array(display.detail(lead_fields, first)))
-               .when(mode == "job_generated", F.array(display.detail(lead_fields, draft))))
-    job = (F.when(mode.isin("single", "job_match"), first("job_title"))
-           .when(mode == "job_generated", draft("job_title")))
-    both = mode == "interdisciplinary"
-    shows_related = F.col("is_request") & (F.col("reason") != "off_topic")
+    titles = F.array(F.col("d1.job_title"), F.col("d2.job_title"))
+    shows_related = wished & (reason != "off_topic")
     return rows.select(
-        "query_id", "question", "mode", "intent", job.alias("job"),
-        F.when(both, F.array(first("job_title"), second("job_title"))).alias("jobs"),
-        F.when(~both, F.col("dense1")).alias("score"),
+        "query_id", "question", "mode", "intent", F.when(found & ~both, F.col("d1.job_title")).alias("job"),
+        F.when(both, titles).alias("jobs"), F.when(~both, F.col("dense1")).alias("score"),
         F.when(both, F.array("dense1", "dense2")).alias("scores"),
-        F.when(shows_related, related).alias("related_jobs"),
-        F.col("draft").alias("job_draft"), details.alias("details"), answer.alias("answer"))
+        F.when(shows_related, related).alias("related_jobs"), F.col("draft").alias("job_draft"),
+        F.when(both, F.array("d1", "d2")).when(found, F.array("d1")).alias("details"), answer.alias("answer"))

@@ -199,6 +199,6 @@ def test_profile_answer(one):
 
 def test_draft_offer(spark):
     df = _record(spark, job_title="T", description="D")
-    row = df.select(display.draft_offer(display.flat, F.array(F.lit("x"), F.lit("y"))).alias("o")).first()["o"]
+    row = df.select(display.draft_offer(display.record_cells(), F.array(F.lit("x"), F.lit("y"))).alias("o")).first()["o"]
     assert row == "\n".join([fv.DRAFT_HEADER, "", f"📌 {fv.LABELS['job_title']}: T", f"{fv.LABELS['description']}: D", "",
                              f"{fv.RELATED_LABEL}: x، y", "", fv.DRAFT_QUESTION])
