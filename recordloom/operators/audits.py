@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .. import fixed_values as fv
+from .shuffle import lookup_join
 
 
 def scope_violations(users: DataFrame) -> DataFrame:
@@ -49,8 +49,9 @@ def unique_violations(organizations: DataFrame, units: DataFrame, users: DataFra
 
 def orphans(child: DataFrame, column: str, parent: DataFrame, parent_key: str = "id") -> DataFrame:
     """Child rows whose reference has no parent."""
-    keys = parent.select(F.col(parent_key).alias(column))
-    return child.filter(F.col(column).isNotNull()).join(keys, column, "left_anti")
+    keys = parent.select(F.col(parent_key).alias(column), F.lit(True).alias("_found")).distinct()
+    held = child.filter(F.col(column).isNotNull())
+    return lookup_join(held, keys, column, child.columns).filter(F.col("_found").isNull()).drop("_found")
 
 
 def foreign_key_violations(organizations: DataFrame, units: DataFrame, users: DataFrame,
@@ -80,7 +81,7 @@ def detach_attribution(jobs: DataFrame, survivors: DataFrame,
         if column not in jobs.columns:
             continue
         alive = survivors.select(F.col("id").alias(column), F.lit(True).alias("_alive"))
-        out = (out.join(alive, column, "left")
+        out = (lookup_join(out, alive, column, jobs.columns)
                .withColumn(column, F.when(F.col("_alive"), F.col(column))).drop("_alive"))
     return out.select(*jobs.columns)
 

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions.identity import text_key
-from ..sources.vectors import VersionedTable, store_vectors
+from ..sources.vectors import ROW_BYTES, VersionedTable, store_vectors
+from .shuffle import lookup_join
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -80,5 +81,6 @@ def embed(texts: DataFrame, text: str, store: VersionedTable, udf, model: str =
         fresh = todo.select("key", F.lit(model).alias("model"), udf(F.col("text")).alias("vector"))
         store_vectors(store, known, fresh)
     held = store.read().select("key", F.col("vector").alias(vector))
-    return (texts.withColumn("_key", text_key(F.col(text), model))
-            .join(held.withColumnRenamed("key", "_key"), "_key", "left").drop("_key"))
+    keyed = texts.withColumn("_key", text_key(F.col(text), model))
+    return lookup_join(keyed, held.withColumnRenamed("key", "_key"), "_key", texts.columns,
+                       row_bytes=ROW_BYTES).drop("_key")

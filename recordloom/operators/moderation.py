@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions.text import is_blank, match_key, repair_prose
+from .shuffle import lookup_join
 
 UPDATE, INSERT, UNCHANGED, REPAIR = "update", "insert", "unchanged", "repair"
 
@@ -24,8 +25,8 @@ def backfill_plan(jobs: DataFrame, source: DataFrame, seq: str, overwrite: bool
     approved = F.col("status") == "approved"
     held = F.struct("id", *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns])
     targets = keyed.groupBy("_key").agg(F.min_by(F.when(approved, held), F.when(approved, F.col("id"))).alias("_target"))
-    rows = (source.withColumn("_key", match_key(F.col("job_title")))
-            .join(targets.withColumn("_known", F.lit(True)), "_key", "left"))
+    rows = lookup_join(source.withColumn("_key", match_key(F.col("job_title"))),
+                       targets.withColumn("_known", F.lit(True)), "_key", [seq])
     target = F.col("_target")
     fresh = {c: F.when(target.isNotNull() & ~is_blank(F.col(c)) & (F.lit(overwrite) | is_blank(target[c])),
                        F.col(c)) for c in columns}

@@ -18,6 +18,8 @@ def measured_bytes(df: DataFrame) -> int:
     def width(field):
         if isinstance(field.dataType, (T.StringType, T.BinaryType)):
             return F.coalesce(F.octet_length(field.name), F.lit(0)) + 16
+        if isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.NumericType):
+            return F.coalesce(F.size(field.name), F.lit(0)) * 8 + 16
         if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
             return F.octet_length(F.to_json(F.struct(field.name))) + 16
         return F.lit(16)
@@ -25,9 +27,15 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(total)).first()[0] or 0
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """`df` marked for broadcast when its measured size allows, else left to a shuffle join."""
-    return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES,
+                       row_bytes: int | None = None) -> DataFrame:
+    """`df` marked for broadcast when its size allows, else left to a shuffle join.
+
+    The size is measured, or taken as rows times `row_bytes` where rows of a stored table
+    have a known bound: counting those reads no column.
+    """
+    size = measured_bytes(df) if row_bytes is None else df.count() * row_bytes
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -51,6 +59,31 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,
     return ranked.filter(F.col(rank) <= k)
 
 
+HOT_SHARE = 64
+
+
+def lookup_join(rows: DataFrame, table: DataFrame, key: str, salt_on: list[str],
+                salts: int = 32, max_bytes: int = BROADCAST_BYTES,
+                row_bytes: int | None = None) -> DataFrame:
+    """`rows` left-joined to a `table` that holds each key at most once.
+
+    A small table is broadcast.  With a large one, the keys holding more than one in
+    `HOT_SHARE` of the rows (so fewer than `HOT_SHARE` keys) are spread: their rows over
+    `salts` parts by a hash of `salt_on`, their table row copied to each part.
+    """
+    small = broadcast_if_small(table, max_bytes, row_bytes)
+    if small is not table:
+        return rows.join(small, key, "left")
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).scalar()
+    hot = F.broadcast(counts.filter(F.col("_n") * HOT_SHARE > total).select(key, F.lit(True).alias("_hot")))
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_on), F.lit(salts))).otherwise(0).cast("int")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    spread_rows = rows.join(hot, key, "left").withColumn("_part", part).drop("_hot")
+    spread_table = table.join(hot, key, "left").withColumn("_part", F.explode(copies)).drop("_hot")
+    return spread_rows.join(spread_table, [key, "_part"], "left").drop("_part")
+
+
 def sliced(df: DataFrame, by: list[str], slices: int | None = None) -> DataFrame:
     """`df` cut into equal sorted slices along `by`, pinned in a reliable checkpoint.
 

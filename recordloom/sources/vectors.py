@@ -10,6 +10,8 @@ from .. import fixed_values as fv
 from ..functions.identity import ordered_digest, text_key
 
 SCHEMA = "key string, model string, vector array<float>"
+# More than a key and a vector of 4,000 dimensions take.
+ROW_BYTES = 20_000
 _VERSION = re.compile(r"^v=(\d+)$")
 
 

@@ -9,9 +9,11 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from .. import fixed_values as fv
 from ..functions import display
+from ..functions.identity import text_key
 from ..functions.text import normalize
 from ..operators.embedding import missing_texts
-from ..sources.vectors import VersionedTable, store_vectors, vector_store
+from ..operators.shuffle import lookup_join
+from ..sources.vectors import ROW_BYTES, VersionedTable, store_vectors, vector_store
 
 CORPUS = ("record_id long, " + ", ".join(f"{c} string" for c in fv.RECORD_COLUMNS)
           + ", combined_text string, title_text string")
@@ -35,12 +37,12 @@ class ServedCorpus:
 
     def search_table(self) -> DataFrame:
         """The records in force with `full_vec` and `title_vec`, joined by content key."""
-        from ..functions.identity import text_key
         held = self.vectors.read()
         out = self.records.read()
         for text, vec in (("combined_text", "full_vec"), ("title_text", "title_vec")):
             part = held.select(F.col("key").alias("_key"), F.col("vector").alias(vec))
-            out = out.withColumn("_key", text_key(F.col(text), self.model)).join(part, "_key", "left").drop("_key")
+            keyed = out.withColumn("_key", text_key(F.col(text), self.model))
+            out = lookup_join(keyed, part, "_key", ["record_id"], row_bytes=ROW_BYTES).drop("_key")
         return out
 
 

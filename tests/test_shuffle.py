@@ -43,3 +43,13 @@ def test_broadcast_is_bounded(spark):
     assert S.measured_bytes(df) > 50_000
     assert S.broadcast_if_small(df, 10_000) is df
     assert S.broadcast_if_small(df) is not df
+
+
+def test_lookup_join_with_and_without_broadcast(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}", None) for i in range(300)], "i long, k string, x string")
+    rows = rows.unionByName(spark.createDataFrame([(999, None, None), (998, "absent", None)], "i long, k string, x string"))
+    table = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(300)], "k string, v long")
+    want = {i: (1 if i % 3 else i) for i in range(300)} | {999: None, 998: None}
+    for limit in (S.BROADCAST_BYTES, -1):
+        got = S.lookup_join(rows, table, "k", ["i"], salts=4, max_bytes=limit).select("i", "v").collect()
+        assert len(got) == 302 and {r["i"]: r["v"] for r in got} == want
