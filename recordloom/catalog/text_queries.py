@@ -122,11 +122,11 @@ _REPLY = """'note: ' || CASE event_type
 def json_reply_parse(spark, sf_dir):
     events = spread(table(spark, sf_dir, "events")).withColumn("props_text", F.regexp_replace("props", '["{}]', ""))
     reply = F.expr(_REPLY.replace("@NL@", "\\\\n"))
-    drafted = display.clean_draft(reply)
     k = T.object_value(T.parse_object(F.concat(F.lit("x "), F.col("props"), F.lit(" y"))), "k")
-    return events.select(
-        "event_id", k.cast("long").alias("k"), drafted["status"].alias("status"),
-        *[drafted["draft"][c].alias(c) for c in ("job_title", "description", "work_context", "tools")])
+    # A column of its own, so that the reply is parsed once for all cells taken from it.
+    parsed = events.select("event_id", k.cast("long").alias("k"), display.clean_draft(reply).alias("drafted"))
+    return parsed.select("event_id", "k", "drafted.status", *[
+        F.col("drafted.draft")[c].alias(c) for c in ("job_title", "description", "work_context", "tools")])
 
 
 def jalali_dates(spark, sf_dir):
