@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import kd_sharding, line_dedup, quality_rules, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op4_kd_shards": kd_sharding.op4_kd_shards,
+    "op9_warc_revisits": warc.op9_warc_revisits,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_line_dedup": line_dedup.OP2_SQL,
+    "op9_warc_revisits": warc.OP9_SQL,
+}
