@@ -76,3 +76,30 @@ def cut(batch: pa.RecordBatch, bytes_column: str | None, most: int) -> Iterator[
 
 def total(columns: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
+
+
+def numbered(df: DataFrame, groups: list[str], order: str, name: str, part: str = "part") -> DataFrame:
+    """`df` with a gapless number from 0 in each group, for rows that carry a stored `part`.
+
+    A row's number is its number within its part and group, after all rows of the group in the
+    parts before: no task sees more of a group than one part holds.
+    """
+    from pyspark.sql import Window
+    counts = df.groupBy(*groups, part).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*groups).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*groups, part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*groups, part).orderBy(order)) - 1
+    joined = df.withColumn("_inside", inside).join(starts, [*groups, part])
+    return joined.withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_start", "_inside")
+
+
+def running(df: DataFrame, value: str, order: str, name: str, part: str = "part") -> DataFrame:
+    """`df` with the sum of `value` over all rows before, by stored `part` and `order` within it."""
+    from pyspark.sql import Window
+    sums = df.groupBy(part).agg(F.sum(value).alias("_n"))
+    # One row per part.
+    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(starts, part)
+    return joined.withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_start", "_inside")

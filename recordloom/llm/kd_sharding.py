@@ -20,9 +20,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import column, read, saved
+from .common import column, numbered, read, saved
 
 OVERHEAD = 8
 BINS = 1024
@@ -167,12 +167,7 @@ def sharded(rows: DataFrame, shards: int) -> DataFrame:
         raise ValueError("at least one shard")
     tree = kd_tree(rows, shards) if shards > 1 else Node(1, 0)
     placed = rows.withColumn("shard", tree.place(lambda n: F.lit(n.first)).cast("int"))
-    counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    inside = F.row_number().over(Window.partitionBy("shard", "part").orderBy("k_row")) - 1
-    numbered = placed.withColumn("inside", inside)
-    return numbered.join(starts, ["shard", "part"]).withColumn("slot", (F.col("start") + F.col("inside")).cast("long"))
+    return numbered(placed, ["shard"], "k_row", "slot")
 
 
 def shards_for(rows: DataFrame, target_bytes: int) -> int:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import kd_sharding, line_dedup, quality_rules, warc
+from . import kd_sharding, line_dedup, packing, quality_rules, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_packing": packing.op3_packing,
     "op4_kd_shards": kd_sharding.op4_kd_shards,
     "op9_warc_revisits": warc.op9_warc_revisits,
 }
