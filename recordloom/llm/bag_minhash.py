@@ -10,8 +10,9 @@ texts cost about one or two points a shingle.
 
 Texts that agree in a band of registers are candidates.  A bucket's texts are first compared
 with its least text only; the links found are contracted to components, and only texts of a
-bucket that are still in different components are compared with each other.  So a large group
-of near copies costs one comparison a text, and no link is lost.  Comparisons are cut by the
+bucket that are still in different components are compared with each other, and in a large
+bucket only those whose unshared parts leave room for the similarity asked for.  So a large
+group of near copies costs about one comparison a text, and no link is lost.  Comparisons are cut by the
 length ratio, then by the registers in common (`LEAST_AGREED`, far below what similar texts
 have), and the rest is decided by the exact multiset overlap.
 
@@ -38,6 +39,8 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 #: Of 160 registers, similar texts share fewer than this with a probability of 1e-8.
 LEAST_AGREED = 100
+#: Buckets of more texts than this are first thinned by what each text has for itself.
+LARGE = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,23 +126,25 @@ def agreeing(pairs: DataFrame, texts: DataFrame, least: int = LEAST_AGREED) -> D
     return joined.mapInArrow(lambda it: (x for batch in it for x in work(batch)), "u long, v long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """The pairs (u, v) whose texts are similar, decided by the multisets of their shingles."""
-    pairs = saved(pairs, "pairs")
-    nodes = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+def bodies(nodes: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of `nodes`, stored: the texts that have any candidate travel once.
+
+    One row per text is read, that of its least doc_id, so copies are told apart before they meet.
+    """
     wanted = texts.join(nodes, "node").select("node", "tid", "first_doc")
     rows = docs.select(column(docs, "doc_id", "long").alias("doc_id"), column(docs, "text", "string").alias("text"))
     rows = rows.withColumn("tid", F.unhex(F.md5("text")))
-    # One row per text: that of its least doc_id, so that copies are told apart before they meet.
-    body = (rows.join(wanted, (rows.tid == wanted.tid) & rows.doc_id.eqNullSafe(wanted.first_doc))
-            .select("node", "text").dropDuplicates(["node"]))
-    body = saved(body, "bodies")
+    found = rows.join(wanted, (rows.tid == wanted.tid) & rows.doc_id.eqNullSafe(wanted.first_doc))
+    return saved(found.select("node", "text").dropDuplicates(["node"]), "bodies")
+
 
+def verified(pairs: DataFrame, body: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """The pairs (u, v) whose texts are similar, decided by the multisets of their shingles."""
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         us, vs = batch.column("u").to_pylist(), batch.column("v").to_pylist()
-        bodies: dict[int, str] = dict(zip(us, batch.column("a").to_pylist())) | dict(zip(vs, batch.column("b").to_pylist()))
-        keys = list(bodies)
-        text, shingle, count = multisets([bodies[k] for k in keys])
+        text_of: dict[int, str] = dict(zip(us, batch.column("a").to_pylist())) | dict(zip(vs, batch.column("b").to_pylist()))
+        keys = list(text_of)
+        text, shingle, count = multisets([text_of[k] for k in keys])
         edges = np.searchsorted(text, np.arange(len(keys) + 1))
         sets = {k: (shingle[a:b], count[a:b]) for k, a, b in zip(keys, edges, edges[1:])}
         good = [overlap(sets[u], sets[v]) >= similar for u, v in zip(us, vs)]
@@ -149,27 +154,48 @@ def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, similar: float
     return saved(by_batch(joined, work, "u long, v long", "b", 1 << 20), "similar")
 
 
+def own_shares(nodes: DataFrame, body: DataFrame) -> DataFrame:
+    """(node, own): how much of each text's multiset no other of these texts has."""
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        text, shingle, count = multisets(batch.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(text)), pa.array(shingle.view(np.int64)),
+                                          pa.array(count)], names=["node", "shingle", "times"])
+    parts = by_batch(body.join(nodes, "node").select("node", "text"), work, "node long, shingle long, times long", "text", 1 << 20)
+    alone = parts.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("node"),
+                                         F.sum("times").alias("times")).filter("texts = 1")
+    return alone.groupBy("node").agg(F.sum("times").alias("own"))
+
+
 def linked(texts: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Similar pairs (u, v) that connect all texts which any chain of similar pairs connects."""
-    near = lambda a, b: (F.col(a) * 1.0 >= similar * F.col(b)) & (F.col(b) * 1.0 >= similar * F.col(a))
+    near = lambda a, b: (F.col(a) >= similar * F.col(b) - 1e-9) & (F.col(b) >= similar * F.col(a) - 1e-9)
     bands = texts.filter("n > 0").select("node", "n", F.explode("bands").alias("band"))
     buckets = (bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("least"))
                .filter("size > 1").select("band", "least"))
     members = saved(bands.join(buckets, "band").select("band", "node", "n", "least"), "members")
+    body = bodies(members.select("node").distinct(), texts, docs)
     stars = members.filter(F.col("node") != F.col("least.node")).filter(near("n", "least.n")).select(
         F.col("least.node").alias("u"), F.col("node").alias("v")).distinct()
-    first = verified(agreeing(stars, texts), texts, docs, similar)
+    first = verified(agreeing(stars, texts), body, similar)
     group = components(first)
     placed = (members.select("band", "node", "n").join(group, "node", "left")
               .withColumn("root", F.coalesce("root", "node")))
-    split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    open_ = saved(placed.join(split.select("band"), "band").select("band", "node", "n", "root"), "open")
-    left = open_.select("band", F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("root").alias("root_u"))
-    right = open_.select("band", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("root_v"))
-    crossed = (left.join(right, "band").filter((F.col("root_u") < F.col("root_v")) & near("n_u", "n_v"))
+    split = (placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"),
+                                        (F.count(F.lit(1)) > LARGE).alias("large")).filter("low < high"))
+    open_ = saved(placed.join(split.select("band", "large"), "band").select("band", "node", "n", "root", "large"), "open")
+    # In large buckets the part of a text that no other has bounds its similarity to any of them.
+    own = saved(own_shares(open_.filter("large").select("node").distinct(), body), "own")
+    shared = F.col("n") - F.when(F.col("large"), F.coalesce("own", F.lit(0))).otherwise(0)
+    able = open_.join(own, "node", "left").withColumn("shared", shared).filter(F.col("shared") >= similar * F.col("n") - 1e-9)
+    side = lambda c: able.select("band", *[F.col(x).alias(f"{y}{c}") for x, y in (
+        ("node", ""), ("n", "n_"), ("root", "root_"), ("shared", "s_"))])
+    most = F.least("s_u", "s_v")
+    crossed = (side("u").join(side("v"), "band")
+               .filter((F.col("root_u") < F.col("root_v")) & near("n_u", "n_v")
+                       & (most >= similar * (F.col("n_u") + F.col("n_v") - most) - 1e-9))
                .select("u", "v").distinct())
     tried = stars.select(F.col("u").alias("v"), F.col("v").alias("u")).unionByName(stars)
-    second = verified(agreeing(crossed.join(tried, ["u", "v"], "left_anti"), texts), texts, docs, similar)
+    second = verified(agreeing(crossed.join(tried, ["u", "v"], "left_anti"), texts), body, similar)
     return first.unionByName(second)
 
 
