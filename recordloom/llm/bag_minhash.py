@@ -11,8 +11,8 @@ texts cost about one or two points a shingle.
 Texts that agree in a band of registers are candidates.  A bucket's texts are first compared
 with its least text only; the links found are contracted to components, and only texts of a
 bucket that are still in different components are compared with each other, and in a large
-bucket only those whose unshared parts leave room for the similarity asked for.  So a large
-group of near copies costs about one comparison a text, and no link is lost.  Comparisons are cut by the
+bucket only those whose bitmaps leave room for the similarity asked for.  So a large group of
+near copies costs about one comparison a text, and no link is lost.  Comparisons are cut by the
 length ratio, then by the registers in common (`LEAST_AGREED`, far below what similar texts
 have), and the rest is decided by the exact multiset overlap.
 
@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import by_batch, column, dealt, read, saved
+from .common import by_batch, column, dealt, read, saved, total
 from .components import components
 from .shingles import mix, multisets, overlap
 
@@ -39,8 +39,9 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 #: Of 160 registers, similar texts share fewer than this with a probability of 1e-8.
 LEAST_AGREED = 100
-#: Buckets of more texts than this are first thinned by what each text has for itself.
+#: In buckets of more texts than this, bitmaps of `BITS` bits bound the similarity of a pair.
 LARGE = 64
+BITS = 4096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -154,16 +155,23 @@ def verified(pairs: DataFrame, body: DataFrame, similar: float = SIMILAR) -> Dat
     return saved(by_batch(joined, work, "u long, v long", "b", 1 << 20), "similar")
 
 
-def own_shares(nodes: DataFrame, body: DataFrame) -> DataFrame:
-    """(node, own): how much of each text's multiset no other of these texts has."""
+def bitmaps(nodes: DataFrame, body: DataFrame) -> DataFrame:
+    """(node, bits): the `BITS` hashed bits of each text's multiset.
+
+    Each bit in which two bitmaps differ stems from an element that only one text has, so the
+    differing bits are never more than the texts' true difference.
+    """
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         text, shingle, count = multisets(batch.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(text)), pa.array(shingle.view(np.int64)),
-                                          pa.array(count)], names=["node", "shingle", "times"])
-    parts = by_batch(body.join(nodes, "node").select("node", "text"), work, "node long, shingle long, times long", "text", 1 << 20)
-    alone = parts.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("node").alias("node"),
-                                         F.sum("times").alias("times")).filter("texts = 1")
-    return alone.groupBy("node").agg(F.sum("times").alias("own"))
+        which = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        bit = mix(np.repeat(shingle, count) + which.astype(np.uint64) * _STEP) % np.uint64(BITS)
+        table = np.zeros((batch.num_rows, BITS), np.uint8)
+        table[np.repeat(text, count), bit.astype(np.int64)] = 1
+        longs = np.packbits(table, axis=1).view(np.int64)
+        offsets = np.arange(batch.num_rows + 1, dtype=np.int32) * (BITS // 64)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(
+            pa.array(offsets), pa.array(longs.reshape(-1)))], names=["node", "bits"])
+    return by_batch(body.join(nodes, "node").select("node", "text"), work, "node long, bits array<long>", "text", 1 << 20)
 
 
 def linked(texts: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -183,18 +191,23 @@ def linked(texts: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataF
     split = (placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"),
                                         (F.count(F.lit(1)) > LARGE).alias("large")).filter("low < high"))
     open_ = saved(placed.join(split.select("band", "large"), "band").select("band", "node", "n", "root", "large"), "open")
-    # In large buckets the part of a text that no other has bounds its similarity to any of them.
-    own = saved(own_shares(open_.filter("large").select("node").distinct(), body), "own")
-    shared = F.col("n") - F.when(F.col("large"), F.coalesce("own", F.lit(0))).otherwise(0)
-    able = open_.join(own, "node", "left").withColumn("shared", shared).filter(F.col("shared") >= similar * F.col("n") - 1e-9)
+    # In large buckets bitmaps rule out, by a proven bound, most pairs before they are formed.
+    bits = saved(bitmaps(open_.filter("large").select("node").distinct(), body), "bits")
+    able = open_.join(bits.join(texts.select("node", "bands"), "node"), "node", "left")
     side = lambda c: able.select("band", *[F.col(x).alias(f"{y}{c}") for x, y in (
-        ("node", ""), ("n", "n_"), ("root", "root_"), ("shared", "s_"))])
-    most = F.least("s_u", "s_v")
+        ("node", ""), ("n", "n_"), ("root", "root_"), ("bits", "b_"), ("bands", "h_"))])
+    # A pair of large buckets is looked at in the first band that it shares.
+    same = [F.coalesce(F.get("h_u", F.lit(i)) == F.get("h_v", F.lit(i)), F.lit(False)) for i in range(BANDS)]
+    here = F.lit(True)
+    for i in reversed(range(BANDS)):
+        here = F.when(same[i], F.get("h_u", F.lit(i)) == F.col("band")).otherwise(here)
+    apart = total(F.bit_count(F.get("b_u", F.lit(i)).bitwiseXOR(F.get("b_v", F.lit(i)))) for i in range(BITS // 64))
+    allowed = (F.col("n_u") + F.col("n_v")) * ((1 - similar) / (1 + similar)) + 1e-9
     crossed = (side("u").join(side("v"), "band")
-               .filter((F.col("root_u") < F.col("root_v")) & near("n_u", "n_v")
-                       & (most >= similar * (F.col("n_u") + F.col("n_v") - most) - 1e-9))
+               .filter((F.col("root_u") < F.col("root_v")) & near("n_u", "n_v") & here & (F.coalesce(apart, F.lit(0)) <= allowed))
                .select("u", "v").distinct())
     tried = stars.select(F.col("u").alias("v"), F.col("v").alias("u")).unionByName(stars)
+    crossed = saved(crossed, "crossed")
     second = verified(agreeing(crossed.join(tried, ["u", "v"], "left_anti"), texts), body, similar)
     return first.unionByName(second)
 
