@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from . import bag_minhash, kd_sharding, license_scan, line_dedup, packing, quality_rules, sentencepiece_unigram, warc
+from . import (bag_minhash, hnsw, kd_sharding, license_scan, line_dedup, packing, quality_rules, sentencepiece_unigram,
+               suffix_dedup, warc)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_packing": packing.op3_packing,
     "op4_kd_shards": kd_sharding.op4_kd_shards,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_bag_minhash": bag_minhash.op7_bag_minhash,
     "op8_sentencepiece": sentencepiece_unigram.op8_sentencepiece,
     "op9_warc_revisits": warc.op9_warc_revisits,
+    "op10_hnsw": hnsw.op10_hnsw,
 }
 
 ORACLE: dict[str, str] = {
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_bag_minhash": bag_minhash.op7_bag_minhash,
     "op9_warc_revisits": warc.OP9_SQL,
