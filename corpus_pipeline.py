@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.llm import quality_rules
+from recordloom.llm import bag_minhash, packing, quality_rules, suffix_dedup
 from recordloom.llm.common import read
 from recordloom.session import fresh_path
 
@@ -18,11 +18,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.accepted(docs, read(spark, sf_dir, "labels"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return bag_minhash.one_each(docs)
+
+
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the byte strings that occur anywhere else."""
+    return suffix_dedup.deduplicated(docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed token sequences, with their ids."""
+    return packing.pieces(packing.tokenised(docs, packing.tokenizer_path()), with_ids=True)
+
+
 STAGES = [
     ("quality rules", quality),
+    ("near-duplicates", near_duplicates),
+    ("repeated strings", repeated_strings),
+    ("packing", sequences),
 ]
 
-#: Near-duplicate classes, signatures and packing go beyond SQL: see tests/llm/test_pipeline.py.
+#: Holdout folds, near-duplicate classes and packing go beyond SQL: see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
