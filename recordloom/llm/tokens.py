@@ -1,9 +1,10 @@
 """Token ids of texts by a tokenizer file, each distinct word encoded once per worker and cache life.
 
-For tokenizers that drop white space, so that a text's ids are those of its words in a row.
-Plain words (Latin letters, perhaps a full stop or comma behind) are lower-cased and encoded
-many at a time: each is one unit for the tokenizer, whose last id carries the end-of-word mark.
-All other words are encoded as they stand.
+For tokenizers that lower-case and drop white space, so that a text's ids are those of its words
+in a row.  A Latin-1 text is lower-cased at once, and a full stop or comma between a letter and
+white space becomes a word of its own, as it is for the tokenizer; so far fewer words are
+distinct.  Words of letters alone are encoded many at a time: each is one unit for the
+tokenizer, whose last id carries the end-of-word mark.  All other words are encoded singly.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import re
 
 import numpy as np
 
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+STOPS = re.compile(r"(?<=[a-zà-öø-ÿ])[.,](?=[ \n]|$)")
 WORD_END = "</w>"
 #: Words kept in a worker's memory; beyond that the cache starts anew.
 CACHE_WORDS = 500_000
@@ -30,61 +31,61 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
-        self.marks = {m: self._encode(m) for m in ("", ".", ",")}
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.plain: dict[str, np.ndarray] = {}
         self.flat = np.zeros(1 << 20, np.int32)
-        self.starts = np.zeros(CACHE_WORDS * 2, np.int64)
-        self.lengths = np.zeros(CACHE_WORDS * 2, np.int32)
+        self.starts = np.zeros(CACHE_WORDS, np.int64)
+        self.lengths = np.zeros(CACHE_WORDS, np.int32)
         self.used = 0
 
-    def _encode(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Take in words whose ids lie one after the other."""
+        k, end = len(self.index), self.used + len(ids)
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
+        while k + len(words) > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.flat[self.used:end] = ids
+        self.starts[k:k + len(words)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[k:k + len(words)] = lengths
+        self.index.update(zip(words, range(k, k + len(words))))
+        self.used = end
 
-    def _encode_plain(self, cores: list[str]) -> None:
-        chunks = [cores[i:i + CHUNK] for i in range(0, len(cores), CHUNK)]
-        for chunk, got in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks],
-                                                                       add_special_tokens=False)):
+    def _learn(self, new: list[str]) -> None:
+        plain, odd = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        chunks = [plain[i:i + CHUNK] for i in range(0, len(plain), CHUNK)]
+        for chunk, got in zip(chunks, self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)):
             ids = np.asarray(got.ids, np.int32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(chunk) and stops[-1] == len(ids):
-                self.plain.update(zip(chunk, np.split(ids, stops[:-1])))
-            else:
-                self.plain.update((c, self._encode(c)) for c in chunk)
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.index) + len(new) > CACHE_WORDS:
-            self._clear()
-        if len(new) > len(self.starts):
-            self.starts, self.lengths = np.zeros(len(new) * 2, np.int64), np.zeros(len(new) * 2, np.int32)
-        matched = [PLAIN.fullmatch(w) for w in new]
-        cores = {m[1].lower() for m in matched if m}
-        self._encode_plain([c for c in cores if c not in self.plain])
-        odd = [w for w, m in zip(new, matched) if not m]
-        rest = iter(self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)) if odd else iter(())
-        for word, m in zip(new, matched):
-            if m:
-                ids = self.plain[m[1].lower()]
-                if m[2]:
-                    ids = np.concatenate([ids, self.marks[m[2]]])
+                self._add(chunk, ids, np.diff(stops, prepend=0))
             else:
-                ids = np.asarray(next(rest).ids, np.int32)
-            at, end = self.used, self.used + len(ids)
-            if end > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
-            self.flat[at:end] = ids
-            k = len(self.index)
-            self.index[word], self.starts[k], self.lengths[k], self.used = k, at, len(ids), end
+                odd += chunk
+        if odd:
+            each = [got.ids for got in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+            self._add(odd, np.array([i for ids in each for i in ids], np.int32), np.array([len(ids) for ids in each], np.int64))
+
+    @staticmethod
+    def _plainer(text: str) -> str:
+        """The same text for the tokenizer with fewer distinct words, where that is certain."""
+        if "<|" in text:  # may hold special tokens, which keep their case
+            return text
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text
+        return STOPS.sub(r" \g<0>", text.lower())
 
     def __call__(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the number of ids of each text; `end_id` closes each text."""
         words: list[str] = []
         counts = []
         for text in texts:
-            own = text.replace("\n", " ").split(" ") if text else []
+            own = self._plainer(text).replace("\n", " ").split(" ") if text else []
             words += own
             counts.append(len(own))
         new = list(set(words).difference(self.index))
