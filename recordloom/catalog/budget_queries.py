@@ -56,7 +56,8 @@ def _event_stream(spark, sf_dir):
 
 def stream_budget(spark, sf_dir):
     """The login budget as a stream over the event file."""
-    decided = stream_admit(_event_stream(spark, sf_dir), "user_id", "ts", "event_id", LOGIN_LIMIT, LOGIN_WINDOW, _login_kind())
+    decided = stream_admit(_event_stream(spark, sf_dir), "user_id", "ts", "event_id", LOGIN_LIMIT, LOGIN_WINDOW,
+                           "365 days", _login_kind())
     out = fresh_path(spark, "admitted")
     run = (decided.writeStream.format("parquet").option("path", out)
            .option("checkpointLocation", fresh_path(spark, "stream")).trigger(availableNow=True).start())

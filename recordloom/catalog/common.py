@@ -106,34 +106,39 @@ def sql_combined(prefix: str = "") -> str:
     return f"concat_ws(' . ', {', '.join(parts)})"
 
 
+def with_slot(df: DataFrame, key: str, other: DataFrame) -> DataFrame:
+    """`df` with `_slot`, its key modulo the rows of `other`, whose keys count from 0: so every row finds one."""
+    return df.withColumn("_slot", F.pmod(F.col(key), F.lit(max(1, other.count()))))
+
+
 def search_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records that have vectors: `embeddings` by key, the title vector being the next key's."""
+    """Every record with vectors: `embeddings` by its key modulo their number, the title vector being the next one."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    following = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
-    paired = vectors.join(following, "vec_id", "left").select(
-        F.col("vec_id").alias("record_id"), F.col("embedding").alias("full_vec"),
-        F.coalesce("next", "embedding").alias("title_vec"))
-    rows = part_records(spark, sf_dir).join(paired, "record_id")
+    rows = with_slot(part_records(spark, sf_dir), "record_id", vectors)
+    count = F.lit(vectors.count())
+    paired = vectors.select(F.col("vec_id").alias("_slot"), F.col("embedding").alias("full_vec")).join(
+        vectors.select(F.pmod(F.col("vec_id") - 1, count).alias("_slot"), F.col("embedding").alias("title_vec")), "_slot")
+    rows = rows.join(paired, "_slot", "left").drop("_slot")
     return kept(rows.withColumn("combined_text", display.combined_text()), "records")
 
 
 def search_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question per `benchmark` item: the item's part name and text, with its key's vector."""
-    items = table(spark, sf_dir, "benchmark")
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_id"), "p_name")
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
-    return (items.join(names, "item_id").join(vectors, "item_id")
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_slot"), "p_name")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_slot"), "embedding")
+    named = with_slot(table(spark, sf_dir, "benchmark"), "item_id", names).join(names, "_slot", "left")
+    return (with_slot(named, "item_id", vectors).join(vectors, "_slot", "left")
             .select(F.col("item_id").alias("query_id"),
                     F.concat_ws(" ", "p_name", "text").alias("question"), F.col("embedding").alias("query_vec")))
 
 
 SQL_SEARCH = SQL_PART_RECORDS + f""",
 vectors AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-paired AS (SELECT a.vec_id AS record_id, a.v AS full_vec, coalesce(b.v, a.v) AS title_vec
-  FROM vectors a LEFT JOIN vectors b ON b.vec_id = a.vec_id + 1),
-corpus AS (SELECT r.*, {sql_combined('r.')} AS combined_text, full_vec, title_vec FROM records r JOIN paired USING (record_id)),
+sizes AS (SELECT (SELECT count(*) FROM vectors) AS n_vec, (SELECT count(*) FROM part) AS n_part),
+corpus AS (SELECT r.*, {sql_combined('r.')} AS combined_text, a.v AS full_vec, b.v AS title_vec FROM records r CROSS JOIN sizes
+  LEFT JOIN vectors a ON a.vec_id = record_id % n_vec LEFT JOIN vectors b ON b.vec_id = (record_id % n_vec + 1) % n_vec),
 questions AS (SELECT item_id AS query_id, p_name || ' ' || text AS question, v AS query_vec
-  FROM benchmark JOIN part ON p_partkey = item_id JOIN vectors ON vec_id = item_id),
+  FROM benchmark CROSS JOIN sizes LEFT JOIN part ON p_partkey = item_id % n_part LEFT JOIN vectors ON vec_id = item_id % n_vec),
 asked AS (SELECT *, {sql_normalize('question')} AS q FROM questions),
 dense_all AS (SELECT query_id, record_id AS doc_id,
     {fv.WEIGHT_FULL} * list_dot_product(full_vec, query_vec) + {fv.WEIGHT_TITLE} * list_dot_product(title_vec, query_vec) AS dense

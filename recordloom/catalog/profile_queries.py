@@ -12,24 +12,23 @@ from .. import fixed_values as fv
 from ..operators import coverage, lists, validate
 from ..plans import profiles as P
 from ..session import stored
-from .common import SQL_PART_RECORDS, kept, part_records, table
+from .common import SQL_PART_RECORDS, kept, part_records, table, with_slot
 
 
 def _order_records(spark, sf_dir):
-    """One record per order: skills and knowledge from its parts, its vector by key where there is one."""
+    """One record per order: skills and knowledge from its parts, its vector by key modulo their number."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type")
     facts = lines.join(part, "l_partkey").withColumn("seq", F.col("l_partkey"))
     skills = lists.ordered_distinct_list(facts, "l_orderkey", "p_name", "skills", "seq")
     kinds = lists.ordered_distinct_list(facts, "l_orderkey", "p_type", "knowledge", "seq")
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("l_orderkey"), F.col("embedding").alias("full_vec"))
-    zero = F.array_repeat(F.lit(0.0), 64).cast("array<float>")
-    rows = skills.join(kinds, "l_orderkey").join(vectors, "l_orderkey", "left")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_slot"), F.col("embedding").alias("full_vec"))
+    rows = with_slot(skills.join(kinds, "l_orderkey"), "l_orderkey", vectors).join(vectors, "_slot", "left")
     blank = [F.lit("").alias(c) for c in fv.RECORD_COLUMNS if c not in ("job_title", "skills", "knowledge", "work_context")]
     return rows.select(
         F.col("l_orderkey").alias("record_id"), F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("job_title"),
         "skills", "knowledge", F.concat(F.lit("mixed: "), F.replace("skills", F.lit(" | "), F.lit(", "))).alias("work_context"),
-        *blank, F.coalesce("full_vec", zero).alias("full_vec"))
+        *blank, "full_vec")
 
 
 def _size_profiles(spark, sf_dir):
@@ -153,7 +152,7 @@ WITH {_SQL_PROFILES},{_SQL_RECORDS},{_SQL_COVER},
 tot AS (SELECT profile_id, count(*) AS n_items FROM profiles GROUP BY profile_id),
 cov AS (SELECT profile_id, id AS doc_id, count(*) AS n FROM hits JOIN profiles USING (field, item) GROUP BY profile_id, id),
 vecs AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-held AS (SELECT id AS doc_id, v FROM recs LEFT JOIN vecs ON vec_id = id),
+held AS (SELECT id AS doc_id, v FROM recs LEFT JOIN vecs ON vec_id = id % (SELECT count(*) FROM vecs)),
 scored AS (SELECT t.profile_id, h.doc_id, coalesce(list_dot_product(h.v, q.v), 0) AS dense,
     coalesce(n, 0) / n_items AS coverage FROM tot t JOIN vecs q ON q.vec_id = t.profile_id CROSS JOIN held h
   LEFT JOIN cov c ON c.profile_id = t.profile_id AND c.doc_id = h.doc_id),

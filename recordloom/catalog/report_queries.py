@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..operators import validate
 from ..plans import reports
-from .common import table
+from .common import table, with_slot
 from .search_queries import _SQL_ANSWERS, _answers
 from .text_queries import _FA, _SQL_JALALI
 
@@ -18,11 +18,12 @@ def _issued(spark, sf_dir):
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     people = (customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
               .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-              .select(F.col("c_custkey").alias("query_id"), F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")).alias("first_name"),
+              .select(F.col("c_custkey").alias("_slot"), F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")).alias("first_name"),
                       F.lit("").alias("last_name"), F.col("c_name").alias("username"), F.col("r_name").alias("organization"),
                       F.when(F.col("c_nationkey") > 5, F.col("n_name")).alias("unit")))
-    when = table(spark, sf_dir, "events").select(F.col("event_id").alias("query_id"), "ts")
-    return _answers(spark, sf_dir).join(people, "query_id").join(when, "query_id")
+    when = table(spark, sf_dir, "events").select(F.col("event_id").alias("_slot"), "ts")
+    answers = with_slot(_answers(spark, sf_dir), "query_id", customer).join(people, "_slot", "left")
+    return with_slot(answers, "query_id", when).join(when, "_slot", "left").drop("_slot")
 
 
 def report_rows(spark, sf_dir):
@@ -51,7 +52,7 @@ def report_validate(spark, sf_dir):
     shaped = rows.select(
         F.concat_ws("-", "conv_id", "turn").alias("report"), F.when(F.col("turn") == 0, F.lit("")).otherwise(F.col("text")).alias("question"),
         F.col("role").alias("mode"), F.repeat("text", 20).alias("answer"), F.get(words, F.lit(0)).alias("job"), words.alias("jobs"),
-        F.transform(F.slice(words, 1, 6), lambda w: F.struct(w.alias("job_title"), F.transform(F.array_repeat(w, 41), lambda v: F.struct(
+        F.transform(words, lambda w: F.struct(w.alias("job_title"), F.transform(F.array_repeat(w, 41), lambda v: F.struct(
             F.lit("skills").alias("key"), F.lit("s").alias("label"), v.alias("value"), F.array_repeat(v, 2).alias("items"))).alias("fields"))).alias("details"),
         words.alias("related_jobs"))
     return validate.validate_reports(shaped, "report")
@@ -67,8 +68,9 @@ ORACLE = {
     "report_rows": _SQL_ANSWERS + f""",
 issued AS (SELECT f.*, CASE WHEN c_acctbal > 5000 THEN c_mktsegment ELSE c_name END AS person, r_name AS organization,
     CASE WHEN c_nationkey > 5 THEN n_name END AS unit, ts + INTERVAL 210 MINUTE AS m, (ts + INTERVAL 210 MINUTE)::DATE AS d
-  FROM final f JOIN customer ON c_custkey = query_id JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
-  JOIN events ON event_id = query_id),
+  FROM final f LEFT JOIN customer ON c_custkey = query_id % (SELECT count(*) FROM customer)
+  LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey
+  LEFT JOIN events ON event_id = query_id % (SELECT count(*) FROM events)),
 moments AS (SELECT * FROM issued),{_SQL_JALALI}
 SELECT query_id, {_FA('jd')} || ' ' || list_extract([{', '.join(f"'{m}'" for m in fv.JALALI_MONTHS)}], jm::BIGINT) || ' ' || {_FA('jy')}
     || ' — {fv.CLOCK_WORD} ' || {_FA("strftime(m, '%H:%M')")} AS issued_at,
@@ -85,13 +87,13 @@ FROM l JOIN g USING (l_orderkey) GROUP BY l_orderkey""",
     "report_validate": """
 WITH r AS (SELECT conv_id || '-' || turn AS report, CASE WHEN turn = 0 THEN '' ELSE text END AS question, length(text) * 20 AS answer,
   regexp_split_to_array(text, '[.,]') AS w FROM conversations),
-l AS (SELECT *, list_max(list_transform(w, lambda x: length(x))) AS longest, list_max(list_transform(w[1:6], lambda x: length(x))) AS longest6 FROM r)
+l AS (SELECT *, list_max(list_transform(w, lambda x: length(x))) AS longest FROM r)
 SELECT report, 'question' AS violation FROM l WHERE length(question) NOT BETWEEN 1 AND 500
 UNION ALL SELECT report, 'answer' FROM l WHERE answer > 20000
 UNION ALL SELECT report, 'job' FROM l WHERE length(w[1]) > 255
 UNION ALL SELECT report, 'jobs' FROM l WHERE len(w) > 8 OR longest > 255
-UNION ALL SELECT report, 'details' FROM l WHERE len(w) > 4 OR longest6 > 255
+UNION ALL SELECT report, 'details' FROM l WHERE len(w) > 4 OR longest > 255
 UNION ALL SELECT report, 'fields' FROM l
-UNION ALL SELECT report, 'items' FROM l WHERE longest6 > 20000
+UNION ALL SELECT report, 'items' FROM l WHERE longest > 20000
 UNION ALL SELECT report, 'related_jobs' FROM l WHERE len(w) > 20 OR longest > 255""",
 }

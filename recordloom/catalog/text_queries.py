@@ -194,14 +194,16 @@ _SQL_SEPARATORS = f"regexp_replace({_SQL_SEPARATORS}, '[{WS}]*,[{WS}]*', ' | ',
 _SQL_SEPARATORS = f"regexp_replace({_SQL_SEPARATORS}, '{_BAR_COMMA}', ' | ', 'g')"
 _SQL_SEPARATORS = f"trim(regexp_replace({_SQL_SEPARATORS}, '(\\|[{WS}]*)+', '| ', 'g'), ' |')"
 
+# A table of year starts from the residues of leap years, and one of month starts, joined by range.
 _SQL_JALALI = """
-days AS (SELECT *, date_diff('day', DATE '1600-03-20', d) AS n FROM moments),
-c33 AS (SELECT *, 979 + 33 * (n // 12053) AS y0, n % 12053 AS r FROM days),
-c4 AS (SELECT *, y0 + 4 * (r // 1461) AS y1, r % 1461 AS s FROM c33),
-yr AS (SELECT *, CASE WHEN s > 365 THEN y1 + (s - 1) // 365 ELSE y1 END AS jy,
-  CASE WHEN s > 365 THEN (s - 1) % 365 ELSE s END AS t FROM c4),
-jal AS (SELECT *, CASE WHEN t < 186 THEN 1 + t // 31 ELSE 7 + (t - 186) // 30 END AS jm,
-  CASE WHEN t < 186 THEN 1 + t % 31 ELSE 1 + (t - 186) % 30 END AS jd FROM yr)"""
+year_days AS (SELECT y, 365 + (y % 33 IN (1, 5, 9, 13, 17, 22, 26, 30))::INT AS n FROM range(979, 1600) t(y)),
+year_starts AS (SELECT y AS jy, DATE '1600-03-20' + (sum(n) OVER (ORDER BY y) - n)::INT AS opens,
+  DATE '1600-03-20' + (sum(n) OVER (ORDER BY y))::INT AS closes FROM year_days),
+month_starts AS (SELECT unnest(range(1, 13)) AS jm, unnest([0, 31, 62, 93, 124, 155, 186, 216, 246, 276, 306, 336]) AS gone,
+  unnest([31, 62, 93, 124, 155, 186, 216, 246, 276, 306, 336, 366]) AS next_gone),
+jal AS (SELECT moments.*, jy, jm, (d::DATE - opens::DATE) - gone + 1 AS jd FROM moments
+  JOIN year_starts ON d >= opens AND d < closes
+  JOIN month_starts ON d::DATE - opens::DATE >= gone AND d::DATE - opens::DATE < next_gone)"""
 _FA = lambda x: f"translate(({x})::VARCHAR, '{fv.LATIN_DIGITS}', '{fv.PERSIAN_DIGITS}')"
 
 

@@ -7,36 +7,28 @@ from pyspark.sql import Column, functions as F
 from .. import fixed_values as fv
 from .text import fold_digits_persian, let
 
-# 1 Farvardin 979 fell on this day; cycles of 33 and 4 years are counted from it.
+# 1 Farvardin 979 fell on this day.  A cycle of 33 years has 12,053 days; its years 0, 4, ... 28 are leap years.
 _EPOCH, _EPOCH_YEAR = "1600-03-20", 979
-_CYCLE_33, _CYCLE_4, _YEAR, _HALF = 12053, 1461, 365, 186
+_CYCLE_YEARS, _CYCLE_DAYS, _FOUR_YEARS, _HALF = 33, 12053, 1461, 186
 
 
 def _quotient(a: Column, b: int) -> Column:
     return F.floor(a / F.lit(b)).cast("int")
 
 
-def _early_days(date: Column) -> Column:
-    """Day count of years up to 1600, whose leap days follow the shifted year number."""
-    year, month = F.year(date) - 621, F.month(date)
-    started = year + F.when(month > 2, 1).otherwise(0)
-    leaps = (_quotient(started + 3, 4) - _quotient(started + 99, 100)
-             + _quotient(started + 399, 400))
-    common = F.datediff(F.make_date(F.lit(2001), month, F.lit(1)), F.lit("2001-01-01").cast("date"))
-    return year * 365 + leaps - 80 + F.dayofmonth(date) + common
+def _year_and_day(date: Column) -> Column:
+    """struct(year, day): the Jalali year and the day within it, counted from 0.
 
-
-def _year_and_day(days: Column, base: Column) -> Column:
-    """struct(year, day): the Jalali year and the day within it, counted from 0."""
-    def within_4(in_33, in_4):
-        # The first year of a four-year cycle has 366 days.
-        later = in_4 > _YEAR
-        year = (base + 33 * _quotient(days, _CYCLE_33) + 4 * _quotient(in_33, _CYCLE_4)
-                + F.when(later, _quotient(in_4 - 1, _YEAR)).otherwise(0))
-        day = F.when(later, F.pmod(in_4 - 1, F.lit(_YEAR))).otherwise(in_4)
-        return F.struct(year.alias("year"), day.alias("day"))
-    return let(F.pmod(days, F.lit(_CYCLE_33)),
-               lambda in_33: let(F.pmod(in_33, F.lit(_CYCLE_4)), lambda in_4: within_4(in_33, in_4)))
+    Year k of a cycle starts after 365 k days and one for each leap year before it, so day d
+    lies in year 4 d / 1461, rounded down.
+    """
+    def placed(days):
+        inside = F.pmod(days, F.lit(_CYCLE_DAYS))
+        year = _quotient(4 * inside, _FOUR_YEARS)
+        start = 365 * year + _quotient(year + 3, 4)
+        return F.struct((_EPOCH_YEAR + _CYCLE_YEARS * _quotient(days, _CYCLE_DAYS) + year).alias("year"),
+                        (inside - start).alias("day"))
+    return let(F.datediff(date, F.lit(_EPOCH).cast("date")), placed)
 
 
 def _month_and_day(year: Column, day: Column) -> Column:
@@ -50,11 +42,7 @@ def _month_and_day(year: Column, day: Column) -> Column:
 
 def jalali(date: Column) -> Column:
     """struct(year, month, day) of a Gregorian date."""
-    modern = F.year(date) > 1600
-    days = F.when(modern, F.datediff(date, F.lit(_EPOCH).cast("date"))).otherwise(_early_days(date))
-    start = F.struct(days.alias("days"), F.when(modern, _EPOCH_YEAR).otherwise(0).alias("base"))
-    return let(let(start, lambda s: _year_and_day(s["days"], s["base"])),
-               lambda y: _month_and_day(y["year"], y["day"]))
+    return let(_year_and_day(date), lambda y: _month_and_day(y["year"], y["day"]))
 
 
 def local_clock(ts: Column) -> Column:

@@ -8,7 +8,6 @@ from .. import fixed_values as fv
 from .text import fold_digits_latin, WS, let, strip
 
 UNIT_MARK, GROUP_MARK = "\x1f", "\x1e"
-EXACT_DIGEST_BYTES = 256 * 1024 * 1024
 
 
 def text_key(text: Column, model: str = fv.DEFAULT_MODEL) -> Column:
@@ -34,24 +33,17 @@ def corpus_digest(df: DataFrame, group: str, text: str, model: str = fv.DEFAULT_
                            256), 1, 12).alias("digest"))
 
 
-def ordered_digest(df: DataFrame, group: str, seq: str, text: str,
-                   model: str = fv.DEFAULT_MODEL, max_bytes: int = EXACT_DIGEST_BYTES) -> str:
-    """F5 exactly: the name of a legacy whole-corpus vector file, 12 hex digits.
+def ordered_digest(df: DataFrame, group: str, seq: str, text: str, model: str = fv.DEFAULT_MODEL) -> str:
+    """12 hex digits that stand for the texts and their positions, for tables of any size.
 
-    The value hashes the texts in order, so they have to meet in one place; that is only
-    done up to `max_bytes`.  A legacy file is one local archive and never larger.
+    Every row is hashed with its group and position; counts and sums of the hashes per group
+    are all that meets.  It tells the same corpora apart as a hash over the texts in order
+    does, but has another value: an archive's name has to be made by this function when the
+    archive is converted to a table.
     """
-    size = df.agg(F.sum(F.octet_length(text) + 1).alias("b")).first()["b"] or 0
-    if size > max_bytes:
-        raise ValueError(f"{size} bytes of text exceed the {max_bytes} an ordered digest takes")
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct(F.col(seq), F.col(text)))),
-                          lambda s: F.concat(s[text], F.lit(UNIT_MARK)))
-    per_group = df.groupBy(group).agg(F.array_join(ordered, "").alias("body"))
-    body = F.transform(F.sort_array(F.collect_list(F.struct(group, "body"))),
-                       lambda s: F.concat(s["body"], F.lit(GROUP_MARK)))
-    row = per_group.agg(F.substring(
-        F.sha2(F.concat(F.lit(model), F.array_join(body, "")), 256), 1, 12).alias("d")).first()
-    return row["d"]
+    placed = df.select(F.col(group), F.to_json(F.struct(
+        F.col(group).alias("g"), F.col(seq).alias("s"), F.sha2(F.col(text), 256).alias("t"))).alias("placed"))
+    return corpus_digest(placed, group, "placed", model).first()["digest"]
 
 
 def blank_to_null(c: Column) -> Column:

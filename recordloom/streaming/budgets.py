@@ -14,12 +14,12 @@ STATE = "hits array<long>"
 
 
 def stream_admit(events: DataFrame, key: str, ts: str, seq: str, limit: int, window_seconds: float,
-                 kind: Column | None = None, watermark: str = "0 seconds") -> DataFrame:
+                 watermark: str, kind: Column | None = None) -> DataFrame:
     """`(key, seq, us, admitted, retry_after)` of a streaming event table.
 
     The state of a key is its alive charged hits, at most `limit` numbers.  Events of one
-    micro-batch are taken in time order; the watermark (our addition) drops events older
-    than it and lets a key be forgotten a window after its last hit.  A micro-batch is
+    micro-batch are taken in time order; events older than the
+    watermark are dropped, so the caller has to say how late one may be; it also lets a key be forgotten a window after its last hit.  A micro-batch is
     bounded by the source's rate options, and with it what one key can bring at a time.
     """
     rows = (events.withColumn("_event_time", F.col(ts).cast("timestamp"))

@@ -117,7 +117,7 @@ def test_stream_equals_batch_over_micro_batches(spark, tmp_path):
         spark.createDataFrame(rows[n * 100:(n + 1) * 100], SCHEMA).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(source)
     out = fresh_path(spark, "out")
-    q = (stream_admit(stream, "key", "ts", "seq", 2, 120, F.col("kind"), watermark="1 hour").writeStream.format("parquet").option("path", out)
+    q = (stream_admit(stream, "key", "ts", "seq", 2, 120, "1 hour", F.col("kind")).writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", fresh_path(spark, "cp")).trigger(availableNow=True).start())
     q.awaitTermination()
     got = {r["seq"]: (r["admitted"], r["retry_after"]) for r in spark.read.parquet(out).collect()}

@@ -13,24 +13,40 @@ def test_jalali(one, gregorian, jalali):
     assert tuple(one(calendar.jalali(F.lit(dt.date(*gregorian))))) == jalali
 
 
-def _by_rule(year, month, day):
-    """The textbook integer rule."""
-    base, y = (979, year - 1600) if year > 1600 else (0, year - 621)
-    shifted = y + 1 if month > 2 else y
-    before = [0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334][month - 1]
-    days = 365 * y + (shifted + 3) // 4 - (shifted + 99) // 100 + (shifted + 399) // 400 - 80 + day + before
-    jy, days = base + 33 * (days // 12053), days % 12053
-    jy, days = jy + 4 * (days // 1461), days % 1461
-    if days > 365:
-        jy, days = jy + (days - 1) // 365, (days - 1) % 365
-    return (jy, 1 + days // 31, 1 + days % 31) if days < 186 else (jy, 7 + (days - 186) // 30, 1 + (days - 186) % 30)
-
-
-def test_all_years(spark):
-    dates = [dt.date(1400 + i, 1 + i % 12, 1 + i % 28) for i in range(700)]
-    df = spark.createDataFrame([(d,) for d in dates], "d date")
+LEAP_RESIDUES = {1, 5, 9, 13, 17, 22, 26, 30}
+
+
+def _days_of_years():
+    """Every Jalali day from 1 Farvardin 1403 (20 March 2024) backwards and forwards, by counting days."""
+    def length(year, month):
+        return 31 if month <= 6 else 30 if month <= 11 or year % 33 in LEAP_RESIDUES else 29
+    first, found = dt.date(2024, 3, 20), {}
+    for step in (1, -1):
+        day, year = first, 1403 if step > 0 else 1402
+        while 900 <= year <= 1500:
+            months = [(m, d) for m in range(1, 13) for d in range(1, length(year, m) + 1)]
+            if step < 0:
+                day -= dt.timedelta(len(months))
+            found.update({day + dt.timedelta(i): (year, m, d) for i, (m, d) in enumerate(months)})
+            if step > 0:
+                day += dt.timedelta(len(months))
+            year += step
+    return found
+
+
+# Published New Year dates.
+@pytest.mark.parametrize("date, year", [
+    ("1921-03-21", 1300), ("1979-03-21", 1358), ("1996-03-20", 1375), ("2000-03-20", 1379), ("2017-03-21", 1396),
+    ("2021-03-21", 1400), ("2024-03-20", 1403), ("2025-03-21", 1404)])
+def test_new_year(one, date, year):
+    assert tuple(one(calendar.jalali(F.lit(date).cast("date")))) == (year, 1, 1)
+
+
+def test_all_days(spark):
+    want = _days_of_years()
+    df = spark.createDataFrame([(d,) for d in sorted(want)], "d date")
     got = {r["d"]: tuple(r["j"]) for r in df.select("d", calendar.jalali(F.col("d")).alias("j")).collect()}
-    assert got == {d: _by_rule(d.year, d.month, d.day) for d in dates}
+    assert got == want
 
 
 def test_evening_prints_the_next_day(one):

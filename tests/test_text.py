@@ -109,13 +109,13 @@ def test_text_key(one):
 
 
 def test_ordered_digest(spark):
-    import hashlib
-    rows = [("a", 1, "x"), ("a", 0, "y"), ("b", 0, "z")]
-    df = spark.createDataFrame(rows, "grp string, seq int, text string")
-    want = hashlib.sha256((fv.DEFAULT_MODEL + "y\x1fx\x1f\x1ez\x1f\x1e").encode()).hexdigest()[:12]
-    assert identity.ordered_digest(df, "grp", "seq", "text") == want
-    with pytest.raises(ValueError):
-        identity.ordered_digest(df, "grp", "seq", "text", max_bytes=3)
+    digest = lambda rows: identity.ordered_digest(
+        spark.createDataFrame(rows, "grp string, seq int, text string"), "grp", "seq", "text")
+    base = [("a", 1, "x"), ("a", 0, "y"), ("b", 0, "z")]
+    assert digest(base) == digest(base[::-1]) and len(digest(base)) == 12
+    assert digest(base) != digest([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")])  # the positions count
+    assert digest(base) != digest([("b", 1, "x"), ("a", 0, "y"), ("a", 0, "z")])
+    assert digest(base) != digest(base[:2])
 
 
 def test_corpus_digest_ignores_order_but_not_content(spark):
