@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 import re
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fv
@@ -22,8 +24,8 @@ class VersionedTable:
     dies while writing leaves the previous version in force.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, root: str, schema: str, rebuildable: bool = False):
+        self.spark, self.root, self.schema, self.rebuildable = spark, root.rstrip("/"), schema, rebuildable
         self._hadoop = spark._jvm.org.apache.hadoop.fs
         path = self._hadoop.Path(self.root)
         self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -45,7 +47,11 @@ class VersionedTable:
         return max(self._numbers(committed=True), default=0)
 
     def read(self) -> DataFrame:
-        """The table in force.  None yet, or one that cannot be read, is an empty table."""
+        """The table in force; none yet is an empty table.
+
+        One that cannot be opened raises, unless its rows can be made again (`rebuildable`):
+        then it counts as empty and is logged.
+        """
         empty = self.spark.createDataFrame([], self.schema)
         number = self.version()
         if number == 0:
@@ -53,7 +59,10 @@ class VersionedTable:
         try:
             found = self.spark.read.parquet(f"{self.root}/v={number}")
             return found.select(*empty.columns)
-        except Exception:
+        except PySparkException as fault:
+            if not self.rebuildable:
+                raise
+            logging.getLogger(__name__).warning("version %d of %s cannot be read and counts as empty: %s", number, self.root, fault)
             return empty
 
     def replace(self, df: DataFrame) -> int:
@@ -64,8 +73,8 @@ class VersionedTable:
 
 
 def vector_store(spark: SparkSession, root: str) -> VersionedTable:
-    """The embedding store below `root`."""
-    return VersionedTable(spark, root, SCHEMA)
+    """The embedding store below `root`: a cache, so an unreadable version is made anew."""
+    return VersionedTable(spark, root, SCHEMA, rebuildable=True)
 
 
 def store_vectors(store: VersionedTable, known: DataFrame, fresh: DataFrame) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -16,12 +17,20 @@ from ..operators.shuffle import lookup_join
 from ..sources.vectors import ROW_BYTES, VersionedTable, store_vectors, vector_store
 
 CORPUS = ("record_id long, " + ", ".join(f"{c} string" for c in fv.RECORD_COLUMNS)
-          + ", combined_text string, title_text string")
+          + ", combined_text string, title_text string, seq long, served boolean")
+
+
+class EmptyCorpus(ValueError):
+    """A pass would have left nothing to serve."""
 
 
 @dataclass
 class ServedCorpus:
-    """The versioned tables behind search: records with their texts, and vectors by content."""
+    """The versioned tables behind search: records with their texts, and vectors by content.
+
+    A record keeps the `seq` of the change it stems from, and one taken out stays as a row
+    that is not `served`, so a late change never undoes a newer one.
+    """
 
     spark: SparkSession
     root: str
@@ -38,7 +47,7 @@ class ServedCorpus:
     def search_table(self) -> DataFrame:
         """The records in force with `full_vec` and `title_vec`, joined by content key."""
         held = self.vectors.read()
-        out = self.records.read()
+        out = self.records.read().filter("served").drop("seq", "served")
         for text, vec in (("combined_text", "full_vec"), ("title_text", "title_vec")):
             part = held.select(F.col("key").alias("_key"), F.col("vector").alias(vec))
             keyed = out.withColumn("_key", text_key(F.col(text), self.model))
@@ -48,7 +57,7 @@ class ServedCorpus:
 
 def served_rows(records: DataFrame) -> DataFrame:
     """Approved rows as served: cells normalised, both texts attached."""
-    rows = records.select(F.col("id").cast("long").alias("record_id"),
+    rows = records.select(F.col("id").cast("long").alias("record_id"), *[c for c in ("seq", "status") if c in records.columns],
                           *[normalize(F.col(c)).alias(c) for c in fv.RECORD_COLUMNS])
     return rows.filter(F.col("job_title") != "").withColumns({
         "combined_text": display.combined_text(), "title_text": display.title_alias_text()})
@@ -57,17 +66,26 @@ def served_rows(records: DataFrame) -> DataFrame:
 def refresh(corpus: ServedCorpus, changes: DataFrame, udf, force: bool = False) -> int:
     """One pass: encode unknown texts, then publish the records with the changes applied.
 
-    `changes` are record rows with `id`, `status`, ten columns and `seq`; the last row of
-    an id counts, and a row that is not approved takes the record out.  Vectors are
-    published first, so a failure at any point leaves the previous corpus whole.
+    `changes` are record rows with `id`, `status`, ten columns and `seq`; the row of an id with
+    the largest `seq` counts, also against what is served already, and a row that is not
+    approved takes the record out.  Vectors are published first, so a failure at any point
+    leaves the previous corpus whole.  A corpus without records is refused.
     """
-    latest = changes.groupBy("id").agg(F.max_by(F.struct("status", *fv.RECORD_COLUMNS), "seq").alias("r"))
-    latest = latest.select("id", "r.*")
-    fresh = served_rows(latest.filter(F.col("status") == "approved"))
-    kept = corpus.records.read().join(latest.select(F.col("id").cast("long").alias("record_id")),
-                                      "record_id", "left_anti")
-    serving = kept.unionByName(fresh)
-    to_encode = serving if force else fresh
+    latest = changes.groupBy("id").agg(F.max_by(F.struct("status", "seq", *fv.RECORD_COLUMNS), "seq").alias("r"))
+    latest = latest.select(F.col("id").cast("long").alias("id"), "r.*")
+    held = corpus.records.read()
+    known_seq = held.select(F.col("record_id").alias("id"), F.col("seq").alias("held_seq"))
+    news = latest.join(known_seq, "id", "left").filter(F.col("held_seq").isNull() | (F.col("seq") > F.col("held_seq"))).drop("held_seq")
+    good = served_rows(news.filter(F.col("status") == "approved")).drop("status").withColumn("served", F.lit(True))
+    names = good.columns
+    out = news.join(good.select(F.col("record_id").alias("id")), "id", "left_anti").select(
+        F.col("id").alias("record_id"), "seq", F.lit(False).alias("served"), *fv.RECORD_COLUMNS).withColumns(
+        {"combined_text": F.lit(""), "title_text": F.lit("")})
+    kept = held.join(news.select(F.col("id").alias("record_id")), "record_id", "left_anti")
+    serving = kept.select(*names).unionByName(good).unionByName(out.select(*names))
+    if serving.filter("served").isEmpty():
+        raise EmptyCorpus("no record would be served; the previous version stays")
+    to_encode = (serving if force else good).filter("served")
     texts = (to_encode.select(F.col("combined_text").alias("text"))
              .unionByName(to_encode.select(F.col("title_text").alias("text"))))
     known = corpus.vectors.read()
@@ -84,17 +102,27 @@ def refresh_stream(changes: DataFrame, corpus: ServedCorpus, udf, checkpoint: st
 
     Changes arriving during a pass wait for the next micro-batch and are served by one
     pass together; a request to re-encode (`force` names a boolean column) holds for the
-    whole batch when any row asks for it.  A pass that fails is run again by the stream,
-    and until then the previous version stays in force.
+    whole batch when any row asks for it.  A pass that fails leaves the previous version in
+    force, is logged, and its changes wait in `waiting` below the corpus: the next pass
+    takes them along.
     """
+    waiting = VersionedTable(corpus.spark, f"{corpus.root}/waiting", changes.schema.simpleString()[7:-1])
+
     def run(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
+        if batch.isEmpty():
+            return
+        held = waiting.read()
+        due = batch.select(*held.columns).unionByName(held).persist()
         try:
-            if batch.isEmpty():
-                return
-            strongest = bool(force) and bool(batch.agg(F.max(F.col(force))).first()[0])
-            refresh(corpus, batch, udf, strongest)
+            strongest = bool(force) and bool(due.agg(F.max(F.col(force))).first()[0])
+            refresh(corpus, due, udf, strongest)
+        except Exception as fault:  # whatever went wrong, the changes must not be lost
+            logging.getLogger(__name__).warning("pass %d failed, its changes wait for the next: %s", number, fault)
+            waiting.replace(due)
+        else:
+            if not held.isEmpty():
+                waiting.replace(due.limit(0))
         finally:
-            batch.unpersist()
+            due.unpersist()
 
     return changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

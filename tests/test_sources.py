@@ -12,7 +12,7 @@ from recordloom.functions.text import normalize
 from recordloom.plans.corpus import assemble_master
 from recordloom.sources import records as R
 from recordloom.sources.vectors import SCHEMA, import_legacy, store_vectors, vector_store
-from recordloom.streaming.refresh import ServedCorpus, refresh_stream
+from recordloom.streaming.refresh import EmptyCorpus, ServedCorpus, refresh, refresh_stream
 
 
 def _csv(path, header, rows):
@@ -113,6 +113,64 @@ def test_unfinished_or_unreadable_versions_do_not_count(spark, tmp_path):
     assert store.version() == 9 and store.read().count() == 0
 
 
+def _changes(spark, *rows):
+    schema = "id long, status string, seq long, " + ", ".join(f"{c} string" for c in fv.RECORD_COLUMNS)
+    return spark.createDataFrame([(i, s, q, t, *["c"] * (len(fv.RECORD_COLUMNS) - 1)) for i, s, q, t in rows], schema)
+
+
+def _titles(corpus):
+    return {r["record_id"]: r["job_title"] for r in corpus.search_table().collect()}
+
+
+def test_refresh_keeps_the_newest_and_never_empties(spark, tmp_path):
+    udf = encoder_udf(lambda ts: np.array([[len(t), 1.0] for t in ts]))
+    corpus = ServedCorpus(spark, str(tmp_path / "c"))
+    refresh(corpus, _changes(spark, (1, "approved", 1, "one"), (2, "approved", 9, "two")), udf)
+    refresh(corpus, _changes(spark, (2, "approved", 3, "old two"), (1, "rejected", 5, "one")), udf)
+    assert _titles(corpus) == {2: "two"}
+    refresh(corpus, _changes(spark, (1, "approved", 4, "late one"), (3, "approved", 1, "three")), udf)
+    assert _titles(corpus) == {2: "two", 3: "three"}
+    version = corpus.records.version()
+    with pytest.raises(EmptyCorpus):
+        refresh(corpus, _changes(spark, (2, "rejected", 20, ""), (3, "rejected", 20, "")), udf)
+    assert corpus.records.version() == version and _titles(corpus) == {2: "two", 3: "three"}
+
+
+def test_damaged_records_raise(spark, tmp_path):
+    udf = encoder_udf(lambda ts: np.array([[len(t), 1.0] for t in ts]))
+    corpus = ServedCorpus(spark, str(tmp_path / "c"))
+    refresh(corpus, _changes(spark, (1, "approved", 1, "one"), (2, "approved", 1, "two")), udf)
+    (tmp_path / "c" / "records" / "v=2").mkdir()
+    (tmp_path / "c" / "records" / "v=2" / "_SUCCESS").touch()
+    with pytest.raises(Exception, match="schema|SCHEMA"):
+        refresh(corpus, _changes(spark, (3, "approved", 1, "three")), udf)
+    assert corpus.records.version() == 2
+
+
+def test_failing_pass_waits_for_the_next(spark, tmp_path):
+    source, flag = str(tmp_path / "in"), tmp_path / "fail"
+    corpus = ServedCorpus(spark, str(tmp_path / "c"))
+
+    def encode(texts, flag=str(flag)):
+        import os
+        if os.path.exists(flag):
+            raise RuntimeError("no encoder")
+        return np.array([[len(t), 1.0] for t in texts])
+
+    def run(*rows):
+        batch = _changes(spark, *rows)
+        batch.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(batch.schema).parquet(source)
+        refresh_stream(stream, corpus, encoder_udf(encode), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    run((1, "approved", 1, "one"))
+    flag.touch()
+    run((2, "approved", 2, "two"))
+    assert _titles(corpus) == {1: "one"}
+    flag.unlink()
+    run((3, "approved", 3, "three"))
+    assert _titles(corpus) == {1: "one", 2: "two", 3: "three"}
+
+
 def test_legacy_import(spark, tmp_path):
     store = vector_store(spark, str(tmp_path / "s"))
     texts = spark.createDataFrame([("full", 0, "x"), ("full", 1, "y"), ("title", 0, "x")], "grp string, seq int, text string")
