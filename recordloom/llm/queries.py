@@ -20,8 +20,5 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op2_line_dedup": line_dedup.OP2_SQL,
-    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
-    "op6_license_scan": license_scan.op6_license_scan,
-    "op7_bag_minhash": bag_minhash.op7_bag_minhash,
     "op9_warc_revisits": warc.OP9_SQL,
 }
