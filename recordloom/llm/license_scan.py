@@ -147,11 +147,13 @@ def matches(text: str | None, index: Index, band: int = BAND, least: float = MIN
     spans = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(text)]
     ids = np.array([index.number.get(w, 0) for _, _, w in spans], np.int64)
     seen: dict[tuple[int, int], int] = {}
+    # A short template has a narrower band, so that copies in a row stay apart.
+    bands = [max(1, min(band, len(body) // 2)) for body in index.bodies]
     for t, at, p in index.hits(ids):
-        seen.setdefault((t, (at - p) // band), at - p)
+        seen.setdefault((t, (at - p) // bands[t]), at - p)
     found: list[tuple] = []
     for (t, _), shift in seen.items():
-        body = index.bodies[t]
+        body, band = index.bodies[t], bands[t]
         a = max(0, shift - band)
         matched, first, last = aligned(ids[a:shift + len(body) + band + 1], body, shift - a, band)
         if matched >= least * len(body) and matched:
