@@ -107,14 +107,14 @@ def cutoffs(labelled: DataFrame, risk: float = RISK, error: float = ERROR, grid:
     above = Window.partitionBy("stratum").orderBy(F.desc("reached"))
     sums = per.withColumns({c: F.sum(c).over(above) for c in ("good_fit", "bad_fit", "good_held")})
     whole = per.groupBy("stratum").agg(F.sum("good_held").alias("n"))
-    strata = whole.agg(F.count(F.lit(1)).alias("strata"))
+    strata = whole.agg(F.count(F.lit(1)).alias("strata")).scalar()
     # A step nobody reached exactly has the counts of the next step reached.
     slots = whole.select("stratum", "n", F.posexplode(steps).alias("at", "cutoff"))
     reached = slots.alias("s").join(sums.alias("x"), F.col("s.stratum").eqNullSafe(F.col("x.stratum"))
                                     & (F.col("x.reached") > F.col("s.at")), "left")
     tests = reached.groupBy("s.stratum", "n", "cutoff").agg(
         *[F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in ("good_fit", "bad_fit", "good_held")])
-    tests = tests.join(F.broadcast(strata)).withColumn("level", F.lit(error) / (F.col("strata") * len(grid)))
+    tests = tests.withColumn("level", F.lit(error) / (strata * len(grid)))
     gain = F.col("bad_fit") - F.lit(PRICE) * F.col("good_fit")
     admitted = tests.filter((binomial_tail(F.col("n"), F.col("good_held"), risk) <= F.col("level")) & (gain > 0))
     best = admitted.groupBy("stratum").agg(F.max_by("cutoff", F.struct(gain, F.col("cutoff"))).alias("cutoff"))
