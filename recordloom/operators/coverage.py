@@ -65,8 +65,8 @@ class ProfileIndex:
     `forms` holds one row per distinct `(field, words)`; profiles sharing an item share
     the row.  `probes` lists what a record word may equal: a profile word itself (met by
     any record word it is a prefix of) or one of its proper prefixes (met by the record
-    word that is exactly it).  That turns the two-way prefix test into one equi-join that
-    produces true matches only, whatever prefix is common.
+    word that is exactly it).  `kind` tells them apart and is part of the key, which turns
+    the two-way prefix test into one equi-join whose every candidate is a match.
     """
 
     def __init__(self, profiles: DataFrame, words: Column | None = None):
@@ -99,14 +99,14 @@ class ProfileIndex:
     def met_words(self, rows: DataFrame, word: str) -> DataFrame:
         """`rows` joined to each profile word that its column `word` meets (`met`)."""
         reach = F.col(word)
-        prefixes = _leading(reach, F.lit(self.longest))
-        probes = F.transform(prefixes, lambda p: F.struct(
-            p.alias("probe"), (p == reach).alias("whole")))
-        spread = rows.withColumn("_p", F.explode(probes)).select(
-            *rows.columns, F.col("_p.probe").alias("probe"), F.col("_p.whole").alias("_whole"))
+        prefixes = F.transform(_leading(reach, F.lit(self.longest)), lambda p: F.struct(
+            p.alias("probe"), F.lit(PREFIX).alias("kind")))
+        whole = F.array(F.struct(reach.alias("probe"), F.lit(WHOLE).alias("kind")))
         # A record word longer than every profile word can only be met as an extension.
-        hits = spread.join(self.probes.withColumnRenamed("word", "met"), ["field", "probe"])
-        return hits.filter((F.col("kind") == PREFIX) | F.col("_whole")).drop("probe", "kind", "_whole")
+        probes = F.concat(prefixes, F.when(F.char_length(reach) < self.longest, whole)
+                          .otherwise(F.slice(whole, 1, 0)))
+        spread = rows.withColumn("_p", F.explode(probes)).select(*rows.columns, "_p.probe", "_p.kind")
+        return spread.join(self.probes.withColumnRenamed("word", "met"), ["field", "probe", "kind"]).drop("probe", "kind")
 
 
 def _meets(a: Column, b: Column) -> Column:

@@ -112,6 +112,17 @@ def test_design_pair_stays_apart(spark):
     assert {x["doc_id"]: x["n_matched"] for x in got} == {2: 1, 3: 1}
 
 
+def test_a_shared_prefix_makes_no_candidates(spark):
+    profiles = spark.range(300).selectExpr("1L AS profile_id", "'skills' AS field", "concat('sharedu', id) AS item")
+    index = C.ProfileIndex(profiles)
+    own = spark.range(300).selectExpr("id", "'skills' AS field", "concat('sharedr', id) AS own")
+    met = index.met_words(own.union(spark.sql("SELECT 300L, 'skills', 'sharedu7'")), "own")
+    # The join's own rows: each is a match, and nothing is filtered after it.
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("Filter")
+    assert {r["met"] for r in met.collect()} == {"sharedu7", *(f"sharedu{i}" for i in range(70, 80))}
+
+
 def test_gate_and_empty_profiles(spark, case):
     _, _, r, _, vp, _ = case
     p = spark.createDataFrame([(0, "skills", 0, "unheard"), (0, "tools", 1, "data"), (1, "skills", 0, " - ")],
