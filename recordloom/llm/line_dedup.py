@@ -3,8 +3,8 @@
 Lines are normalised (lower case, runs of ASCII white space as one space, trimmed) and grouped
 by digest over the whole table; the occurrence that ranks first, by doc_id (nulls last), row
 digest and line number, stays and all others go.  Grouping aggregates on the map side, so a
-line that a third of all rows share reaches the reducer once a task.  Lines of fewer than
-`MIN_WORDS` words are no evidence of copying and stay.
+line that a third of all rows share reaches the reducer once a task.  Every line that is not
+blank is a unit; `min_words` lets a caller spare lines of fewer words, blank lines always stay.
 
 Defined cases: a null text has no lines and stays null; rows equal in doc_id and text are one
 document and lose the same lines; a document may lose all its lines and keeps an empty text;
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import GAP, by_batch, column, digest, read
 
+#: The floor of `OP2_SQL`, which checks the query called with it; by default the query has none.
 MIN_WORDS = 5
 
 
@@ -30,11 +31,12 @@ def keyed(docs: DataFrame) -> DataFrame:
         .withColumn("row_key", digest(F.col("doc_id"), F.col("text")))
 
 
-def repeats(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeats(rows: DataFrame, min_words: int = 1) -> DataFrame:
     """(row_key, cuts): the numbers of the lines to remove with the document that keeps each."""
     lines = rows.select("row_key", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
     plain = F.trim(F.regexp_replace(F.lower("raw"), GAP, " "))
-    units = (lines.withColumn("plain", plain).filter(F.size(F.split("plain", " ")) >= min_words)
+    counts = (F.col("plain") != "") & (F.size(F.split("plain", " ")) >= min_words if min_words > 1 else F.lit(True))
+    units = (lines.withColumn("plain", plain).filter(counts)
              .select(F.unhex(F.md5("plain")).alias("unit"),
                      F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "line").alias("at")))
     first = (units.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("keeper"))
@@ -49,7 +51,7 @@ def repeats(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 SPANS = "array<struct<start:long,length:long,kept_in:long,kept_line:int>>"
 
 
-def with_removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def with_removals(docs: DataFrame, min_words: int = 1) -> DataFrame:
     """`row` (the document) with `kept_text`, `n_lines` and `spans` in characters of the original text."""
     rows = keyed(docs)
     joined = rows.join(repeats(rows, min_words), "row_key", "left").select("row", "text", "cuts")
@@ -77,16 +79,16 @@ def with_removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return by_batch(joined, work, schema, "text")
 
 
-def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = 1) -> DataFrame:
     """The documents, their own columns, with repeated lines taken out of the text."""
     out = with_removals(docs, min_words)
     return out.select(*[F.col("kept_text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
-def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op2_line_dedup(spark: SparkSession, sf_dir: str, min_words: int = 1) -> DataFrame:
     """Every document without its repeated lines; `removed` lists start:length:keeper of what went."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    out = with_removals(docs)
+    out = with_removals(docs, min_words)
     shown = F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["length"], s["kept_in"]))
     return out.select("row.doc_id", F.col("kept_text").alias("text"), "n_lines",
                       F.size("spans").cast("long").alias("n_removed"), F.array_join(shown, ";").alias("removed"))

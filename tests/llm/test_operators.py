@@ -71,6 +71,38 @@ def test_line_dedup(spark, none):
     assert line_dedup.deduplicated(none).columns == none.columns and line_dedup.deduplicated(none).count() == 0
 
 
+def _lines_removed(rows):
+    """(doc_id -> kept text, removed line numbers with the document that keeps each), every non-blank line a unit."""
+    keeper, out = {}, {}
+    for doc_id, text in sorted(rows):
+        if text is None:
+            out[doc_id] = (None, [])
+            continue
+        kept, gone = [], []
+        for i, line in enumerate(text.split("\n")):
+            plain = re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
+            first = keeper.setdefault(plain, (doc_id, i)) if plain else (doc_id, i)
+            if first == (doc_id, i):
+                kept.append(line)
+            else:
+                gone.append((i, first[0]))
+        out[doc_id] = ("\n".join(kept), gone)
+    return out
+
+
+def test_line_dedup_of_short_and_unspaced_lines(spark):
+    han = "版权所有未经许可不得转载本网站的任何内容"
+    rows = [(1, f"All rights reserved.\n\n{han}\nx"), (2, f"all  RIGHTS reserved.\n\t\n{han}\nown"),
+            (3, f"{han}\n \nx\n\n\nall rights reserved.\n---"), (4, "---\n\nx"), (5, None)]
+    docs = table(spark, [(i, t, "en") for i, t in rows])
+    out = {r["doc_id"]: r for r in line_dedup.with_removals(docs).select(F.col("row.doc_id"), "kept_text", "spans").collect()}
+    expected = _lines_removed(rows)
+    assert {i: (r["kept_text"], [s["kept_in"] for s in r["spans"]]) for i, r in out.items()} == \
+        {i: (text, [k for _, k in gone]) for i, (text, gone) in expected.items()}
+    assert out[2]["kept_text"] == "\t\nown" and out[3]["kept_text"] == " \n\n\n---" and out[4]["kept_text"] == ""
+    assert line_dedup.with_removals(docs, 5).filter("size(spans) > 0").count() == 0
+
+
 # ---------------------------------------------------------------- 3 packing
 def test_tokens_equal_the_tokenizers(spark):
     from tokenizers import Tokenizer
