@@ -1,10 +1,14 @@
 """License texts found in documents by winnowed fingerprints and banded alignment.
 
-Templates are word sequences.  Their word k-grams are hashed and winnowed: of every `WINDOW`
-k-grams in a row the least hash is kept, so any shared passage of `WINDOW` + `GRAM` - 1 words
-shares a fingerprint.  The inverted index (fingerprint -> template, position) is as large as
-the templates, which are a parameter, and goes to the tasks with the job.  Documents are read
-once; a document word outside the templates' vocabulary hits no fingerprint.  Hits on one diagonal band make a candidate; a banded alignment over that
+Templates are word sequences.  Their word k-grams are hashed and winnowed: of every `window`
+k-grams in a row the least hash is kept, so any shared passage of `window` + `GRAM` - 1 words
+shares a fingerprint.  `window` is `WINDOW` or less: so small that a copy with as many words lost
+or replaced as the coverage allows, and one word put in, still has such a passage.  A template too
+short for that is found by single words instead, one more of its rarest than may be missing, of
+which every copy has one.  The inverted index (fingerprint or word -> template, position) is as
+large as the templates, which are a parameter, and goes to the tasks with the job.  Documents are
+read once; a document word outside the templates' vocabulary hits no fingerprint.  Hits on one
+diagonal band make a candidate (single words: on one diagonal); a banded alignment over that
 part of the document scores matches against gaps and substitutions and reports the matched
 words of the template, the coverage and the span in characters.
 
@@ -85,31 +89,47 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 class Index:
-    """Vocabulary, word sequences and fingerprints of the templates."""
+    """Vocabulary, word sequences, fingerprints and single words of the templates, for matches that cover `least`."""
 
-    def __init__(self, templates: dict[str, str], gram: int = GRAM, window: int = WINDOW):
+    def __init__(self, templates: dict[str, str], gram: int = GRAM, window: int = WINDOW, least: float = MIN_COVERAGE):
         self.gram, self.names = gram, list(templates)
         self.number: dict[str, int] = {}
         self.bodies = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in words_of(t)], np.int64)
                        for t in templates.values()]
-        entries = [(h, t, p) for t, body in enumerate(self.bodies) for hs in (grams(body, gram),)
-                   for p in winnow(hs, window) for h in (hs[p],)]
-        entries.sort(key=lambda e: int(e[0]))
-        self.hashes = np.array([e[0] for e in entries], np.uint64)
-        self.template = np.array([e[1] for e in entries], np.int64)
-        self.position = np.array([e[2] for e in entries], np.int64)
+        uses = np.bincount(np.concatenate([np.zeros(0, np.int64), *self.bodies]))
+        sizes = [0, *map(len, self.number)]
+        printed: list[tuple[int, int, int]] = []
+        single: list[tuple[int, int, int]] = []
+        self.singly = []
+        for t, body in enumerate(self.bodies):
+            missing = next(k for k in range(len(body), -1, -1) if len(body) - k >= least * len(body))
+            run = -(-(len(body) - missing) // (missing + 2))
+            self.singly.append(run < gram)
+            if run < gram:
+                # Rare: few uses in the templates, then long words.
+                order = sorted(range(len(body)), key=lambda p: (uses[body[p]], -sizes[body[p]], p))
+                single += [(int(body[p]), t, p) for p in order[:missing + 1]]
+            else:
+                hs = grams(body, gram)
+                printed += [(int(hs[p]), t, int(p)) for p in winnow(hs, min(window, run - gram + 1))]
+        self.printed, self.single = (
+            (np.array([e[0] for e in entries], kind), np.array([e[1] for e in entries], np.int64),
+             np.array([e[2] for e in entries], np.int64))
+            for entries, kind in ((sorted(printed), np.uint64), (sorted(single), np.int64)))
 
     def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(template, position in the document, position in the template) of equal fingerprints."""
+        """(template, position in the document, position in the template) of equal fingerprints and single words."""
         known = np.flatnonzero(ids > 0)
-        if len(known) < self.gram:
-            return
-        hashes = grams(ids, self.gram)
-        low = np.searchsorted(self.hashes, hashes, "left")
-        high = np.searchsorted(self.hashes, hashes, "right")
-        for at in np.flatnonzero(high > low):
-            for e in range(low[at], high[at]):
-                yield int(self.template[e]), int(at), int(self.position[e])
+        for (keys, template, position), found, at_of in ((self.single, ids[known], known),
+                                                         (self.printed, grams(ids, self.gram), None)):
+            if len(known) < (1 if at_of is not None else self.gram):
+                continue
+            low = np.searchsorted(keys, found, "left")
+            high = np.searchsorted(keys, found, "right")
+            for k in np.flatnonzero(high > low):
+                at = int(k if at_of is None else at_of[k])
+                for e in range(low[k], high[k]):
+                    yield int(template[e]), at, int(position[e])
 
 
 def aligned(doc: np.ndarray, template: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
@@ -141,7 +161,7 @@ def aligned(doc: np.ndarray, template: np.ndarray, shift: int, band: int) -> tup
 
 
 def matches(text: str | None, index: Index, band: int = BAND, least: float = MIN_COVERAGE) -> list[tuple]:
-    """(template, matched words, template words, coverage, start, end) in one text."""
+    """(template, matched words, template words, coverage, start, end) in one text; `index` is made for `least` or less."""
     if not text:
         return []
     spans = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(text)]
@@ -150,7 +170,7 @@ def matches(text: str | None, index: Index, band: int = BAND, least: float = MIN
     # A short template has a narrower band, so that copies in a row stay apart.
     bands = [max(1, min(band, len(body) // 2)) for body in index.bodies]
     for t, at, p in index.hits(ids):
-        seen.setdefault((t, (at - p) // bands[t]), at - p)
+        seen.setdefault((t, at - p if index.singly[t] else (at - p) // bands[t]), at - p)
     found: list[tuple] = []
     for (t, _), shift in seen.items():
         body, band = index.bodies[t], bands[t]
@@ -172,7 +192,7 @@ MATCH = ("doc_id long, template string, matched_words long, template_words long,
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, band: int = BAND, least: float = MIN_COVERAGE) -> DataFrame:
     """One row per license found in a document, its span in characters (code points)."""
-    index = Index(templates)
+    index = Index(templates, least=least)
 
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = [(doc, *m) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())

@@ -216,6 +216,41 @@ def test_license_scan(spark, odd, none):
     assert license_scan.scan(none).count() == 0 and license_scan.scan(docs, {}).count() == 0
 
 
+def _found(name, words, index):
+    text = " ".join(["some words before", *words, "and some after"])
+    return max((m[1] for m in license_scan.matches(text, index) if m[0] == name), default=0)
+
+
+def _short():
+    return {n: license_scan.words_of(t) for n, t in license_scan.TEMPLATES.items() if len(license_scan.words_of(t)) <= 12}
+
+
+@pytest.mark.parametrize("name", sorted(_short()))
+def test_every_one_word_edit_of_a_short_notice_is_found(name):
+    index, words = license_scan.Index(license_scan.TEMPLATES), _short()[name]
+    n = len(words)
+    for i in range(n):
+        assert _found(name, words[:i] + words[i + 1:], index) == n - 1, ("deleted", i)
+        assert _found(name, words[:i] + ["zzz"] + words[i + 1:], index) == n - 1, ("substituted", i)
+        assert _found(name, words[:i] + ["zzz"] + words[i:], index) == n, ("inserted", i)
+        for j in range(n - 1):  # and a word put in besides
+            left = words[:i] + words[i + 1:]
+            assert _found(name, left[:j] + ["zzz"] + left[j:], index) == n - 1, ("deleted and inserted", i, j)
+
+
+@pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
+def test_the_worst_edits_that_coverage_allows_are_found(name):
+    index, words = license_scan.Index(license_scan.TEMPLATES), license_scan.words_of(license_scan.TEMPLATES[name])
+    t, n = index.names.index(name), len(words)
+    edited = list(words)
+    for _ in range(n - math.ceil(0.8 * n)):  # the word whose loss leaves the fewest hits
+        def hits(i):
+            ids = np.array([index.number.get(w, 0) for w in edited[:i] + ["zzz"] + edited[i + 1:]])
+            return sum(u == t and at == p for u, at, p in index.hits(ids))
+        edited[min((i for i in range(n) if edited[i] != "zzz"), key=hits)] = "zzz"
+    assert _found(name, edited, index) == sum(w != "zzz" for w in edited)
+
+
 def test_winnow_guarantees_a_shared_fingerprint():
     rng = np.random.default_rng(5)
     shared = rng.integers(0, 1000, 6)
