@@ -40,7 +40,7 @@ STAGES = [
     ("packing", sequences),
 ]
 
-#: Holdout folds, near-duplicate classes and packing go beyond SQL: see tests/llm/test_pipeline.py.
+#: Holdout folds, near-duplicate classes and packing go beyond SQL: tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
