@@ -27,8 +27,9 @@ def profile_rank(records: DataFrame, profiles: DataFrame, vectors: DataFrame, in
     Records carry `record_id`, `full_vec` and the list cells; `profiles` are cleaned
     rows; `vectors` is `(profile_id, query_vec)`.
 
-    Coverage reaches the vector scan as a short list per record, so every record takes
-    part with both halves of its score and no record-by-profile table is formed.
+    Coverage reaches the vector scan as a list per record, so every record takes part with
+    both halves of its score.  The list holds each profile that shares a form with the
+    record; it is not bounded, and grows with the profile table.
     """
     index = index or ProfileIndex(profiles)
     asked = vectors.join(profiles.select("profile_id").distinct(), "profile_id", "left_semi")
