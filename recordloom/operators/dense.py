@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
+from ..session import fresh_path, stored
 from .shuffle import number_rows, top_per_group
 
 BLOCK_ROWS = 4096
@@ -126,7 +128,8 @@ def _blocks(questions: DataFrame, block_rows: int) -> Iterator[tuple[np.ndarray,
     if first.num_rows <= block_rows:
         tables = iter([first])
     else:
-        n, numbered = questions.count(), number_rows(questions, ["query_id"], "_no")
+        del first
+        n, numbered = questions.count(), stored(number_rows(questions, ["query_id"], "_no"), "questions")
         tables = (numbered.filter((F.col("_no") > start) & (F.col("_no") <= start + block_rows))
                   .select("query_id", "vec").toArrow() for start in range(0, n, block_rows))
     for table in tables:
@@ -143,7 +146,8 @@ def dense_topk(records: DataFrame, doc_id: str, vector: Column, questions: DataF
 
     The record vectors are scanned where they lie.  Each task multiplies its Arrow
     batches with a question block of bounded size and hands on `k` rows per question;
-    more questions mean more blocks, never a larger broadcast.
+    more questions mean more blocks, never a larger broadcast.  Several blocks are run and
+    stored one after the other: the driver holds a few at most, and the plan reads one table.
 
     `bonus`, an array of struct(query_id, value) per record, is blended in by `weights`;
     the result then has `score` beside `dense`.
@@ -153,12 +157,19 @@ def dense_topk(records: DataFrame, doc_id: str, vector: Column, questions: DataF
     asked = questions.select(F.col(query_id).cast("long").alias("query_id"),
                              F.col(query_vector).alias("vec"))
     schema = "query_id long, doc_id long, dense double, score double"
-    scans = [corpus.mapInArrow(_scanner(ids, matrix, k, weights), schema)
-             for ids, matrix in _blocks(asked, block_rows)]
-    if not scans:
+    blocks = _blocks(asked, block_rows)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
         found = corpus.sparkSession.createDataFrame([], schema)
+    elif second is None:
+        found = corpus.mapInArrow(_scanner(*first, k, weights), schema)
     else:
-        found = reduce(DataFrame.unionByName, scans)
+        path = fresh_path(corpus.sparkSession, "dense")
+        blocks = chain([first, second], blocks)
+        del first, second
+        for block in blocks:
+            corpus.mapInArrow(_scanner(*block, k, weights), schema).write.mode("append").parquet(path)
+        found = corpus.sparkSession.read.schema(schema).parquet(path)
     best = top_per_group(found, ["query_id"],
                          [F.round("score", SCORE_DIGITS).desc(), F.col("doc_id").asc()], k)
     return best if weights else best.drop("score")

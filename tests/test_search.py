@@ -2,6 +2,7 @@
 
 import math
 import random
+import weakref
 from collections import Counter
 
 import numpy as np
@@ -101,6 +102,25 @@ def test_dense_topk(spark, block_rows):
         assert {r["rank"]: r["doc_id"] for r in rows if r["query_id"] == i * 3} == {n + 1: d for n, d in enumerate(order)}
 
 
+def test_dense_blocks_are_run_one_at_a_time(spark, monkeypatch):
+    records = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(_vectors(20, 4, 1))], "id long, v array<float>")
+    questions = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(_vectors(9, 4, 2))], "q long, v array<float>")
+    live, most = [], []
+    blocks = dense._blocks
+
+    def watched(*args):
+        for ids, matrix in blocks(*args):
+            live.append(weakref.ref(matrix))
+            most.append(sum(r() is not None for r in live))
+            yield ids, matrix
+            del ids, matrix
+    monkeypatch.setattr(dense, "_blocks", watched)
+    found = dense.dense_topk(records, "id", F.col("v"), questions, "q", "v", 2, block_rows=1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(live) == 9 and max(most) <= 4 and "Union" not in plan and "MapInArrow" not in plan
+    assert found.count() == 18
+
+
 def test_dense_topk_of_few_records(spark):
     records = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, v array<float>")
     rows = dense.dense_topk(records, "id", F.col("v"), records, "id", "v", 15).collect()
