@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (bag_minhash, hnsw, kd_sharding, license_scan, line_dedup, packing, quality_rules, sentencepiece_unigram,
+from . import (bag_minhash, fill_in_middle, hnsw, kd_sharding, license_scan, line_dedup, packing, quality_rules, sentencepiece_unigram,
                suffix_dedup, warc)
 
 QUERIES = {
@@ -16,9 +16,11 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece_unigram.op8_sentencepiece,
     "op9_warc_revisits": warc.op9_warc_revisits,
     "op10_hnsw": hnsw.op10_hnsw,
+    "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
 ORACLE: dict[str, str] = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op9_warc_revisits": warc.OP9_SQL,
+    "op13_fill_in_middle": fill_in_middle.OP13_SQL,
 }
