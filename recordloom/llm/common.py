@@ -40,7 +40,16 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     """`df` written once, compressed well, below the shared folder and read back."""
     path = fresh_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Delete what `saved` wrote for these tables, once all that read them is written itself."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def dealt(df: DataFrame) -> DataFrame:

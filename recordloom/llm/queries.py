@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (bag_minhash, fill_in_middle, hnsw, kd_sharding, license_scan, line_dedup, packing, quality_rules, sentencepiece_unigram,
-               suffix_dedup, warc)
+from . import (bag_minhash, fill_in_middle, hnsw, kd_sharding, license_scan, line_dedup, merkle, packing, quality_rules,
+               sentencepiece_unigram, suffix_dedup, warc)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,11 +16,13 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece_unigram.op8_sentencepiece,
     "op9_warc_revisits": warc.op9_warc_revisits,
     "op10_hnsw": hnsw.op10_hnsw,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
 ORACLE: dict[str, str] = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op9_warc_revisits": warc.OP9_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
     "op13_fill_in_middle": fill_in_middle.OP13_SQL,
 }
