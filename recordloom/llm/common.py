@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 import pyarrow as pa
@@ -36,12 +38,35 @@ def digest(*parts: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x1f", *tagged)))
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+#: The tables written in each open `scratch` block.
+_SCRATCH: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scratch", default=())
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that `saved` writes within are deleted at the end, but for those to `keep`, which the block around inherits.
+
+    Nothing that leaves the block may still read them: results are written (`saved(..., keep=True)`) before it ends.
+    """
+    outer = _SCRATCH.get()
+    tables: list[DataFrame] = []
+    token = _SCRATCH.set((*outer, tables))
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        removed(*tables)
+
+
+def saved(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """`df` written once, compressed well, below the shared folder and read back."""
     path = fresh_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    blocks = _SCRATCH.get()[:-1] if keep else _SCRATCH.get()
+    if blocks:
+        blocks[-1].append(out)
     return out
 
 
@@ -58,6 +83,25 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def packed(df: DataFrame, name: str = "text") -> DataFrame:
+    """`df` with a string column as compressed bytes, for texts that have to travel; nulls stay null."""
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == name else f for f in df.schema.fields])
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        import zstandard
+        pack = zstandard.ZstdCompressor(level=1).compress
+        texts = pa.array([None if t is None else pack(t.encode()) for t in batch.column(name).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([texts if c == name else batch.column(c) for c in batch.schema.names], names=batch.schema.names)
+    return by_batch(df, work, schema, name, 1 << 20)
+
+
+def unpacked(column: pa.Array) -> list[bytes | None]:
+    """The bytes of texts that `packed` compressed."""
+    import zstandard
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [None if t is None else unpack(t) for t in column.to_pylist()]
+
+
 def by_batch(df: DataFrame, work: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], schema: T.StructType | str,
              bytes_column: str | None = None, most: int = 8 << 20) -> DataFrame:
     """`work` on Arrow batches, each cut further so that `bytes_column` holds about `most` bytes."""

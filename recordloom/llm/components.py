@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import saved
+from .common import removed, saved
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,7 +26,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         floor = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(floor, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = saved(down.unionByName(floor.select("u", F.col("m").alias("v"))).distinct(), "links")
+        after = saved(down.unionByName(floor.select("u", F.col("m").alias("v"))).distinct(), "links")
+        removed(edges)
+        edges = after
         state, before = _state(edges), state
         if state == before:
             break

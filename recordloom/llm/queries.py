@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (bag_minhash, fill_in_middle, hnsw, kd_sharding, license_scan, line_dedup, merkle, packing, quality_rules,
-               sentencepiece_unigram, suffix_dedup, warc)
+from . import (bag_minhash, fill_in_middle, hnsw, kd_sharding, license_scan, line_dedup, merkle, nn_descent, packing,
+               quality_rules, sentencepiece_unigram, suffix_dedup, warc)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_warc_revisits": warc.op9_warc_revisits,
     "op10_hnsw": hnsw.op10_hnsw,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_nn_descent": nn_descent.op12_nn_descent,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
