@@ -7,7 +7,8 @@ Every byte covered by a string of `LENGTH` bytes that also starts anywhere else
    position relative to the anchor.  Successive windows with one anchor form a fragment.
 2. Buckets are counted over all documents.  A bucket with one fragment repeats nothing; one
    whose fragments are all identical repeats all its windows.  Only buckets with different
-   fragments are built: their fragments, each distinct one once, move to their bucket's task.
+   fragments are built: their fragments, each distinct one once, with the number of its
+   occurrences, move to their bucket's task.
 3. There the fragments are the documents of a collection aligned at their anchors.  Columns are
    taken from the right; each round inserts one symbol per fragment, re-sorting the collection
    by it (a stable pass over the order before, which is the column's Burrows-Wheeler transform)
@@ -35,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import by_batch, column, cut, dealt, read, saved
+from .common import by_batch, column, cut, dealt, packed, read, saved, scratch, unpacked
 from .shingles import mix
 
 LENGTH = 200
@@ -191,9 +192,10 @@ def ranges(offsets: np.ndarray) -> list[dict]:
 
 
 def _keys(docs: DataFrame) -> DataFrame:
-    """(row, text, k, c): the document packed, its text, and a hash and a second hash of id and text."""
+    """(row, text, k, c): the document's other columns packed, its text, and a hash and a second hash of id and text."""
     parts = (column(docs, "doc_id", "long"), column(docs, "text", "string"))
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), parts[1].alias("text"),
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"] or [F.lit(None).cast("string").alias("none")]
+    return docs.select(F.struct(*others).alias("row"), parts[1].alias("text"),
                        F.xxhash64(*parts).alias("k"), F.hash(*parts).bitwiseAND(F.lit((1 << 21) - 1)).cast("long").alias("c"))
 
 
@@ -236,115 +238,111 @@ def _result(texts: list[bytes | None], spans: list[np.ndarray], keep_text: bool)
 
 
 def with_removals(docs: DataFrame, keep_text: bool = True) -> DataFrame:
-    """`row` (the document) with n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the `kept` text."""
+    """`row` (the document's other columns) with n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the `kept` text.
+
+    Texts travel twice, compressed: to give the fragments that need a build, and to meet their spans.
+    """
     rows = dealt(_keys(docs))
-    listed = _listed(rows)
-    buckets = (listed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
-               .filter("n > 1").select("bucket", (F.col("low") == F.col("high")).alias("alike")))
-    # A text's own fragments: bounded by its length.
-    hits = listed.join(buckets, "bucket").groupBy("k").agg(F.collect_set(F.struct("at", "bucket", "alike")).alias("hits"))
+    spans = _spans(rows)
     names = [f.split()[0] for f in RESULT.split(", ")]
-    row_field = rows.schema["row"]
-    first_schema = T.StructType([row_field, *T.DataType.fromDDL(RESULT).fields, T.StructField("text", T.BinaryType()),
-                                 T.StructField("spans", T.BinaryType()),
-                                 T.StructField("open", T.DataType.fromDDL("array<struct<start:long,windows:long,bucket:long>>"))])
-    open_type = pa.list_(pa.struct([("start", pa.int64()), ("windows", pa.int64()), ("bucket", pa.int64())]))
-
-    def first(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
-        known, open_ = [], []
-        for found, c in zip(batch.column("hits"), batch.column("c").to_pylist()):
+    schema = T.StructType([rows.schema["row"], *T.DataType.fromDDL(RESULT).fields])
+
+    def last(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        gone = []
+        for found, c in zip(batch.column("spans"), batch.column("c").to_pylist()):
             values = found.values if found.is_valid else None
             if values is None or not len(values):
-                known.append(np.zeros((0, 2), np.int64))
-                open_.append([])
+                gone.append(np.zeros((0, 2), np.int64))
                 continue
-            at, bucket = (values.field(f).to_numpy() for f in ("at", "bucket"))
-            alike = values.field("alike").to_numpy(zero_copy_only=False)
-            mine = (at >> 42) == c
-            start, windows = at & 0xFFFFFFFF, (at >> 32) & 0x3FF
-            sure = mine & alike
-            known.append(merged(np.stack([start[sure], start[sure] + windows[sure] + LENGTH - 1], axis=1)))
-            open_.append([{"start": s, "windows": w, "bucket": b} for s, w, b in
-                          zip(*(x[mine & ~alike].tolist() for x in (start, windows, bucket)))])
-        done = [not o for o in open_]
-        result = _result([t if d else b"" for t, d in zip(texts, done)], [s if d else s[:0] for s, d in zip(known, done)], keep_text)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), *result, pa.array([None if d else t for t, d in zip(texts, done)], pa.binary()),
-             pa.array([None if d else s.astype("<i8").tobytes() for s, d in zip(known, done)], pa.binary()),
-             pa.array([None if d else o for o, d in zip(open_, done)], open_type)], names=["row", *names, "text", "spans", "open"])
-    half = by_batch(rows.join(hits, "k", "left").select("row", "text", "c", "hits"), first, first_schema, "text", 1 << 20)
-    half = saved(half.select(F.monotonically_increasing_id().alias("id"), "*"), "half")
-    unsure = half.filter("open IS NOT NULL")
-    found = _decided(saved(_opened(unsure), "fragments"))
-    last_schema = T.StructType([row_field, *T.DataType.fromDDL(RESULT).fields])
-
-    def last(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = batch.column("text").to_pylist()
-        spans = []
-        for known, more in zip(batch.column("spans").to_pylist(), batch.column("more").to_pylist()):
-            own = np.frombuffer(known, "<i8").reshape(-1, 2)
-            extra = np.array([(m["a"], m["b"]) for m in more or ()], np.int64).reshape(-1, 2)
-            spans.append(merged(np.concatenate([own, extra])))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), *_result(texts, spans, keep_text)], names=["row", *names])
-    rest = by_batch(unsure.select("id", "row", "text", "spans").join(found, "id", "left").select("row", "text", "spans", "more"),
-                    last, last_schema, "text", 1 << 20)
-    return half.filter("open IS NULL").select("row", *names).unionByName(rest)
-
-
-FRAGMENT = "id long, start long, bucket long, digest long, anchor int, body binary"
-
-
-def _opened(unsure: DataFrame) -> DataFrame:
-    """The fragments of buckets whose fragments differ, with their bytes and anchors."""
+            own = values.field("c").to_numpy() == c
+            gone.append(merged(np.stack([values.field(f).to_numpy()[own] for f in ("a", "b")], axis=1)))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), *_result(unpacked(batch.column("text")), gone, keep_text)], names=["row", *names])
+    joined = packed(rows).join(spans, "k", "left").select("row", "text", "c", "spans")
+    return by_batch(joined, last, schema, "text", 1 << 18)
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """(k, spans) stored: the byte spans (c, a, b) of repeated windows in each text that has any."""
+    with scratch():
+        listed = _listed(rows)
+        buckets = (listed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+                   .filter("n > 1").select("bucket", (F.col("low") == F.col("high")).alias("alike")))
+        hits = saved(listed.join(buckets, "bucket").select("bucket", "digest", "k", "at", "alike"), "hits")
+        unsure = hits.filter("NOT alike")
+        found = _decided(unsure, rows)
+        place = {"c": F.shiftright("at", 42), "start": F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)),
+                 "windows": F.shiftright("at", 32).bitwiseAND(F.lit(0x3FF))}
+        span = lambda a, b: F.struct("c", (F.col("start") + a).alias("a"), (F.col("start") + b + (LENGTH - 1)).alias("b"))
+        sure = hits.filter("alike").withColumns(place).select("k", F.array(span(F.lit(0), F.col("windows"))).alias("some"))
+        more = unsure.join(found, ["bucket", "digest"]).withColumns(place).select(
+            "k", F.transform("ranges", lambda r: span(r["a"], r["b"])).alias("some"))
+        # A text's own spans: bounded by its length.
+        own = sure.unionByName(more).groupBy("k").agg(F.flatten(F.collect_list("some")).alias("spans"))
+        return saved(own, "spans", keep=True)
+
+
+FRAGMENT = "bucket long, digest long, n long, anchor int, body binary"
+
+
+def _bodies(wanted: DataFrame) -> DataFrame:
+    """The bytes and anchors of the fragments (bucket, digest, n, at) that each text is to give."""
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for id_, text, open_ in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "open"))):
-            data = np.frombuffer(text, np.uint8)
-            grams = gram_hashes(data).view(np.int64)
-            for o in open_:
-                a, b = o["start"], o["start"] + o["windows"] + LENGTH - 1
+        out = []
+        for text, c, listed in zip(unpacked(batch.column("text")), batch.column("c").to_pylist(), batch.column("wanted").to_pylist()):
+            mine = [w for w in listed if w["at"] >> 42 == c]
+            if not mine or text is None:
+                continue
+            grams = gram_hashes(np.frombuffer(text, np.uint8)).view(np.int64)
+            for w in mine:
+                a, windows = w["at"] & 0xFFFFFFFF, w["at"] >> 32 & 0x3FF
+                b = a + windows + LENGTH - 1
                 # The anchor lies in every window of the fragment: sought from the last one's start.
-                anchor = o["windows"] - 1 + int(np.argmax(grams[a + o["windows"] - 1:b - GRAM + 1] == o["bucket"]))
-                body = text[a:b]
-                rows.append((id_, a, o["bucket"], xxhash.xxh3_64_intdigest(body) - (1 << 63), anchor, body))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*rows)) or [()] * 6, kinds)],
+                anchor = windows - 1 + int(np.argmax(grams[a + windows - 1:b - GRAM + 1] == w["bucket"]))
+                out.append((w["bucket"], w["digest"], w["n"], anchor, text[a:b]))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*out)) or [()] * 5, kinds)],
                                          names=[f.split()[0] for f in FRAGMENT.split(", ")])
-    return by_batch(unsure.select("id", "text", "open"), work, FRAGMENT, "text", 1 << 19)
-
-
-def _decided(opened: DataFrame) -> DataFrame:
-    """(id, more): per text the byte spans of repeated windows in the given fragments."""
-    distinct = opened.groupBy("bucket", "digest").agg(F.count(F.lit(1)).alias("n"), F.first("anchor").alias("anchor"),
-                                                      F.first("body").alias("body"))
-    distinct = saved(distinct, "distinct")
-    large = distinct.groupBy("bucket").count().filter(F.col("count") > LARGE).select("bucket")
-    built = distinct.join(large, "bucket", "left_anti")
-    by_bucket = built.repartition("bucket").sortWithinPartitions("bucket")
+    return by_batch(wanted, work, FRAGMENT, "text", 1 << 18)
+
+
+def _decided(unsure: DataFrame, rows: DataFrame) -> DataFrame:
+    """(bucket, digest, ranges) stored: the repeated windows of each distinct fragment of buckets whose fragments differ."""
+    # One text gives the bytes of each distinct fragment, however many hold it.
+    groups = saved(unsure.groupBy("bucket", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "at")).alias("first")), "groups")
+    wanted = groups.groupBy(F.col("first.k").alias("k")).agg(
+        F.collect_list(F.struct("bucket", "digest", "n", F.col("first.at").alias("at"))).alias("wanted"))
+    fragments = saved(_bodies(packed(rows.select("text", "k", "c")).join(wanted, "k").select("text", "c", "wanted")), "fragments")
+    large = saved(groups.groupBy("bucket").count().filter(F.col("count") > LARGE).select("bucket"), "large")
+    by_bucket = fragments.join(large, "bucket", "left_anti").repartition("bucket").sortWithinPartitions("bucket")
     found = by_bucket.mapInArrow(_build, f"bucket long, digest long, ranges {RANGES}").unionByName(
-        _by_window(distinct.join(large, "bucket", "left_semi")))
-    spans = opened.select("id", "start", "bucket", "digest").join(found, ["bucket", "digest"]).select(
-        "id", F.transform("ranges", lambda r: F.struct((F.col("start") + r["a"]).alias("a"),
-                                                       (F.col("start") + r["b"] + (LENGTH - 1)).alias("b"))).alias("some"))
-    return spans.groupBy("id").agg(F.flatten(F.collect_list("some")).alias("more"))
+        _by_window(fragments.join(large, "bucket", "left_semi")))
+    return saved(found, "found")
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of whole buckets, in the order they come, built one after the other."""
+    """Blocks of whole buckets, in the order they come, built one after the other.
+
+    A fragment that occurs more than once enters the collection twice: its twin's common prefix shows its windows repeated.
+    """
     held: list[tuple[int, int, int, int, bytes]] = []
     size = 0
 
     def flush(rows: list) -> Iterator[pa.RecordBatch]:
         if not rows:
             return
-        bucket, digest, n, anchor, body = zip(*rows)
+        entries = [r for r in rows for _ in range(1 + (r[2] > 1))]
+        bucket, _, _, anchor, body = zip(*entries)
         groups = np.cumsum(np.concatenate([[0], np.diff(np.array(bucket, np.int64)) != 0]))
-        hits = repeated_windows(groups, np.array(anchor, np.int64), list(body))
-        out = [[{"a": 0, "b": len(t) - LENGTH + 1}] if k > 1 else ranges(h) for k, t, h in zip(n, body, hits)]
-        keep = [i for i, o in enumerate(out) if o]
-        yield pa.RecordBatch.from_arrays([pa.array([bucket[i] for i in keep], pa.int64()), pa.array([digest[i] for i in keep], pa.int64()),
-                                          pa.array([out[i] for i in keep], _RANGES)], names=["bucket", "digest", "ranges"])
+        hits = iter(repeated_windows(groups, np.array(anchor, np.int64), list(body)))
+        out = []
+        for r in rows:
+            own = next(hits)
+            if r[2] > 1:
+                next(hits)
+            if len(own):
+                out.append((r[0], r[1], ranges(own)))
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*out)) or [()] * 3, (pa.int64(), pa.int64(), _RANGES))],
+                                         names=["bucket", "digest", "ranges"])
     for batch in batches:
         for part in cut(batch, "body", BLOCK_BYTES // 4):
             rows = list(zip(*(part.column(c).to_pylist() for c in ("bucket", "digest", "n", "anchor", "body"))))
