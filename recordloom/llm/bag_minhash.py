@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import by_batch, column, dealt, read, saved, total
+from .common import by_batch, column, dealt, read, saved, scratch, total
 from .components import components
 from .shingles import mix, multisets, overlap
 
@@ -214,14 +214,15 @@ def linked(texts: DataFrame, docs: DataFrame, similar: float = SIMILAR) -> DataF
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(tid, class_id, keeper): each distinct text's class, named by its least doc_id, and the text that stays."""
-    texts = distinct_texts(docs)
-    group = components(linked(texts, docs, similar))
-    placed = texts.join(group, "node", "left").select(
-        "tid", F.coalesce("root", "node").alias("root"),
-        F.struct(F.col("first_doc").isNull().alias("unknown"), F.col("first_doc"), F.col("tid")).alias("rank"))
-    least = placed.groupBy("root").agg(F.min("rank").alias("first"))
-    return saved(placed.join(least, "root").select("tid", F.col("first.first_doc").alias("class_id"),
-                                                   (F.col("tid") == F.col("first.tid")).alias("keeper")), "classes")
+    with scratch():
+        texts = distinct_texts(docs)
+        group = components(linked(texts, docs, similar))
+        placed = texts.join(group, "node", "left").select(
+            "tid", F.coalesce("root", "node").alias("root"),
+            F.struct(F.col("first_doc").isNull().alias("unknown"), F.col("first_doc"), F.col("tid")).alias("rank"))
+        least = placed.groupBy("root").agg(F.min("rank").alias("first"))
+        return saved(placed.join(least, "root").select("tid", F.col("first.first_doc").alias("class_id"),
+                                                       (F.col("tid") == F.col("first.tid")).alias("keeper")), "classes", keep=True)
 
 
 def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
