@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 import compare
 import corpus_pipeline
-from recordloom.llm import line_dedup, queries
+from recordloom.llm import queries
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not pathlib.Path(SF_DIR).exists(), reason="driver tables not here")
@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not pathlib.Path(SF_DIR).exists(), reason="drive
 
 def test_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries()) and set(queries.ORACLE) <= set(queries.QUERIES)
-    assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
@@ -24,12 +24,6 @@ def test_query(spark, name):
     assert diff is None, diff
 
 
-def test_line_dedup_with_the_floor_of_its_sql(spark):
-    query = lambda spark, sf_dir: line_dedup.op2_line_dedup(spark, sf_dir, line_dedup.MIN_WORDS)
-    diff, _, _ = compare.check(spark, compare.connect(SF_DIR), SF_DIR, "op2_line_dedup", query, line_dedup.OP2_SQL)
-    assert diff is None, diff
-
-
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     kept = corpus_pipeline.quality(spark, docs, SF_DIR)
