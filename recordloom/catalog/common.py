@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import fixed_values as fv
 from ..functions import display
 from ..functions.text import normalize
+from ..operators.lexical_index import LexicalIndex
 from ..operators.shuffle import spread
-from ..session import stored
+from ..session import fresh_path, stored
 
 WS = fv.WHITESPACE
 
@@ -30,6 +31,26 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return spread(stored(df, label))
 
 
+_BUILT: dict[tuple, object] = {}
+
+
+def built_once(spark: SparkSession, sf_dir: str, name: str, make):
+    """What `make()` returns, kept for the session: queries share stored tables as questions share a served corpus."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _BUILT:
+        _BUILT[key] = make()
+    return _BUILT[key]
+
+
+def text_index(spark: SparkSession, sf_dir: str, name: str, rows, doc_id: str, text: str) -> LexicalIndex:
+    """The stored index of the texts of `rows()`."""
+    def make() -> LexicalIndex:
+        index = LexicalIndex(spark, fresh_path(spark, f"index-{name}"))
+        index.rebuild(rows(), doc_id, text)
+        return index
+    return built_once(spark, sf_dir, f"index-{name}", make)
+
+
 # ----------------------------------------------------------------- SQL spellings
 def sql_squeeze(x: str) -> str:
     return f"trim(regexp_replace({x}, '[{WS}]+', ' ', 'g'))"
@@ -113,6 +134,10 @@ def with_slot(df: DataFrame, key: str, other: DataFrame) -> DataFrame:
 
 def search_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record with vectors: `embeddings` by its key modulo their number, the title vector being the next one."""
+    return built_once(spark, sf_dir, "records", lambda: _search_records(spark, sf_dir))
+
+
+def _search_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     rows = with_slot(part_records(spark, sf_dir), "record_id", vectors)
     count = F.lit(vectors.count())
@@ -132,6 +157,11 @@ def search_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat_ws(" ", "p_name", "text").alias("question"), F.col("embedding").alias("query_vec")))
 
 
+def record_index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
+    """The stored index of the records' combined texts."""
+    return text_index(spark, sf_dir, "records", lambda: search_records(spark, sf_dir), "record_id", "combined_text")
+
+
 SQL_SEARCH = SQL_PART_RECORDS + f""",
 vectors AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 sizes AS (SELECT (SELECT count(*) FROM vectors) AS n_vec, (SELECT count(*) FROM part) AS n_part),
@@ -183,11 +213,15 @@ cand AS (SELECT query_id, doc_id, r.rank, d.dense, a.q, c.job_title, c.full_vec
 
 # ----------------------------------------------------------------- tenancy
 def tenancy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Organizations, units and accounts: regions, nations and customers.
+    """Organizations, units and accounts: regions, nations and customers, stored once a session.
 
     The first customer of all is the super admin, the first of each nation its unit
     admin, the next of each region its organization admin; the rest are users.
     """
+    return built_once(spark, sf_dir, "tenancy", lambda: tuple(stored(df, "tenancy") for df in _tenancy(spark, sf_dir)))
+
+
+def _tenancy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     first_order = (table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey"))

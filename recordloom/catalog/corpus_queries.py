@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from ..functions.identity import ordered_digest
 from ..functions.text import normalize
 from ..operators import embedding, lists, moderation
 from ..plans.corpus import assemble_master
+from ..session import fresh_path, stored
 from ..sources import records as R
+from ..sources.vectors import import_legacy, store_vectors, vector_store
 from .common import sql_match_key, sql_normalize, table
 
 
@@ -145,7 +148,78 @@ def incremental_embed_plan(spark, sf_dir):
     return embedding.missing_texts(texts, "text", store)
 
 
+def _translated(spark, sf_dir):
+    """Three batches of translated records as files with differing headers, one folder each; returns their glob."""
+    part = table(spark, sf_dir, "part")
+    lists = {"skills": F.concat_ws("، ", "p_name", "p_type", "p_brand"), "tools": F.concat(F.lit(" ,"), F.col("p_brand"), F.lit(" | | ")),
+             "description": F.concat_ws(", ", "p_name", "p_type")}
+    batches = [{" Skills": lists["skills"], "job_title": F.concat_ws(", ", "p_name", "p_brand")},
+               {"job_title": F.col("p_name"), "TOOLS": lists["tools"], "description": lists["description"]},
+               {" Skills": F.when(F.col("p_size") > 10, lists["skills"]), "TOOLS": lists["tools"], "job_title": F.col("p_name")}]
+    root = fresh_path(spark, "translated")
+    for n, cells in enumerate(batches):
+        rows = part.filter(F.col("p_partkey") % 3 == n).select(F.col("p_partkey").alias("id"), *[c.alias(name) for name, c in cells.items()])
+        rows.repartitionByRange(3, "id").sortWithinPartitions("id").write.option("header", True).option("escape", '"').option(
+            "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{root}/batch_{n}")
+    return f"{root}/batch_*/*.csv"
+
+
+def merge_translated(spark, sf_dir):
+    merged = R.merge_translated(spark, _translated(spark, sf_dir))
+    return merged.select("row_no", F.col("id").cast("long").alias("id"), "job_title", F.col("` Skills`").alias("skills"),
+                         F.col("TOOLS").alias("tools"), "description")
+
+
+def batch_files(spark, sf_dir):
+    """Consecutive batches written with shared files, read back."""
+    path = fresh_path(spark, "batches")
+    orders = table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey")
+    R.write_batches(orders, path, ["o_orderdate", "o_orderkey"], 10, folders=False)
+    return spark.read.parquet(path).select("o_orderkey", "batch_id")
+
+
+def seed_records(spark, sf_dir):
+    """An empty target seeded once; a second call finds rows and adds none."""
+    part = table(spark, sf_dir, "part")
+    loose = part.select(F.when(F.col("p_size") < 5, F.lit(" \t")).otherwise(F.concat(F.lit(" "), F.col("p_name"))).alias(" Job_Title "),
+                        F.when(F.col("p_type") != "PROMO", F.col("p_type")).alias("TOOLS"))
+    seeded = stored(R.seed_if_empty(part.limit(0), loose), "seeded")
+    again = R.seed_if_empty(seeded, loose)
+    held = seeded if again is None else seeded.unionByName(again)
+    return held.select("job_title", "tools", "skills", "status")
+
+
+def legacy_import(spark, sf_dir):
+    """Vectors of all documents taken over from an archive by language and position, one store key for equal texts."""
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("grp"), F.col("doc_id").alias("seq"), "text").filter("text IS NOT NULL")
+    archive = docs.select("grp", "seq", F.array(F.length("text").cast("float"), F.ascii("text").cast("float")).alias("vector"))
+    store = vector_store(spark, fresh_path(spark, "legacy"))
+    name = ordered_digest(docs, "grp", "seq", "text")
+    store_vectors(store, store.read(), import_legacy(store, docs, archive, name))
+    left = import_legacy(store, docs, archive, name).count()
+    return store.read().select("key", "vector", F.lit(left).alias("left"))
+
+
+def language_normalizer(spark, sf_dir):
+    """Normalised texts with a language normaliser in its seam."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", normalize(F.col("text"), embedding.text_normalizer(lambda t: t.replace("e", "é ").strip("."))).alias("text"))
+
+
+def vector_round_trip(spark, sf_dir):
+    """Texts encoded in two goes through the store: the second encodes what the first did not hold, and reads all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", normalize(F.col("text")).alias("text"))
+    store = vector_store(spark, fresh_path(spark, "vectors"))
+    udf = embedding.encoder_udf(embedding.hashing_encoder(8))
+    embedding.embed(docs.filter("doc_id % 3 <> 0"), "text", store, udf).write.format("noop").mode("overwrite").save()
+    held = store.read().count()
+    both = embedding.embed(docs, "text", store, udf)
+    known = store.read().agg(F.count(F.lit(1)).alias("n")).scalar()
+    return both.select("doc_id", F.size("vector").alias("dim"), F.lit(held).alias("first"), known.alias("both"))
+
+
 QUERIES = {f.__name__: f for f in (
+    merge_translated, batch_files, seed_records, legacy_import, language_normalizer, vector_round_trip,
     scored_filter, scored_lists, plain_lists, master_join, fill_profile, batch_assign, records_read, backfill_plan,
     backfill_overwrite, repair_plan, backfill_summary, backfill_apply, approved_snapshot, incremental_embed_plan)}
 
@@ -198,7 +272,32 @@ fix AS (SELECT id, CASE WHEN contains(job_title, '|') THEN trim(regexp_replace(j
     NULL::VARCHAR AS fixed_work_context FROM jobs WHERE status = 'approved' AND (contains(job_title, '|') OR contains(description, '|')))"""
 _FILL = _BACKFILL.replace("@over", "false")
 
+def _sql_list(x: str) -> str:
+    """F15 in SQL."""
+    spaced = f"regexp_replace({x}, '[{fv.WHITESPACE}]*[،,|][{fv.WHITESPACE}]*', ' | ', 'g')"
+    single = f"regexp_replace({spaced}, '([|][{fv.WHITESPACE}]*)+', '| ', 'g')"
+    return f"trim({single}, ' |')"
+
+
 ORACLE = {
+    "merge_translated": f"""
+SELECT row_number() OVER (ORDER BY p_partkey % 3, p_partkey) AS row_no, p_partkey AS id,
+  CASE WHEN p_partkey % 3 = 0 THEN p_name || ', ' || p_brand ELSE p_name END AS job_title,
+  CASE WHEN p_partkey % 3 = 0 OR (p_partkey % 3 = 2 AND p_size > 10) THEN {_sql_list("p_name || '، ' || p_type || '، ' || p_brand")} END AS skills,
+  CASE WHEN p_partkey % 3 > 0 THEN {_sql_list("' ,' || p_brand || ' | | '")} END AS tools,
+  CASE WHEN p_partkey % 3 = 1 THEN p_name || ', ' || p_type END AS description FROM part""",
+    "batch_files": """
+SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // 10 + 1 AS batch_id FROM orders""",
+    "seed_records": """
+SELECT ' ' || p_name AS job_title, CASE WHEN p_type <> 'PROMO' THEN p_type ELSE '' END AS tools, '' AS skills, 'approved' AS status
+FROM part WHERE p_size >= 5""",
+    "legacy_import": f"""
+SELECT DISTINCT sha256('{fv.DEFAULT_MODEL}' || chr(31) || text) AS key, [length(text)::FLOAT, ascii(text)::FLOAT] AS vector, 0 AS left
+FROM documents WHERE text IS NOT NULL""",
+    "language_normalizer": f"SELECT doc_id, trim(trim(replace({sql_normalize('text')}, 'e', 'é '), '.'), ' ') AS text FROM documents",
+    "vector_round_trip": f"""
+WITH t AS (SELECT doc_id, {sql_normalize('text')} AS text FROM documents)
+SELECT doc_id, 8 AS dim, (SELECT count(DISTINCT text) FROM t WHERE doc_id % 3 <> 0) AS first, (SELECT count(DISTINCT text) FROM t) AS both FROM t""",
     "scored_filter": f"WITH {_FACTS} SELECT code, seq, element, data_value FROM facts WHERE scale_id = 'IM' AND data_value >= 3.0 AND {_KEPT}",
     "scored_lists": """
 WITH f AS (SELECT l_orderkey, CASE WHEN l_linenumber > 4 THEN upper(p_name) ELSE p_name END AS e, l_quantity AS v,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from ..functions import display
 from ..operators import coverage, lists, validate
 from ..plans import profiles as P
 from ..session import stored
@@ -88,6 +89,22 @@ def analyze_batch(spark, sf_dir):
                         F.size("matches").alias("n_matches"), F.array_join(boxes, ";").alias("boxes"), "answer")
 
 
+def profile_context(spark, sf_dir):
+    """Each size's profile with what the first two orders of its number cover, as handed to a text generator."""
+    records, profiles, _ = _inputs(spark, sf_dir)
+    index = coverage.ProfileIndex(profiles)
+    numbers = profiles.select("profile_id").distinct()
+    pairs = numbers.select("profile_id", F.explode(F.array(F.col("profile_id"), F.col("profile_id") + 32)).alias("doc_id"))
+    pairs = stored(pairs.join(records.select(F.col("record_id").alias("doc_id")), "doc_id", "left_semi"), "pairs")
+    listed = coverage.coverage_fields(pairs, records, "record_id", profiles, index)
+    titled = listed.join(records.select(F.col("record_id").alias("doc_id"), "job_title"), "doc_id")
+    match = F.struct("doc_id", "job_title", "fields")
+    matches = titled.groupBy("profile_id").agg(F.sort_array(F.collect_list(match)).alias("matches"))
+    own = coverage.profile_fields(profiles)
+    text = display.profile_context(F.col("fields"), F.col("matches"))
+    return own.join(matches, "profile_id").select("profile_id", text.alias("context"))
+
+
 def profile_validate(spark, sf_dir):
     """Profiles of customers: the parts they ordered, with faults where the data has them."""
     customer = table(spark, sf_dir, "customer")
@@ -107,7 +124,7 @@ def record_validate(spark, sf_dir):
     return validate.validate_records(part_records(spark, sf_dir), "record_id")
 
 
-QUERIES = {f.__name__: f for f in (profile_clean, profile_text, profile_rank, profile_coverage, analyze_batch,
+QUERIES = {f.__name__: f for f in (profile_clean, profile_text, profile_rank, profile_coverage, profile_context, analyze_batch,
                                    profile_validate, record_validate)}
 
 # ------------------------------------------------------------------------------- SQL
@@ -195,6 +212,22 @@ SELECT g.profile_id, CASE WHEN open THEN 'profile_match' ELSE 'out_of_domain' EN
   CASE WHEN open THEN array_to_string(list_transform(range(n), lambda i: 'skills*,knowledge*,work_context*'), ';') ELSE '' END AS boxes,
   CASE WHEN open THEN '{fv.PROFILE_HEADER}' || chr(10) || t ELSE '{fv.PROFILE_NONE}' END AS answer
 FROM gate g JOIN bodies USING (profile_id)""",
+    "profile_context": f"""
+WITH {_SQL_PROFILES},{_SQL_RECORDS},{_SQL_COVER},
+pairs AS (SELECT DISTINCT profile_id, id AS doc_id FROM profiles JOIN recs ON id IN (profile_id, profile_id + 32)),
+flagged AS (SELECT b.profile_id, b.doc_id, p.field, p.field_no, p.pos, p.item, h.id IS NOT NULL AS hit
+  FROM pairs b JOIN profiles p ON p.profile_id = b.profile_id
+  LEFT JOIN hits h ON h.id = b.doc_id AND h.field = p.field AND h.item = p.item),
+flines AS (SELECT profile_id, doc_id, field_no, {_LABEL} || ' — {fv.PROFILE_COVERED}: ' || coalesce(string_agg(item, '، ' ORDER BY pos) FILTER (hit), '—')
+    || ' / {fv.PROFILE_UNCOVERED}: ' || coalesce(string_agg(item, '، ' ORDER BY pos) FILTER (NOT hit), '—') AS t
+  FROM flagged GROUP BY profile_id, doc_id, field, field_no),
+jobs AS (SELECT profile_id, doc_id, row_number() OVER (PARTITION BY profile_id ORDER BY doc_id) AS i, string_agg(t, chr(10) ORDER BY field_no) AS t
+  FROM flines GROUP BY profile_id, doc_id),
+compared AS (SELECT profile_id, string_agg(chr(10) || '{fv.PROFILE_CONTEXT_JOB} ' || i || ': order ' || doc_id || chr(10) || t, chr(10) ORDER BY i) AS t
+  FROM jobs GROUP BY profile_id),
+f AS (SELECT profile_id, field_no, {_LABEL} || ': ' || string_agg(item, '، ' ORDER BY pos) AS t FROM profiles GROUP BY profile_id, field, field_no),
+own AS (SELECT profile_id, string_agg(t, chr(10) ORDER BY field_no) AS t FROM f GROUP BY profile_id)
+SELECT profile_id, '{fv.PROFILE_CONTEXT_HEADER}' || chr(10) || own.t || chr(10) || compared.t AS context FROM own JOIN compared USING (profile_id)""",
     "profile_validate": f"""
 WITH items AS (SELECT o_custkey AS profile_id, 'skills' AS field, CASE WHEN l_linenumber > 6 THEN ' ' ELSE p_name END AS item
     FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey

@@ -8,10 +8,12 @@ from .. import fixed_values as fv
 from ..functions.text import normalize
 from ..operators import fusion, lexical
 from ..operators.dense import dense_topk, unit
+from ..operators.lexical_index import LexicalIndex
 from ..plans import search
 from ..plans.reports import evaluate_rankings
-from ..session import stored
-from .common import (SQL_RANKED, SQL_SEARCH, search_questions, search_records, sql_bm25, sql_normalize, sql_top, table)
+from ..session import fresh_path, stored
+from .common import (SQL_RANKED, SQL_SEARCH, record_index, search_questions, search_records, sql_bm25, sql_normalize, sql_tokens, sql_top,
+                     table, text_index)
 from .text_queries import LATIN_INTENTS, LATIN_PATTERNS, LATIN_REQUESTS, _sql_any, _SQL_INTENT
 
 GATES = {
@@ -25,11 +27,39 @@ DEEP = 10
 
 
 def bm25_topk(spark, sf_dir):
+    """From the stored postings of all documents."""
+    index = text_index(spark, sf_dir, "documents", lambda: table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = lexical.indexed_topk(index, table(spark, sf_dir, "benchmark"), "item_id", "text", DEEP)
+    return found.select("query_id", "doc_id", "rank", F.round("sparse", 6).alias("score"))
+
+
+def bm25_scan(spark, sf_dir):
+    """The same without an index, by a scan of the texts."""
     found = lexical.bm25_topk(table(spark, sf_dir, "documents"), "doc_id", "text",
                               table(spark, sf_dir, "benchmark"), "item_id", "text", DEEP)
     return found.select("query_id", "doc_id", "rank", F.round("sparse", 6).alias("score"))
 
 
+def index_after_changes(spark, sf_dir):
+    """Length, distinct tokens and token number of each document in an index that reached the table by three changes.
+
+    It starts with other texts, then a third of the documents is replaced at a time, and the
+    labelled ones are taken out at last.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = LexicalIndex(spark, fresh_path(spark, "index"), 4)
+    index.rebuild(docs.select((F.col("doc_id") + F.when(F.col("doc_id") % 5 == 0, 1 << 40).otherwise(0)).alias("doc_id"),
+                              F.concat(F.lit("old words "), F.reverse("text")).alias("text")), "doc_id", "text")
+    for third in range(3):
+        gone = docs.filter((F.col("doc_id") % 5 == 0) & (F.col("doc_id") % 3 == third)).select((F.col("doc_id") + (1 << 40)).alias("doc_id"))
+        index.change(docs.filter(F.col("doc_id") % 3 == third), "doc_id", "text", gone)
+    none = docs.limit(0)
+    index.change(none, "doc_id", "text", table(spark, sf_dir, "labels").select("doc_id").distinct())
+    per_doc = index.postings.read().groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.sum("tf").alias("found"))
+    return index.lengths.read().join(per_doc, "doc_id", "left").select(
+        "doc_id", "len", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("found", F.lit(0)).alias("found"))
+
+
 def bm25_stats(spark, sf_dir):
     index = lexical.build_index(table(spark, sf_dir, "documents"), "doc_id", "text")
     return index["stats"].select("n", F.round("avg_len", 6).alias("avg_len"), F.round("oov_idf", 6).alias("oov_idf"))
@@ -67,13 +97,13 @@ def hybrid_topk(spark, sf_dir):
 
 
 def rrf_fuse(spark, sf_dir):
-    ranked = search.rank_candidates(search_records(spark, sf_dir), _asked(spark, sf_dir))
+    ranked = search.rank_candidates(search_records(spark, sf_dir), _asked(spark, sf_dir), index=record_index(spark, sf_dir))
     return ranked.select("query_id", "doc_id", "rank", "rank_d", "rank_s", F.round("rrf", 9).alias("rrf"))
 
 
 def _candidates(spark, sf_dir):
     records, asked = search_records(spark, sf_dir), _asked(spark, sf_dir).withColumn("is_request", F.lit(False))
-    return search.scored_candidates(records, asked, search.rank_candidates(records, asked))
+    return search.scored_candidates(records, asked, search.rank_candidates(records, asked, index=record_index(spark, sf_dir)))
 
 
 def title_tiebreak(spark, sf_dir):
@@ -107,7 +137,8 @@ def _replies(spark, sf_dir):
 
 
 def _decided(spark, sf_dir):
-    return search.decide(search_records(spark, sf_dir), _classified(spark, sf_dir), _replies(spark, sf_dir), gates=GATES)
+    return search.decide(search_records(spark, sf_dir), _classified(spark, sf_dir), _replies(spark, sf_dir), gates=GATES,
+                         index=record_index(spark, sf_dir))
 
 
 def mode_decision(spark, sf_dir):
@@ -119,7 +150,7 @@ def mode_decision(spark, sf_dir):
 
 def _answers(spark, sf_dir):
     return search.answer_batch(search_records(spark, sf_dir), _classified(spark, sf_dir),
-                               _replies(spark, sf_dir), gates=GATES)
+                               _replies(spark, sf_dir), gates=GATES, index=record_index(spark, sf_dir))
 
 
 def answer_batch(spark, sf_dir):
@@ -144,7 +175,7 @@ def ranking_eval(spark, sf_dir):
 
 
 QUERIES = {
-    "bm25_topk": bm25_topk, "bm25_stats": bm25_stats, "bm25_lexicon": bm25_lexicon, "dense_topk": dense_nearest,
+    "bm25_topk": bm25_topk, "bm25_scan": bm25_scan, "index_after_changes": index_after_changes, "bm25_stats": bm25_stats, "bm25_lexicon": bm25_lexicon, "dense_topk": dense_nearest,
     "hybrid_topk": hybrid_topk, "rrf_fuse": rrf_fuse, "title_tiebreak": title_tiebreak,
     "secondary_candidate": secondary_candidate, "related_titles": related_titles, "mode_decision": mode_decision,
     "answer_batch": answer_batch, "ranking_eval": ranking_eval,
@@ -255,9 +286,15 @@ final AS (SELECT m.query_id, mode, m.intent,
     ELSE '{fv.OUT_OF_DOMAIN}' END AS answer
   FROM moded m JOIN corpus r1 ON r1.record_id = doc_id1 LEFT JOIN corpus r2 ON r2.record_id = doc_id2)"""
 
+_SQL_TOPK = (f"WITH {sql_bm25('documents', 'doc_id', 'text', 'benchmark', 'item_id', 'text')} "
+             f"SELECT query_id, doc_id, rank, round(sparse, 6) AS score FROM {sql_top('sparse_all', 'sparse', DEEP)}")
+
 ORACLE = {
-    "bm25_topk": f"WITH {sql_bm25('documents', 'doc_id', 'text', 'benchmark', 'item_id', 'text')} "
-                 f"SELECT query_id, doc_id, rank, round(sparse, 6) AS score FROM {sql_top('sparse_all', 'sparse', DEEP)}",
+    "bm25_topk": _SQL_TOPK,
+    "bm25_scan": _SQL_TOPK,
+    "index_after_changes": f"""
+SELECT doc_id, len(t) AS len, len(list_distinct(t)) AS tokens, len(t) AS found
+FROM (SELECT doc_id, {sql_tokens("coalesce(text, '')")} AS t FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL))""",
     "bm25_stats": f"WITH {sql_bm25('documents', 'doc_id', 'text', 'benchmark', 'item_id', 'text')} "
                   "SELECT n, round(avg_len, 6) AS avg_len, round(ln((n + 0.5) / 0.5 + 1.0), 6) AS oov_idf FROM doc_stats",
     "bm25_lexicon": f"WITH {sql_bm25('documents', 'doc_id', 'text', 'benchmark', 'item_id', 'text')} "

@@ -117,14 +117,17 @@ def _covered(small: Column, large: Column) -> Column:
     return F.forall(small, lambda s: F.exists(large, lambda t: _meets(s, t)))
 
 
-def covered_forms(records: DataFrame, doc_id: str, index: ProfileIndex, fields=fv.PROFILE_FIELDS) -> DataFrame:
+def covered_forms(records: DataFrame, doc_id: str, index: ProfileIndex, fields=fv.PROFILE_FIELDS,
+                  cells: DataFrame | None = None) -> DataFrame:
     """Distinct `(doc_id, field, form)`, partitioned by document.
 
+    `cells` may hold the `record_cells` of the records, where they are stored already.
+
     Both tests start from one word that has to be met (the longest of the side to be
     covered) and verify the rest inside the row, so no pair is built from a common word
     alone being present in many records and many profiles.
     """
-    cells = record_cells(records, doc_id, fields)
+    cells = record_cells(records, doc_id, fields) if cells is None else cells
 
     # Every word of the profile item meets some word of the field.
     words = cells.select("doc_id", "field", F.explode(
@@ -147,7 +150,7 @@ def covered_forms(records: DataFrame, doc_id: str, index: ProfileIndex, fields=f
 
 
 def coverage_ratios(records: DataFrame, doc_id: str, profiles: DataFrame, index: ProfileIndex,
-                    fields=fv.PROFILE_FIELDS) -> DataFrame:
+                    fields=fv.PROFILE_FIELDS, cells: DataFrame | None = None) -> DataFrame:
     """G8, the headline number: `(doc_id, profile_id, n_matched, coverage)` where above zero.
 
     Item-weighted over all fields of the profile.
@@ -156,7 +159,7 @@ def coverage_ratios(records: DataFrame, doc_id: str, profiles: DataFrame, index:
     # How many items of the profile share one form (and are therefore covered together).
     shared = (index.items.groupBy("profile_id", "field", "form").agg(F.count(F.lit(1)).alias("n"))
               .join(totals, "profile_id"))
-    hits = covered_forms(records, doc_id, index, fields).join(index.fit(shared), ["field", "form"])
+    hits = covered_forms(records, doc_id, index, fields, cells).join(index.fit(shared), ["field", "form"])
     return (hits.groupBy("doc_id", "profile_id")
             .agg(F.sum("n").alias("n_matched"), F.max("n_items").alias("n_items"))
             .select("doc_id", "profile_id", "n_matched",

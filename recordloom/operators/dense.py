@@ -55,18 +55,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-class _Best:
-    """The `k` best records per question seen so far, as (question x candidate) arrays."""
+class Best:
+    """The `k` best records per question seen so far, as (question x candidate) arrays.
 
-    def __init__(self, n: int, k: int):
+    `more` names values that go along with each pair.  A score that is not a number never counts.
+    """
+
+    def __init__(self, n: int, k: int, *more: str):
         self.k = k
         self.scores, self.ids = np.empty((n, 0)), np.empty((n, 0), dtype=np.int64)
-        self.dense = np.empty((n, 0))
+        self.more = {name: np.empty((n, 0)) for name in more}
 
-    def add(self, scores: np.ndarray, ids: np.ndarray, dense: np.ndarray) -> None:
-        self.scores = np.hstack([self.scores, scores])
+    def add(self, scores: np.ndarray, ids: np.ndarray, **more: np.ndarray) -> None:
+        self.scores = np.hstack([self.scores, np.where(np.isnan(scores), -np.inf, scores)])
         self.ids = np.hstack([self.ids, np.broadcast_to(ids, scores.shape)])
-        self.dense = np.hstack([self.dense, dense])
+        self.more = {name: np.hstack([held, more[name]]) for name, held in self.more.items()}
         if self.scores.shape[1] > self.k:
             self._cut()
 
@@ -78,8 +81,15 @@ class _Best:
         for row in range(len(rounded)):
             near = np.flatnonzero(rounded[row] >= limit[row])
             pick[row] = near[np.lexsort((self.ids[row, near], -rounded[row, near]))[:self.k]]
-        self.scores, self.ids, self.dense = (
-            np.take_along_axis(a, pick, axis=1) for a in (self.scores, self.ids, self.dense))
+        self.scores, self.ids = (np.take_along_axis(a, pick, axis=1) for a in (self.scores, self.ids))
+        self.more = {name: np.take_along_axis(a, pick, axis=1) for name, a in self.more.items()}
+
+    def batch(self, query_ids: np.ndarray, score: str) -> pa.RecordBatch:
+        """What was found as rows (query_id, doc_id, more..., score)."""
+        found = self.scores > -np.inf
+        asked = np.broadcast_to(query_ids[:, None], found.shape)
+        columns = {"query_id": asked, "doc_id": self.ids, **self.more, score: self.scores}
+        return pa.RecordBatch.from_arrays([pa.array(c[found]) for c in columns.values()], names=list(columns))
 
 
 def _bonus_matrix(column: pa.ListArray, query_ids: np.ndarray) -> np.ndarray:
@@ -105,20 +115,17 @@ def _scanner(query_ids: np.ndarray, queries: np.ndarray, k: int, weights: tuple[
     query_ids, queries = query_ids[order], queries[order]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(len(query_ids), k)
+        best = Best(len(query_ids), k, "dense", "bonus")
         for batch in batches:
             for start in range(0, batch.num_rows, SCAN_ROWS):
                 part = batch.slice(start, SCAN_ROWS)
                 dense = queries @ _matrix(part.column(1)).T
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                scores = dense if weights is None else (
-                    weights[0] * dense + weights[1] * _bonus_matrix(part.column(2), query_ids))
-                best.add(scores, ids, dense)
+                bonus = np.zeros_like(dense) if weights is None else _bonus_matrix(part.column(2), query_ids)
+                scores = dense if weights is None else weights[0] * dense + weights[1] * bonus
+                best.add(scores, ids, dense=dense, bonus=bonus)
         if best.ids.shape[1]:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(query_ids, best.ids.shape[1])), pa.array(best.ids.ravel()),
-                 pa.array(best.dense.ravel()), pa.array(best.scores.ravel())],
-                names=["query_id", "doc_id", "dense", "score"])
+            yield best.batch(query_ids, "score")
     return scan
 
 
@@ -149,14 +156,20 @@ def dense_topk(records: DataFrame, doc_id: str, vector: Column, questions: DataF
     more questions mean more blocks, never a larger broadcast.  Several blocks are run and
     stored one after the other: the driver holds a few at most, and the plan reads one table.
 
+    Vectors that are NULL or not of the questions' length take no part (`vector_faults`
+    counts them), and a NULL component leaves its pair without a score.
+
     `bonus`, an array of struct(query_id, value) per record, is blended in by `weights`;
-    the result then has `score` beside `dense`.
+    the result then has `score` and `bonus` beside `dense`.
     """
     columns = [F.col(doc_id).cast("long").alias("doc_id"), vector.alias("vec")]
     corpus = records.select(*columns, *([] if bonus is None else [bonus.alias("bonus")]))
     asked = questions.select(F.col(query_id).cast("long").alias("query_id"),
                              F.col(query_vector).alias("vec"))
-    schema = "query_id long, doc_id long, dense double, score double"
+    width = asked.agg(F.max(F.size("vec"))).first()[0] or 0
+    whole = F.col("vec").isNotNull() & (F.size("vec") == width) & (F.size("vec") > 0)
+    corpus, asked = corpus.filter(whole), asked.filter(whole)
+    schema = "query_id long, doc_id long, dense double, bonus double, score double"
     blocks = _blocks(asked, block_rows)
     first, second = next(blocks, None), next(blocks, None)
     if first is None:
@@ -167,9 +180,18 @@ def dense_topk(records: DataFrame, doc_id: str, vector: Column, questions: DataF
         path = fresh_path(corpus.sparkSession, "dense")
         blocks = chain([first, second], blocks)
         del first, second
+        # Each block scans the records again, but nothing behind them runs again.
+        corpus = stored(corpus, "scanned")
         for block in blocks:
             corpus.mapInArrow(_scanner(*block, k, weights), schema).write.mode("append").parquet(path)
         found = corpus.sparkSession.read.schema(schema).parquet(path)
     best = top_per_group(found, ["query_id"],
                          [F.round("score", SCORE_DIGITS).desc(), F.col("doc_id").asc()], k)
-    return best if weights else best.drop("score")
+    return best if weights else best.drop("score", "bonus")
+
+
+def vector_faults(table: DataFrame, vector: str, width: int) -> DataFrame:
+    """One row: how many vectors are `missing`, of another `length`, or hold a NULL (`partial`)."""
+    v = F.col(vector)
+    return table.agg(F.count_if(v.isNull()).alias("missing"), F.count_if(F.size(v) != width).alias("length"),
+                     F.count_if(F.exists(v, lambda x: x.isNull())).alias("partial"))

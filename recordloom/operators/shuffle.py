@@ -69,7 +69,8 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, salt_on: list[str],
 
     A small table is broadcast.  With a large one, the keys holding more than one in
     `HOT_SHARE` of the rows (so fewer than `HOT_SHARE` keys) are spread: their rows over
-    `salts` parts by a hash of `salt_on`, their table row copied to each part.
+    `salts` parts by a hash of `salt_on`, their table row copied to each part.  Rows without
+    a key find nothing and are spread likewise.
     """
     small = broadcast_if_small(table, max_bytes, row_bytes)
     if small is not table:
@@ -77,7 +78,7 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, salt_on: list[str],
     counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
     hot = F.broadcast(counts.filter(F.col("_n") * HOT_SHARE > total).select(key, F.lit(True).alias("_hot")))
-    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(*salt_on), F.lit(salts))).otherwise(0).cast("int")
+    part = F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(F.xxhash64(*salt_on), F.lit(salts))).otherwise(0).cast("int")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     spread_rows = rows.join(hot, key, "left").withColumn("_part", part).drop("_hot")
     spread_table = table.join(hot, key, "left").withColumn("_part", F.explode(copies)).drop("_hot")

@@ -8,9 +8,10 @@ from .. import fixed_values as fv
 from ..functions import display
 from ..functions.text import normalize
 from ..operators.coverage import (ProfileIndex, clean_profiles, coverage_fields, coverage_ratios,
-                                  profile_fields)
+                                  profile_fields, record_cells)
 from ..operators.dense import SCORE_DIGITS, dense_topk
-from ..session import stored
+from ..operators.shuffle import number_rows
+from ..session import fresh_path, stored
 
 
 def profile_queries(profiles: DataFrame) -> DataFrame:
@@ -19,32 +20,56 @@ def profile_queries(profiles: DataFrame) -> DataFrame:
     return shaped.withColumn("query_text", normalize(display.profile_text(F.col("fields"))))
 
 
+#: Profiles whose coverage reaches the vector scan together: the bound of a record's list.
+PROFILE_BLOCK = 256
+
+
+def covered_lists(records: DataFrame, profiles: DataFrame, index: ProfileIndex, cells: DataFrame | None = None) -> DataFrame:
+    """`(record_id, bonus)`: per record the list of (profile, share covered) of those that share a form with it."""
+    covered = coverage_ratios(records, "record_id", profiles, index, cells=cells)
+    return covered.groupBy(F.col("doc_id").alias("record_id")).agg(
+        F.collect_list(F.struct(F.col("profile_id").cast("long").alias("query_id"),
+                                F.col("coverage").alias("value"))).alias("bonus"))
+
+
 def profile_rank(records: DataFrame, profiles: DataFrame, vectors: DataFrame, index: ProfileIndex | None = None,
                  top: int = fv.PROFILE_TOP, w_dense: float = fv.PROFILE_WEIGHT_DENSE,
-                 w_cover: float = fv.PROFILE_WEIGHT_COVER) -> DataFrame:
+                 w_cover: float = fv.PROFILE_WEIGHT_COVER, block: int = PROFILE_BLOCK) -> DataFrame:
     """`(profile_id, doc_id, dense, coverage, score, rank)`, the best `top` of the whole corpus.
 
     Records carry `record_id`, `full_vec` and the list cells; `profiles` are cleaned
     rows; `vectors` is `(profile_id, query_vec)`.
 
     Coverage reaches the vector scan as a list per record, so every record takes part with
-    both halves of its score.  The list holds each profile that shares a form with the
-    record; it is not bounded, and grows with the profile table.
+    both halves of its score.  Profiles come in blocks of at most `block`, which bounds the
+    list; more profiles mean more blocks, run and stored one after the other over the records'
+    words and vectors, which are stored once.
     """
-    index = index or ProfileIndex(profiles)
     asked = vectors.join(profiles.select("profile_id").distinct(), "profile_id", "left_semi")
-    covered = coverage_ratios(records, "record_id", profiles, index)
-    per_record = covered.groupBy(F.col("doc_id").alias("record_id")).agg(
-        F.collect_list(F.struct(F.col("profile_id").cast("long").alias("query_id"),
-                                F.col("coverage").alias("value"))).alias("bonus"))
-    held = records.select("record_id", "full_vec").join(per_record, "record_id", "left")
+    ids = profiles.select("profile_id").distinct()
+    blocks = max(1, -(-ids.count() // block))
     none = F.array().cast("array<struct<query_id:bigint,value:double>>")
-    best = dense_topk(held, "record_id", F.col("full_vec"), asked, "profile_id", "query_vec", top,
-                      F.coalesce("bonus", none), (w_dense, w_cover))
-    # The blend is linear, so the covered share follows from it.
-    cover = F.round((F.col("score") - w_dense * F.col("dense")) / w_cover, SCORE_DIGITS)
+    cells = None
+
+    def ranked(profiles: DataFrame, asked: DataFrame, index: ProfileIndex) -> DataFrame:
+        per_record = covered_lists(records, profiles, index, cells)
+        held = records.select("record_id", "full_vec").join(per_record, "record_id", "left")
+        return dense_topk(held, "record_id", F.col("full_vec"), asked, "profile_id", "query_vec", top,
+                          F.coalesce("bonus", none), (w_dense, w_cover))
+    if blocks == 1:
+        best = ranked(profiles, asked, index or ProfileIndex(profiles))
+    else:
+        cells = stored(record_cells(records, "record_id"), "cells")
+        records = stored(records.select("record_id", "full_vec"), "vectors")
+        placed = stored(number_rows(ids, ["profile_id"], "_no").select("profile_id", F.floor((F.col("_no") - 1) / block).alias("_b")), "blocks")
+        path = fresh_path(records.sparkSession, "ranked")
+        for b in range(blocks):
+            own = F.broadcast(placed.filter(F.col("_b") == b).select("profile_id"))  # at most `block` rows
+            part = stored(profiles.join(own, "profile_id", "left_semi"), "profiles")
+            ranked(part, asked.join(own, "profile_id", "left_semi"), ProfileIndex(part)).write.mode("append").parquet(path)
+        best = records.sparkSession.read.parquet(path)
     return best.select(F.col("query_id").alias("profile_id"), "doc_id", "dense",
-                       cover.alias("coverage"), "score", "rank")
+                       F.round("bonus", SCORE_DIGITS).alias("coverage"), "score", "rank")
 
 
 def open_profiles(ranked: DataFrame, dense_only: float = fv.PROFILE_DENSE_ONLY) -> DataFrame:

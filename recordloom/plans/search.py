@@ -11,7 +11,9 @@ from ..functions.text import normalize
 from ..operators.dense import dense_topk, dot, hybrid_vector
 from ..operators.fusion import (prefer_title, question_mode, related_titles, request_mode,
                                 rrf_fuse, secondary)
-from ..operators.lexical import bm25_topk
+from ..operators.lexical import bm25_topk, indexed_topk
+from ..operators.lexical_index import LexicalIndex
+from ..operators.shuffle import broadcast_if_small
 from ..session import stored
 
 
@@ -30,18 +32,23 @@ def classify_questions(questions: DataFrame, keywords=None, phrases=None, patter
             .withColumn("fields", intent_fields(F.col("intent"), intents)))
 
 
-def rank_candidates(records: DataFrame, questions: DataFrame, depth: int = fv.CHANNEL_DEPTH) -> DataFrame:
+def rank_candidates(records: DataFrame, questions: DataFrame, depth: int = fv.CHANNEL_DEPTH,
+                    index: LexicalIndex | None = None) -> DataFrame:
     """`(query_id, doc_id, rank, rrf, rank_d, rank_s, sparse)` from both channels.
 
     Records: `record_id`, `combined_text`, `full_vec`, `title_vec`.  Questions:
     `query_id`, `q`, `query_vec`.  Only documents sharing a token enter the sparse
-    channel.  Both channel lists are written out: a corpus is scanned once per channel,
-    however often the short lists are used.
+    channel; with an `index` of the texts it probes that, and no text is read.  Both channel
+    lists are written out: a corpus is scanned once per channel at most, however often the
+    short lists are used.
     """
     dense = stored(dense_topk(records, "record_id", hybrid_vector(), questions, "query_id",
                               "query_vec", depth), "dense")
-    sparse = stored(bm25_topk(records, "record_id", "combined_text", questions, "query_id", "q",
-                              depth, also=dense), "sparse")
+    if index is None:
+        sparse = bm25_topk(records, "record_id", "combined_text", questions, "query_id", "q", depth, also=dense)
+    else:
+        sparse = indexed_topk(index, questions, "query_id", "q", depth, also=dense)
+    sparse = stored(sparse, "sparse")
     fused = rrf_fuse(dense, sparse.filter(F.col("rank").isNotNull()))
     return (fused.join(sparse.drop("rank"), ["query_id", "doc_id"], "left")
             .withColumn("sparse", F.coalesce("sparse", F.lit(0.0))))
@@ -61,15 +68,15 @@ def scored_candidates(records: DataFrame, questions: DataFrame, ranked: DataFram
 
 
 def decide(records: DataFrame, questions: DataFrame, replies: DataFrame | None = None,
-           depth: int = fv.CHANNEL_DEPTH, gates: dict | None = None) -> DataFrame:
+           depth: int = fv.CHANNEL_DEPTH, gates: dict | None = None, index: LexicalIndex | None = None) -> DataFrame:
     """One row per question: mode, chosen records, scores, related titles, draft.
 
     `gates` overrides thresholds by keyword of `question_mode` and `request_mode` under
     the keys `question` and `request`, and of `prefer_title` and `secondary` under
-    `title` and `secondary`.
+    `title` and `secondary`.  A question without candidates is out of domain.
     """
     gates = gates or {}
-    ranked = rank_candidates(records, questions, depth)
+    ranked = rank_candidates(records, questions, depth, index)
     scored = scored_candidates(records, questions, ranked)
     # Requests describe duties, so titles do not break their ties.
     tied = scored.filter(~F.col("is_request"))
@@ -81,16 +88,16 @@ def decide(records: DataFrame, questions: DataFrame, replies: DataFrame | None =
     second = secondary(ordered, "full_vec", **gates.get("secondary", {}))
     related = related_titles(ordered, "job_title")
     led = leaders.join(second, "query_id", "left").join(related, "query_id", "left")
-    rows = (questions.drop("query_vec").join(led, "query_id")
+    rows = (questions.drop("query_vec").join(led, "query_id", "left")
             .withColumn("explicit", is_combination(F.col("q"), gates.get("phrases", fv.COMBINATION_PHRASES))))
     if replies is None:
         rows = rows.withColumn("reply", F.lit(None).cast("string"))
     else:
         rows = rows.join(replies.select("query_id", "reply"), "query_id", "left")
     rows = rows.withColumn("drafted", display.clean_draft(F.col("reply")))
-    asked = question_mode(F.col("dense1"), F.col("sparse1"), F.col("dense2"), F.col("explicit"),
-                          **gates.get("question", {}))
-    wished = request_mode(F.col("dense1"), F.col("sparse1"), F.col("drafted.status"), **gates.get("request", {}))
+    nearest, shared = F.coalesce("dense1", F.lit(float("-inf"))), F.coalesce("sparse1", F.lit(0.0))
+    asked = question_mode(nearest, shared, F.col("dense2"), F.col("explicit"), **gates.get("question", {}))
+    wished = request_mode(nearest, shared, F.col("drafted.status"), **gates.get("request", {}))
     rows = rows.withColumn("_w", wished)
     return (rows.withColumn("mode", F.when(F.col("is_request"), F.col("_w.mode")).otherwise(asked))
             .withColumn("reason", F.when(F.col("is_request"), F.col("_w.reason")))
@@ -101,14 +108,19 @@ def decide(records: DataFrame, questions: DataFrame, replies: DataFrame | None =
 
 
 def answer_batch(records: DataFrame, questions: DataFrame, replies: DataFrame | None = None,
-                 depth: int = fv.CHANNEL_DEPTH, gates: dict | None = None) -> DataFrame:
+                 depth: int = fv.CHANNEL_DEPTH, gates: dict | None = None, index: LexicalIndex | None = None) -> DataFrame:
     """One answer row per question.
 
+    Only the records that were chosen are fetched, by their ids.
+
     Columns: `query_id, mode, intent, job, jobs, score, scores, related_jobs, job_draft,
     details, answer`.
     """
-    decided = decide(records, questions, replies, depth, gates)
-    pool = records.select(F.col("record_id").alias("_id"), display.record_cells().alias("_cells"))
+    decided = stored(decide(records, questions, replies, depth, gates, index), "decided")
+    chosen = decided.select(F.explode(F.array("doc_id1", "doc_id2")).alias("record_id")).filter("record_id IS NOT NULL").distinct()
+    picked = records.join(broadcast_if_small(chosen, row_bytes=16), "record_id", "left_semi")
+    # Two records a question at most, read by both joins.
+    pool = stored(picked.select(F.col("record_id").alias("_id"), display.record_cells().alias("_cells")), "chosen")
     rows = (decided.join(pool.select(F.col("_id").alias("doc_id1"), F.col("_cells").alias("c1")), "doc_id1", "left")
             .join(pool.select(F.col("_id").alias("doc_id2"), F.col("_cells").alias("c2")), "doc_id2", "left"))
     mode, reason, related = F.col("mode"), F.col("reason"), F.col("related")

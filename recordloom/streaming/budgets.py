@@ -18,9 +18,10 @@ def stream_admit(events: DataFrame, key: str, ts: str, seq: str, limit: int, win
     """`(key, seq, us, admitted, retry_after)` of a streaming event table.
 
     The state of a key is its alive charged hits, at most `limit` numbers.  Events of one
-    micro-batch are taken in time order; events older than the
-    watermark are dropped, so the caller has to say how late one may be; it also lets a key be forgotten a window after its last hit.  A micro-batch is
-    bounded by the source's rate options, and with it what one key can bring at a time.
+    micro-batch are taken in time order.  Events older than the watermark are not decided
+    (`late_events` finds them), so the caller has to say how late one may be; the watermark
+    also lets a key be forgotten a window after its last hit.  A micro-batch is bounded by the
+    source's rate options, and with it what one key can bring at a time.
     """
     rows = (events.withColumn("_event_time", F.col(ts).cast("timestamp"))
             .withWatermark("_event_time", watermark)
@@ -52,4 +53,14 @@ def stream_admit(events: DataFrame, key: str, ts: str, seq: str, limit: int, win
         STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-__all__ = ["stream_admit", "SECOND"]
+def late_events(events: DataFrame, decided: DataFrame, key: str, seq: str) -> DataFrame:
+    """The side table of a stream: the events that it read but came too late to be decided.
+
+    Every event within the watermark has its row among the `decided` ones (key, seq), so what
+    has none was late.  Nothing is lost unseen: count them, or decide them anew in batch.
+    """
+    named = decided.select(F.col("key").alias(key), F.col("seq").alias(seq))
+    return events.join(named, [key, seq], "left_anti")
+
+
+__all__ = ["stream_admit", "late_events", "SECOND"]

@@ -1,4 +1,8 @@
-"""Keeping the served corpus current as records are approved."""
+"""Keeping the served corpus current as records are approved.
+
+Records, vectors and postings are versioned tables that take changes as deltas, so a pass
+writes what its changes hold, whatever the size of the corpus.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,9 @@ from ..functions import display
 from ..functions.identity import text_key
 from ..functions.text import normalize
 from ..operators.embedding import missing_texts
+from ..operators.lexical_index import LexicalIndex
 from ..operators.shuffle import lookup_join
+from ..session import stored
 from ..sources.vectors import ROW_BYTES, VersionedTable, store_vectors, vector_store
 
 CORPUS = ("record_id long, " + ", ".join(f"{c} string" for c in fv.RECORD_COLUMNS)
@@ -26,7 +32,7 @@ class EmptyCorpus(ValueError):
 
 @dataclass
 class ServedCorpus:
-    """The versioned tables behind search: records with their texts, and vectors by content.
+    """The versioned tables behind search: records with their texts, vectors by content, postings by record.
 
     A record keeps the `seq` of the change it stems from, and one taken out stays as a row
     that is not `served`, so a late change never undoes a newer one.
@@ -38,7 +44,12 @@ class ServedCorpus:
 
     @property
     def records(self) -> VersionedTable:
-        return VersionedTable(self.spark, f"{self.root}/records", CORPUS)
+        return VersionedTable(self.spark, f"{self.root}/records", CORPUS, key="record_id")
+
+    @property
+    def index(self) -> LexicalIndex:
+        """The postings of the combined texts of the records in force."""
+        return LexicalIndex(self.spark, f"{self.root}/index")
 
     @property
     def vectors(self) -> VersionedTable:
@@ -68,8 +79,9 @@ def refresh(corpus: ServedCorpus, changes: DataFrame, udf, force: bool = False)
 
     `changes` are record rows with `id`, `status`, ten columns and `seq`; the row of an id with
     the largest `seq` counts, also against what is served already, and a row that is not
-    approved takes the record out.  Vectors are published first, so a failure at any point
-    leaves the previous corpus whole.  A corpus without records is refused.
+    approved takes the record out.  Vectors are published first, then postings, then records,
+    each as a delta: a failure at any point leaves the previous records whole, and the pass can
+    be run again.  A corpus without records is refused.
     """
     latest = changes.groupBy("id").agg(F.max_by(F.struct("status", "seq", *fv.RECORD_COLUMNS), "seq").alias("r"))
     latest = latest.select(F.col("id").cast("long").alias("id"), "r.*")
@@ -81,11 +93,10 @@ def refresh(corpus: ServedCorpus, changes: DataFrame, udf, force: bool = False)
     out = news.join(good.select(F.col("record_id").alias("id")), "id", "left_anti").select(
         F.col("id").alias("record_id"), "seq", F.lit(False).alias("served"), *fv.RECORD_COLUMNS).withColumns(
         {"combined_text": F.lit(""), "title_text": F.lit("")})
-    kept = held.join(news.select(F.col("id").alias("record_id")), "record_id", "left_anti")
-    serving = kept.select(*names).unionByName(good).unionByName(out.select(*names))
-    if serving.filter("served").isEmpty():
+    kept = held.join(news.select(F.col("id").alias("record_id")), "record_id", "left_anti").select(*names)
+    if kept.filter("served").isEmpty() and good.isEmpty():
         raise EmptyCorpus("no record would be served; the previous version stays")
-    to_encode = (serving if force else good).filter("served")
+    to_encode = (kept.unionByName(good) if force else good).filter("served")
     texts = (to_encode.select(F.col("combined_text").alias("text"))
              .unionByName(to_encode.select(F.col("title_text").alias("text"))))
     known = corpus.vectors.read()
@@ -93,7 +104,36 @@ def refresh(corpus: ServedCorpus, changes: DataFrame, udf, force: bool = False)
     if not todo.isEmpty():
         store_vectors(corpus.vectors, known, todo.select(
             "key", F.lit(corpus.model).alias("model"), udf(F.col("text")).alias("vector")))
-    return corpus.records.replace(serving)
+    # Written once: what is held changes below while these rows are still read.
+    changed = stored(good.unionByName(out.select(*names)), "changes")
+    corpus.index.change(changed.filter("served"), "record_id", "combined_text",
+                        changed.filter("NOT served").select(F.col("record_id").alias("doc_id")))
+    return corpus.records.upsert(changed)
+
+
+#: A change that fails this many passes in a row, with every other, ends the stream.
+PASSES = 5
+
+
+def _settle(corpus: ServedCorpus, due: DataFrame, udf, force: bool, bit: int = 0) -> tuple[int, list[tuple[int, str]]]:
+    """(passes that succeeded, ids that fail alone and why): a failing pass is halved by id until the fault is alone."""
+    try:
+        refresh(corpus, due, udf, force)
+        return 1, []
+    except EmptyCorpus:
+        raise
+    except Exception as fault:  # whatever went wrong, only its own change is to suffer
+        reason = f"{type(fault).__name__}: {fault}"[:500]
+        ids = due.select("id").distinct().limit(2).collect()
+        if len(ids) < 2:
+            return 0, [(ids[0]["id"], reason)]
+    side = F.shiftright(F.xxhash64("id"), bit).bitwiseAND(F.lit(1)) == 0
+    done, failed = 0, []
+    for half in (due.filter(side), due.filter(~side)):
+        if not half.isEmpty():
+            more, faults = _settle(corpus, half, udf, force, bit + 1)
+            done, failed = done + more, failed + faults
+    return done, failed
 
 
 def refresh_stream(changes: DataFrame, corpus: ServedCorpus, udf, checkpoint: str,
@@ -103,25 +143,39 @@ def refresh_stream(changes: DataFrame, corpus: ServedCorpus, udf, checkpoint: st
     Changes arriving during a pass wait for the next micro-batch and are served by one
     pass together; a request to re-encode (`force` names a boolean column) holds for the
     whole batch when any row asks for it.  A pass that fails leaves the previous version in
-    force, is logged, and its changes wait in `waiting` below the corpus: the next pass
-    takes them along.
+    force and is halved: changes that fail while others pass go to `aside` below the corpus
+    with their reason.  Where nothing passes, all wait in `waiting`, the next pass takes them
+    along, a damaged vector cache is set aside, and after `PASSES` such passes the stream fails.
     """
-    waiting = VersionedTable(corpus.spark, f"{corpus.root}/waiting", changes.schema.simpleString()[7:-1])
+    fields = changes.schema.simpleString()[7:-1]
+    waiting = VersionedTable(corpus.spark, f"{corpus.root}/waiting", fields)
+    aside = VersionedTable(corpus.spark, f"{corpus.root}/aside", f"{fields},reason:string")
 
     def run(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
         held = waiting.read()
+        passes = len(waiting.in_force()[1])
         due = batch.select(*held.columns).unionByName(held).persist()
         try:
             strongest = bool(force) and bool(due.agg(F.max(F.col(force))).first()[0])
-            refresh(corpus, due, udf, strongest)
-        except Exception as fault:  # whatever went wrong, the changes must not be lost
+            done, failed = _settle(corpus, due, udf, strongest)
+            if not done:
+                raise RuntimeError(failed[0][1] if failed else "nothing could be served")
+        except Exception as fault:  # the changes must not be lost
             logging.getLogger(__name__).warning("pass %d failed, its changes wait for the next: %s", number, fault)
-            waiting.replace(due)
+            waiting.append(batch)
+            if not isinstance(fault, EmptyCorpus):
+                corpus.vectors.set_damaged_aside()
+                if passes + 1 >= PASSES:
+                    raise
         else:
+            if failed:
+                reasons = corpus.spark.createDataFrame(failed, "id long, reason string")
+                aside.append(due.join(F.broadcast(reasons), "id"))
             if not held.isEmpty():
                 waiting.replace(due.limit(0))
+                waiting.vacuum()
         finally:
             due.unpersist()
 

@@ -150,3 +150,29 @@ def test_profile_rules(spark):
     assert by(2) == {"unknown_field", "too_many_items", "required_items", "min_fields"}
     assert by(3) == {"item_too_long", "min_fields"}
     assert by(4) == {"required_items", "min_fields"}
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_profile_rank_by_blocks(spark, block, monkeypatch):
+    """The same ranks from any number of blocks, with no list longer than a block."""
+    rng = random.Random(9)
+    words = [f"word{c}{d}" for c in "abcdef" for d in "xyz"]
+    items = lambda n: " | ".join(" ".join(rng.sample(words, rng.randint(1, 2))) for _ in range(n))
+    records = spark.createDataFrame([(i, items(5), [rng.gauss(0, 1) for _ in range(4)]) for i in range(50)],
+                                    "record_id long, skills string, full_vec array<double>")
+    rows = [(p, "skills", k, item) for p in range(11) for k, item in enumerate(items(4).split(" | "))]
+    profiles = C.clean_profiles(spark.createDataFrame(rows, "profile_id long, field string, pos int, item string"))
+    vectors = spark.createDataFrame([(p, [rng.gauss(0, 1) for _ in range(4)]) for p in range(11)], "profile_id long, query_vec array<double>")
+    longest, lists = [], P.covered_lists
+    monkeypatch.setattr(P, "covered_lists", lambda *a, **k: longest.append(
+        lists(*a, **k).agg(F.max(F.size("bonus"))).first()[0]) or lists(*a, **k))
+    got = {(r["profile_id"], r["rank"]): (r["doc_id"], round(r["score"], 9), r["coverage"])
+           for r in P.profile_rank(records, profiles, vectors, top=6, block=block).collect()}
+    pairs = {(r["doc_id"], r["profile_id"]): r["coverage"] for r in
+             C.coverage_ratios(records, "record_id", profiles, C.ProfileIndex(profiles)).collect()}
+    held, asked = {r[0]: r[2] for r in records.collect()}, dict(map(tuple, vectors.collect()))
+    for p in range(11):
+        score = {d: 0.5 * sum(a * b for a, b in zip(v, asked[p])) + 0.5 * pairs.get((d, p), 0) for d, v in held.items()}
+        best = sorted(score, key=lambda d: (-round(score[d], 9), d))[:6]
+        assert [got[p, n + 1] for n in range(6)] == [(d, pytest.approx(score[d], abs=1e-8), pytest.approx(pairs.get((d, p), 0), abs=1e-8)) for d in best]
+    assert len(longest) == -(-11 // block) and max(longest) <= block
