@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm import bag_minhash, packing, quality_rules, suffix_dedup
-from recordloom.llm.common import read
-from recordloom.session import fresh_path
+from recordloom.llm.common import read, removed, saved, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +44,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        path = fresh_path(spark, "stage")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        # What a stage wrote on its way, and the table it read, go once its own table is there.
+        with scratch():
+            docs = saved(stage(spark, docs, sf_dir), "stage", keep=True)
+        if before is not None:
+            removed(before)
+        before = docs
     return docs
