@@ -13,6 +13,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 STOPS = re.compile(r"(?<=[a-zà-öø-ÿ])[.,](?=[ \n]|$)")
 WORD_END = "</w>"
@@ -82,18 +84,19 @@ class WordEncoder:
 
     def __call__(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the number of ids of each text; `end_id` closes each text."""
-        words: list[str] = []
-        counts = []
-        for text in texts:
-            own = self._plainer(text).replace("\n", " ").split(" ") if text else []
-            words += own
-            counts.append(len(own))
-        new = list(set(words).difference(self.index))
+        plain = [self._plainer(text).replace("\n", " ") if text else None for text in texts]
+        # Words are cut and told apart in Arrow; Python meets each distinct word of the batch once.
+        cut = pc.split_pattern(pa.array(plain, pa.string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        counts = cut.value_lengths().fill_null(0).to_numpy()
+        new = [w for w in words if w not in self.index]
         if len(self.index) + len(new) > CACHE_WORDS:
             self._clear()
-            new = list(set(words))
+            new = words
         self._learn(new)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        known = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        at = known[coded.indices.to_numpy()]
         lengths, starts = self.lengths[at].astype(np.int64), self.starts[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
