@@ -1,7 +1,9 @@
 """WARC archives of web pages with revisit records for payloads that were seen before.
 
 Only headers are shuffled by payload digest: one row per digest decides which page keeps the
-payload.  Archives are written by Spark's text writer, one record a row, with the record
+payload.  The decisions on repeated payloads, a digest and an id each, are broadcast to the
+pages while their measured size allows, so no payload moves; beyond that size they meet by a
+shuffle.  Archives are written by Spark's text writer, one record a row, with the record
 terminator as its line separator; so files are committed as one and a lost executor's
 attempts leave nothing behind.  Files are gzip streams of at most `RECORDS_PER_FILE` records.
 Reading them back parses records by Content-Length, and revisits are resolved by joining
@@ -15,6 +17,7 @@ table gives an empty archive.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import datetime as dt
 import gzip
 import hashlib
 from collections.abc import Iterator
@@ -22,12 +25,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.shuffle import broadcast_if_small
 from ..session import fresh_path
-from .common import by_batch, column, read
+from .common import by_batch, column, read, saved
 
 LEAST_BYTES = 1000
 RECORDS_PER_FILE = 4096
-DATE = "1970-01-01T00:00:00Z"
 END = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -50,13 +53,15 @@ def decided(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     headers = pages.select("digest", "size", "page_id").filter(F.col("size") >= least)
     groups = (headers.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("last"))
               .filter((F.col("n") > 1) & F.col("last").isNotNull()).select("digest", "last"))
-    out = pages.join(groups, "digest", "left")
+    groups = saved(groups, "keepers")
+    out = pages.join(broadcast_if_small(groups, row_bytes=96), "digest", "left")
     other = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     return out.withColumn("keeper", F.when(other, F.col("last"))).drop("last")
 
 
-def record_text(page: DataFrame) -> DataFrame:
-    """One WARC record per row, without its closing blank lines, in column `value`."""
+def record_text(page: DataFrame, written: dt.datetime | None = None) -> DataFrame:
+    """One WARC record per row, without its closing blank lines, in column `value`; dated by the time of writing."""
+    date = (written or dt.datetime.now(dt.timezone.utc)).strftime("%Y-%m-%dT%H:%M:%SZ")
     again = F.col("keeper").isNotNull()
     url = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), " ", "%20")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "),
@@ -67,7 +72,7 @@ def record_text(page: DataFrame) -> DataFrame:
         return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(END)), F.lit(""))
     head = F.concat(
         F.lit(f"WARC/1.0{END}"), field("WARC-Type", F.when(again, "revisit").otherwise("response")),
-        field("WARC-Record-ID", record_id(F.col("page_id"), F.col("digest"))), field("WARC-Date", F.lit(DATE)),
+        field("WARC-Record-ID", record_id(F.col("page_id"), F.col("digest"))), field("WARC-Date", F.lit(date)),
         field("WARC-Target-URI", url), field("X-Page-Id", F.col("page_id").cast("string")),
         field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         field("WARC-Profile", F.when(again, PROFILE)),
