@@ -17,7 +17,9 @@ Defined cases: null, zero and non-finite vectors and those with null components
 vectors only meet vectors of their own dimension; equal vectors are indexed once, with as many
 of their smallest ids as any result can hold, so copies never crowd a graph; ties go to the
 smaller vec_id; null ids and repeated rows: rows without an id take no part, rows equal in id
-and vector count once; with too few candidates all are returned; an empty table gives an empty
+and vector count once, each vector of an id that has several is a query and a candidate of its
+own; magnitudes are scaled for the graphs, scores that leave the range are infinite, and one
+that is not a number ranks last; with too few candidates all are returned; an empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -169,8 +171,9 @@ def descend(vectors: np.ndarray, layers: list[np.ndarray], wanted: np.ndarray) -
 
 def even_norm(vectors: np.ndarray) -> np.ndarray:
     """The vectors scaled, with one more coordinate that gives all of them norm one."""
-    norms = np.sqrt((vectors ** 2).sum(axis=1))
-    scaled = vectors / norms.max()
+    # The largest component is divided out first: squares of tiny or huge ones would leave the range.
+    vectors = vectors / np.abs(vectors).max()
+    scaled = vectors / np.sqrt((vectors ** 2).sum(axis=1)).max()
     rest = np.sqrt(np.maximum(0.0, 1.0 - (scaled ** 2).sum(axis=1)))
     return np.concatenate([scaled, rest[:, None]], axis=1).astype(np.float32)
 
@@ -178,8 +181,9 @@ def even_norm(vectors: np.ndarray) -> np.ndarray:
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products along the last axis, summed from the first component on, in double precision."""
     out = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]))
-    for d in range(a.shape[-1]):
-        out += a[..., d] * b[..., d]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for d in range(a.shape[-1]):
+            out += a[..., d] * b[..., d]
     return out
 
 
@@ -246,11 +250,13 @@ def _search(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
                 end += 1
             part = batch.slice(at, end - at)
             query, wanted = part.column("query").to_numpy(), np.array(part.column("v").to_pylist(), np.float64)
-            unit = (wanted / np.sqrt((wanted ** 2).sum(axis=1, keepdims=True))).astype(np.float32)
+            unit = wanted / np.abs(wanted).max(axis=1, keepdims=True)
+            unit = (unit / np.sqrt((unit ** 2).sum(axis=1, keepdims=True))).astype(np.float32)
             unit = np.concatenate([unit, np.zeros((len(unit), 1), np.float32)], axis=1)
             entry = descend(even, layers[:-1], unit)
             nodes, _ = beam(even, layers[-1].astype(np.int64), unit, entry, BEAM_SEARCH)
             score = products(vectors[np.maximum(nodes, 0)], wanted[:, None, :])
+            score = np.where(np.isnan(score), -np.inf, score)  # opposite infinities: no order among them
             out: list[tuple[int, int, float]] = []
             for q, row, own in zip(query.tolist(), nodes.tolist(), score.tolist()):
                 found = sorted(((-s, i) for n, s in zip(row, own) if n >= 0 for i in ids[n]))[:most]
@@ -265,13 +271,14 @@ def nearest(table: DataFrame, asked: DataFrame, most: int = NEAREST, shard_rows:
     rows = usable(table)
     graphs, shards = index(rows, shard_rows, most + 1)
     queries = usable(asked).distinct().withColumnRenamed("vec_id", "query_id")
-    wanted = saved(queries.groupBy("v").agg(F.min("query_id").alias("query")), "wanted")
+    # A vector asked by many ids is searched once; its number stands for it, as ids need not be unique.
+    wanted = saved(queries.select("v").distinct().select(F.monotonically_increasing_id().alias("query"), "v"), "wanted")
     order = [F.desc("score"), F.col("vec_id")]
     best = F.row_number().over(Window.partitionBy("query").orderBy(*order))
     merged = searched(graphs, wanted, shards, most + 1).withColumn("turn", best).filter(F.col("turn") <= most + 1).drop("turn")
     named = queries.join(wanted, "v").select("query_id", "query")
     own = named.join(merged, "query").filter(F.col("vec_id") != F.col("query_id"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query").orderBy(*order))
     return own.withColumn("rank", rank).filter(F.col("rank") <= most).select("query_id", "rank", "vec_id", "score")
 
 
