@@ -168,6 +168,42 @@ def test_kd_shards(spark, odd, none, shards):
     assert kd_sharding.sharded(kd_sharding.points(none), shards).count() == 0
 
 
+def _kd_shards(rows, shards, whole, first=0):
+    """(number of the row -> shard): each node cut along its widest dimension at the row nearest to its quantile."""
+    if shards == 1 or not rows:
+        return {r["i"]: first for r in rows}
+    spans = [(max(r["d"][k] for r in rows) - min(r["d"][k] for r in rows)) / whole[k] for k in range(3)]
+    axis = spans.index(max(spans))
+    key = lambda r: (r["d"][axis], r["k_text"], r["k_row"])
+    rows, reached, n = sorted(rows, key=key), 0, 0
+    target = sum(r["size"] for r in rows) * (shards // 2) / shards
+    while reached + rows[n]["size"] < target and n < len(rows) - 1:
+        reached, n = reached + rows[n]["size"], n + 1
+    n += not target - reached < reached + rows[n]["size"] - target
+    left = shards // 2
+    return _kd_shards(rows[:n], left, whole, first) | _kd_shards(rows[n:], shards - left, whole, first + left)
+
+
+@pytest.mark.parametrize("shards", [2, 7, 24, 300])
+def test_kd_cuts_equal_brute_force(spark, shards):
+    rng = np.random.default_rng(shards)
+    docs = table(spark, [(i, "wé"[i % 2] * int(rng.integers(1, 400)) + "\n" * int(rng.integers(0, 6)), "en") for i in range(500)]
+                 + [(600 + i, "copy " * 30, "en") for i in range(60)])
+    points = kd_sharding.points(docs)
+    tree = kd_sharding.kd_tree(points, shards, tolerance=0.0)
+    leaves, todo = {}, [tree]
+    while todo:
+        node = todo.pop()
+        todo += node.children
+        leaves |= {} if node.children else {id(node): node.first}
+    batch = points.toArrow().combine_chunks().to_batches()[0]
+    got = kd_sharding.Walk(tree, leaves)(batch, kd_sharding.DIMENSIONS)[0].tolist()
+    rows = [{"i": i, "d": [r[d] for d in kd_sharding.DIMENSIONS], **r} for i, r in enumerate(batch.to_pylist())]
+    whole = [max(1, max(r["d"][k] for r in rows) - min(r["d"][k] for r in rows)) for k in range(3)]
+    want = _kd_shards(rows, shards, whole)
+    assert got == [want[i] for i in range(len(rows))] and (shards > 24 or set(got) == set(range(shards)))
+
+
 # ---------------------------------------------------------------- 5 suffix dedup
 def _removed(texts, length=200):
     seen = Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
@@ -399,3 +435,31 @@ def test_nearest(spark):
         hits += len({i for i, _ in found[q]} & {i for _, i in best})
     assert hits / (75 * 20) >= 0.9 and set(found) == set(range(0, 1500, 20))
     assert hnsw.nearest(table_.limit(0), table_.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("scale", [1e-190, 1e150])
+def test_nearest_of_any_magnitude(spark, scale):
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(300, 8)) * scale
+    table_ = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    out = hnsw.nearest(table_, table_.filter("vec_id % 20 = 0")).collect()
+    hits = 0
+    for q in range(0, 300, 20):
+        own = (vectors / scale) @ (vectors[q] / scale)
+        best = set(sorted((i for i in range(300) if i != q), key=lambda i: -own[i])[:20])
+        found = [r for r in out if r["query_id"] == q]
+        assert sorted(r["rank"] for r in found) == list(range(1, 21)) and not any(math.isnan(r["score"]) for r in found)
+        hits += len(best & {r["vec_id"] for r in found}) if scale > 1 else 20  # products of tiny ones are all zero
+    assert hits >= 0.9 * 300
+
+
+def test_vectors_that_share_an_id_are_queries_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), *[(i, [math.cos(i), math.sin(i)]) for i in range(1, 12)]]
+    out = hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"),
+                       spark.createDataFrame(rows[:2], "vec_id long, embedding array<double>"), 5).collect()
+    got = Counter((r["rank"], r["vec_id"]) for r in out)
+    want = Counter()
+    for _, v in rows[:2]:
+        scores = sorted((-(v[0] * math.cos(i) + v[1] * math.sin(i)), i) for i in range(1, 12))[:5]
+        want.update((n + 1, i) for n, (_, i) in enumerate(scores))
+    assert got == want
