@@ -5,9 +5,9 @@ are one node with its number of copies.
 
 1. Every node starts with neighbours from the order along random projections, and with pivots of
    its group where it has too few.
-2. A round joins neighbours of neighbours: each node gathers a sample of its new and old
-   neighbours in both directions, with their vectors in half precision, compares new ones with
-   all, and hands every pair to both ends, which keep the best `k`.  Descent ends when next to
+2. A round joins neighbours of neighbours: the nodes that share a neighbour meet there, with
+   their vectors in half precision, pairs that have not met are compared, and both ends are
+   offered what beats the last of their list and keep the best `k`.  Descent ends when next to
    nothing changes.
 3. A list is saturated when its last entry is still near enough to link.  Saturated places are
    thinned rather than written out: of nodes within half the linking angle of each other, one
@@ -48,8 +48,8 @@ from .components import components
 
 THRESHOLD = 0.93
 NEIGHBOURS = 16
-#: New, and old, neighbours in both directions that a node compares in a round.
-SAMPLE = 20
+#: Followers that meet at a node in a round.
+SAMPLE = 40
 #: Descent ends when so small a share of all list places changed, or after so many rounds.
 SETTLED, ROUNDS = 0.001, 15
 #: More than the cosine of two unit vectors can change by rounding both to half precision.
@@ -187,7 +187,7 @@ def _col(table: pa.Table, name: str) -> pa.Array:
 
 
 def local_joins(members: DataFrame) -> DataFrame:
-    """Offers from comparing the members (w, node, fresh, k, floor, half) of every `w` with each other.
+    """Offers from comparing the members (w, node, fresh, k, floor, half) of every `w` with each other, new ones with all.
 
     A member is offered the best `k` of a group that beat the last of its list: more could not enter.
     """
@@ -231,19 +231,19 @@ def _compared(node: np.ndarray, k: np.ndarray, floor: np.ndarray, fresh: np.ndar
 
 
 def members(graph: DataFrame, turn: int, sample: int = SAMPLE) -> DataFrame:
-    """(w, node, fresh, k, floor, half): what each node compares in a round, sorted by `w`."""
-    edges = graph.select("node", F.explode(F.arrays_zip("ids", "fresh")).alias("e")).select("node", "e.ids", "e.fresh")
-    both = edges.select(F.col("node").alias("w"), F.col("ids").alias("u"), "fresh").unionByName(
-        edges.select(F.col("ids").alias("w"), F.col("node").alias("u"), "fresh"))
-    # Limited before the shuffle, so a hub's whole neighbourhood never meets.
-    place = F.row_number().over(Window.partitionBy("w", "fresh").orderBy(F.xxhash64("w", "u", F.lit(turn)), "u"))
-    few = both.withColumn("place", place).filter(F.col("place") <= sample)
-    lists = few.groupBy("w").agg(F.collect_set(F.struct("u", "fresh")).alias("m"))
-    wanted = lists.filter(F.exists("m", lambda m: m["fresh"]) & (F.size("m") > 1)).select("w", F.explode("m").alias("m"))
+    """(w, node, fresh, k, floor, half) in order of `w`: the nodes that have `w` in their list, and itself.
+
+    A node takes its vector along to each of its neighbours, so a round has one shuffle to the
+    meeting places and one back.
+    """
     last = F.when(F.size("ids") >= F.col("k"), F.try_element_at("sims", F.lit(-1))).otherwise(F.lit(-2.0).cast("float"))
-    own = graph.select("node", "k", last.alias("floor"), "half")
-    joined = wanted.select("w", F.col("m.u").alias("node"), F.col("m.fresh").cast("int").alias("fresh")).join(own, "node")
-    return joined.repartition("w").sortWithinPartitions("w")
+    own = F.array(F.struct(F.col("node").alias("ids"), F.lit(False).alias("fresh")))
+    sent = graph.select("node", "k", last.alias("floor"), "half", F.explode(F.concat(own, F.arrays_zip("ids", "fresh"))).alias("e")).select(
+        F.col("e.ids").alias("w"), "node", F.col("e.fresh").cast("int").alias("fresh"), "k", "floor", "half")
+    # Limited before the shuffle, so a hub's followers never all meet; new ones come first, others by turns.
+    place = F.row_number().over(Window.partitionBy("w").orderBy(F.desc("fresh"), F.xxhash64("w", "node", F.lit(turn)), "node"))
+    few = sent.withColumn("place", place).filter(F.col("place") <= sample)
+    return few.withColumn("news", F.max("fresh").over(Window.partitionBy("w"))).filter("news > 0").drop("place", "news")
 
 
 def descend(graph: DataFrame, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
