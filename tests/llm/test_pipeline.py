@@ -134,3 +134,39 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         for own in sequences.values():
             ends = np.cumsum([n for _, n in sorted(own)]).tolist()
             assert [o for o, _ in sorted(own)] == [0, *ends[:-1]] and ends[-1] <= packing.SEQUENCE
+
+
+def test_pipeline_of_empty_and_odd_tables(spark, tmp_path):
+    """No documents; ids that repeat or are missing, null and long texts, columns named as the stages' own."""
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    rng = np.random.default_rng(3)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(n))
+    one, long = text(40), text(60_000)
+    rows = [(1, one), (1, one), (1, text(50)), (None, text(30)), (None, None), (2, ""), (3, long), (4, None)]
+    odd = spark.createDataFrame([(i, t, "en", "s", None, 7, "k", "r", "x", b"t") for i, t in rows],
+                                SCHEMA + ", k long, row string, spans string, kept string, tid binary")
+    for name, table, texts in (("none", odd.limit(0), []), ("odd", odd, [t for i, t in rows[1:4] + rows[6:7]])):
+        sf_dir = str(tmp_path / name)
+        table.write.parquet(f"{sf_dir}/documents.parquet")
+        labels.write.parquet(f"{sf_dir}/labels.parquet")
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for title, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, sf_dir)
+            assert docs.columns == table.columns, title
+        assert sorted(r["text"] for r in docs.collect()) == sorted(texts)
+        out = corpus_pipeline.run(spark, sf_dir)
+        whole = Tokenizer.from_file(packing.tokenizer_path())
+        assert sum(r["length"] for r in out.collect()) == sum(len(whole.encode(t, add_special_tokens=False).ids) + 1 for t in texts)
+
+
+def test_the_run_leaves_its_result_alone(spark, tmp_path):
+    """Tables written on the way are deleted once read."""
+    import os
+    from recordloom.session import shared_dir
+    folder = shared_dir(spark).removeprefix("file:")
+    table = spark.createDataFrame([(i, f"word{i} " * 30, "en", "s", 1) for i in range(20)], SCHEMA)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    before = set(os.listdir(folder))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(set(os.listdir(folder)) - before) <= 1 and out.count() >= 0
