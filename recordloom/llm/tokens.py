@@ -10,16 +10,15 @@ tokenizer, whose last id carries the end-of-word mark.  All other words are enco
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-STOPS = re.compile(r"(?<=[a-zà-öø-ÿ])[.,](?=[ \n]|$)")
+STOPS = r"([a-zà-öø-ÿ])([.,])( |$)"
 WORD_END = "</w>"
 #: Words kept in a worker's memory; beyond that the cache starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_200_000
 CHUNK = 256
 
 
@@ -71,22 +70,23 @@ class WordEncoder:
             self._add(odd, np.array([i for ids in each for i in ids], np.int32), np.array([len(ids) for ids in each], np.int64))
 
     @staticmethod
-    def _plainer(text: str) -> str:
-        """The same text for the tokenizer with fewer distinct words, where that is certain."""
-        if "<|" in text:  # may hold special tokens, which keep their case
-            return text
-        if not text.isascii():
+    def _plainer(text: str) -> tuple[str, bool]:
+        """The same text for the tokenizer with fewer distinct words, and whether its stops may be cut off."""
+        plain = "<|" not in text  # may hold special tokens, which keep their case
+        if plain and not text.isascii():
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
-                return text
-        return STOPS.sub(r" \g<0>", text.lower())
+                plain = False
+        return (text.lower() if plain else text).replace("\n", " "), plain
 
     def __call__(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and the number of ids of each text; `end_id` closes each text."""
-        plain = [self._plainer(text).replace("\n", " ") if text else None for text in texts]
+        shaped = [self._plainer(text) if text else (None, False) for text in texts]
+        whole = pa.array([s for s, _ in shaped], pa.string())
+        apart = pc.replace_substring_regex(whole, pattern=STOPS, replacement=r"\1 \2\3")
         # Words are cut and told apart in Arrow; Python meets each distinct word of the batch once.
-        cut = pc.split_pattern(pa.array(plain, pa.string()), " ")
+        cut = pc.split_pattern(pc.if_else(pa.array([p for _, p in shaped], pa.bool_()), apart, whole), " ")
         coded = cut.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         counts = cut.value_lengths().fill_null(0).to_numpy()
