@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -74,22 +75,70 @@ class BudgetFold:
         return True, 0
 
 
+def charge_run(rule: BudgetFold, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`step` for a run of charging events in order, without a look at each: (admitted, seconds to wait).
+
+    While there is budget, as many events are admitted as it allows; when there is none, all
+    until the oldest hit expires are refused and wait for that.
+    """
+    admitted, waits = np.zeros(len(times), bool), np.zeros(len(times), np.int64)
+    hits, at = rule.hits, 0
+    while at < len(times):
+        while hits and hits[0] <= times[at] - rule.window:
+            hits.popleft()
+        free = rule.limit - len(hits)
+        if free > 0:
+            upto = min(at + free, len(times))
+            admitted[at:upto] = True
+            hits.extend(times[at:upto].tolist())
+        else:
+            opens = hits[len(hits) - rule.limit] + rule.window
+            upto = at + max(1, int(np.searchsorted(times[at:], hits[0] + rule.window)))
+            waits[at:upto] = np.maximum(1, -(-(opens - times[at:upto]) // SECOND))
+        at = upto
+    while hits and len(times) and hits[0] <= times[-1] - rule.window:
+        hits.popleft()
+    return admitted, waits
+
+
+def decide_run(rule: BudgetFold, times: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`step` for the events of one key in order; stretches that only charge are taken whole."""
+    admitted, waits = np.zeros(len(times), bool), np.zeros(len(times), np.int64)
+    if rule.limit <= 0:
+        return ~admitted, waits
+    other = np.flatnonzero((kinds != SPEND) & (kinds != FAIL))
+    begin = 0
+    for stop in [*other.tolist(), len(times)]:
+        if stop > begin:
+            admitted[begin:stop], waits[begin:stop] = charge_run(rule, times[begin:stop])
+        if stop < len(times):
+            admitted[stop], waits[stop] = rule.step(int(times[stop]), kinds[stop])
+        begin = stop + 1
+    return admitted, waits
+
+
+def _by_key(batch: pa.RecordBatch) -> Iterator[tuple[object, slice, np.ndarray, np.ndarray]]:
+    """(key, rows, times, kinds) of each stretch of equal keys."""
+    codes = batch.column("_key").dictionary_encode().indices.fill_null(-1).to_numpy()
+    times = batch.column("_us").to_numpy()
+    kinds = np.array(batch.column("_kind").to_pylist(), object)
+    edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+    for a, b in zip(edges, edges[1:]):
+        yield batch.column("_key")[a].as_py(), slice(a, b), times[a:b], kinds[a:b]
+
+
 def _fold_slices(limit: int, window: float, carried: dict[int, list[int]]):
     """Fold sorted slices; the first key of a slice starts from its carried-in hits."""
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rule = None, None
         for batch in batches:
-            keys = batch.column("_key").to_pylist()
-            times, kinds = batch.column("_us").to_pylist(), batch.column("_kind").to_pylist()
-            admitted, waits = [], []
-            for i, k in enumerate(keys):
+            admitted, waits = np.zeros(batch.num_rows, bool), np.zeros(batch.num_rows, np.int64)
+            for k, rows, times, kinds in _by_key(batch) if batch.num_rows else ():
                 if rule is None:
                     rule, key = BudgetFold(limit, window, carried.get(batch.column(SLICE)[0].as_py())), k
                 elif k != key:
                     rule, key = BudgetFold(limit, window), k
-                ok, wait = rule.step(times[i], kinds[i])
-                admitted.append(ok)
-                waits.append(wait)
+                admitted[rows], waits[rows] = decide_run(rule, times, kinds)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(admitted, pa.bool_()), pa.array(waits, pa.int64())],
                 names=[*batch.schema.names, "admitted", "retry_after"])
@@ -104,14 +153,12 @@ def _exit_states(limit: int, window: float, carried: dict[int, list[int]]):
             if batch.num_rows == 0:
                 continue
             number = batch.column(SLICE)[0].as_py()
-            keys = batch.column("_key").to_pylist()
-            times, kinds = batch.column("_us").to_pylist(), batch.column("_kind").to_pylist()
-            for i, k in enumerate(keys):
+            for k, _, times, kinds in _by_key(batch):
                 if rule is None:
                     rule, key = BudgetFold(limit, window, carried.get(number)), k
                 elif k != key:
                     rule, key = BudgetFold(limit, window), k
-                rule.step(times[i], kinds[i])
+                decide_run(rule, times, kinds)
         if rule is not None:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int32()), pa.array([list(rule.hits)], pa.list_(pa.int64()))],

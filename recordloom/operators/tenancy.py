@@ -10,16 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
-from .shuffle import broadcast_if_small
+from .shuffle import broadcast_if_small, lookup_join
 
 GLOBAL, ORGANIZATION, UNIT = "global", "organization", "unit"
-SALTS = 16
+#: A scope that holds more than one in so many rows is split, into parts of about that size.
+SHARES = 256
 
 
 def resolve_organization(users: DataFrame, units: DataFrame) -> DataFrame:
     """Accounts with `unit_org` (through the unit) and `scope_org` (own column first)."""
     lookup = units.select(F.col("id").alias("unit_id"), F.col("organization_id").alias("unit_org"))
-    return users.join(lookup, "unit_id", "left").withColumn(
+    return lookup_join(users, lookup, "unit_id", ["id"], row_bytes=16).withColumn(
         "scope_org", F.coalesce("organization_id", "unit_org"))
 
 
@@ -46,18 +47,25 @@ def in_scopes(df: DataFrame, organization: Column | None, unit: Column | None) -
     return spread.select(*df.columns, "_scope.scope_kind", "_scope.scope_id")
 
 
-def _meet(actors: DataFrame, rows: DataFrame, salt_on: str, salts: int = SALTS) -> DataFrame:
+def _meet(actors: DataFrame, rows: DataFrame, salt_on: str, shares: int = SHARES) -> DataFrame:
     """Join actors to rows on the scope.
 
     The global scope holds every row.  Few actors are broadcast and no row moves; too
-    many, and the scopes are salted so that none lands in one task.
+    many, and each scope is split by its measured share of the rows, so that none lands in one
+    task and the actors of small scopes are not copied.
     """
     small = broadcast_if_small(actors)
     if small is not actors:
         return rows.join(small, ["scope_kind", "scope_id"])
-    spread = actors.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int"))
-    return salted.join(spread, ["scope_kind", "scope_id", "_salt"]).drop("_salt")
+    scope = ["scope_kind", "scope_id"]
+    counts = rows.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"))
+    parts = F.ceil(F.col("_n") * shares / counts.agg(F.sum("_n")).scalar()).cast("int")
+    # Fewer than `shares` scopes can hold more than one in `shares` rows.
+    large = F.broadcast(counts.withColumn("_parts", parts).filter("_parts > 1").select(*scope, "_parts"))
+    one = F.coalesce("_parts", F.lit(1))
+    spread = actors.join(large, scope, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
+    salted = rows.join(large, scope, "left").withColumn("_salt", F.pmod(F.xxhash64(salt_on), one).cast("int")).drop("_parts")
+    return salted.join(spread, [*scope, "_salt"]).drop("_salt")
 
 
 def visible_accounts(users: DataFrame, units: DataFrame) -> DataFrame:

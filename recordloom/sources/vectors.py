@@ -72,7 +72,8 @@ class VersionedTable:
             df.write.parquet(path)
             return
         folders, order = self.layout
-        df.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(*folders).parquet(path)
+        # One shuffle by folder; those that hold much are split at run time, each piece sorted.
+        df.hint("rebalance", *[F.col(c) for c in folders]).sortWithinPartitions(*order).write.partitionBy(*folders).parquet(path)
 
     def _open(self, folder: str, deltas: bool = False) -> DataFrame | None:
         """The rows of one folder, in the table's types; None where it counts as empty."""

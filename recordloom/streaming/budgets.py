@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.budget import SECOND, SPEND, BudgetFold, micros
+from ..operators.budget import SECOND, SPEND, BudgetFold, decide_run, micros
 
 STATE = "hits array<long>"
 
@@ -38,7 +38,7 @@ def stream_admit(events: DataFrame, key: str, ts: str, seq: str, limit: int, win
         held = list(state.get[0]) if state.exists else []
         rule = BudgetFold(limit, window_seconds, held)
         batch = pd.concat(list(batches)).sort_values(["us", "seq"], kind="stable")
-        decided = [rule.step(us, kind) for us, kind in zip(batch["us"].tolist(), batch["kind"].tolist())]
+        admitted, waits = decide_run(rule, batch["us"].to_numpy(), batch["kind"].to_numpy(object))
         if rule.hits:
             state.update((list(rule.hits),))
             expires = rule.hits[-1] // 1000 + window_ms + 1
@@ -46,7 +46,7 @@ def stream_admit(events: DataFrame, key: str, ts: str, seq: str, limit: int, win
         elif state.exists:
             state.remove()
         yield pd.DataFrame({"key": group[0], "seq": batch["seq"].values, "us": batch["us"].values,
-                            "admitted": [d[0] for d in decided], "retry_after": [d[1] for d in decided]})
+                            "admitted": admitted, "retry_after": waits})
 
     return rows.groupBy("key").applyInPandasWithState(
         fold, f"key {key_type}, seq {seq_type}, us long, admitted boolean, retry_after long",

@@ -177,3 +177,21 @@ def test_reviews_and_edits(spark):
     for c in fv.RECORD_COLUMNS[1:]:
         edits = edits.withColumn(c, F.lit("e"))
     assert {r["id"]: (r["job_title"], r["tools"]) for r in moderation.apply_edits(jobs, edits).collect()} == {1: ("new", "e"), 2: ("b", "")}
+
+
+def test_scopes_are_split_by_their_share(spark, monkeypatch):
+    """Without a broadcast: the same pairs, and no part of a scope holds much more than its share."""
+    users = spark.range(3000).select(
+        "id", F.when(F.col("id") < 3, "super_admin").when(F.col("id") % 50 == 0, "unit_admin").otherwise("user").alias("role"),
+        F.lit(None).cast("long").alias("organization_id"),
+        F.when(F.col("id") % 10 < 9, 1).when(F.col("id") % 100 == 19, None).otherwise(F.col("id") % 7 + 2).cast("long").alias("unit_id"))
+    units = spark.range(1, 10).select("id", (F.col("id") % 3).alias("organization_id"))
+    want = sorted(map(tuple, T.visible_accounts(users, units).collect()))
+    monkeypatch.setattr(T, "broadcast_if_small", lambda df, *a, **k: df)
+    monkeypatch.setattr(T, "SHARES", 8)
+    assert sorted(map(tuple, T.visible_accounts(users, units).collect())) == want and len(want) > 9000
+    rows = T.in_scopes(users.select(F.col("id").alias("account_id"), "unit_id"), None, F.col("unit_id"))
+    actors = T.admin_scopes(users)
+    joined = T._meet(actors, rows, "account_id", 8)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("rightHint=(strategy=broadcast)") == 2
