@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 STOPS = r"([a-zà-öø-ÿ])([.,])( |$)"
 WORD_END = "</w>"
 #: Words kept in a worker's memory; beyond that the cache starts anew.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 CHUNK = 256
 
 
