@@ -124,9 +124,10 @@ def best_documents(terms: DataFrame, weights: DataFrame, avg_len: Column, k: int
     held = placed.join(slots, ["block", "token"]).groupBy("block").agg(F.sort_array(F.collect_list(entry)).alias("weights"))
     none = {"doc_id": F.lit(None).cast("long"), "slot": F.lit(0), "part": F.lit(0.0)}
     held = held.withColumns(none).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    # No weights are an empty list: to write a NULL one, Arrow fills the offsets since the last list again, row by row.
     own = terms.join(slots, "token").select(
         "block", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"), F.col("doc_id").cast("long").alias("doc_id"), "slot",
-        _part(avg_len, k1, b).alias("part"), F.lit(None).cast(held.schema["weights"].dataType).alias("weights"))
+        _part(avg_len, k1, b).alias("part"), F.array().cast(held.schema["weights"].dataType).alias("weights"))
     lined = own.filter(F.col("doc_id").isNotNull()).unionByName(held).repartition("block", "slice").sortWithinPartitions("block", "slice", F.asc_nulls_first("doc_id"))
     columns = ["block", "slice", "doc_id", "slot", "part", "weights"]
     return lined.select(*columns).mapInArrow(lambda batches: _scored(batches, k), "query_id long, doc_id long, sparse double")
@@ -167,7 +168,7 @@ def _scored(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(asked[found]), pa.array(best.ids[found]), pa.array(best.scores[found])],
                                              names=["query_id", "doc_id", "sparse"])
     for batch in batches:
-        heads = np.flatnonzero(batch.column("weights").is_valid().to_numpy(zero_copy_only=False))
+        heads = np.flatnonzero(batch.column("weights").value_lengths().to_numpy(zero_copy_only=False))
         doc = batch.column("doc_id").fill_null(0).to_numpy()
         slot, part = batch.column("slot").to_numpy().astype(np.int64), batch.column("part").to_numpy()
         for a, z in zip(np.concatenate([[-1], heads]), np.append(heads, batch.num_rows)):

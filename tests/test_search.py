@@ -204,3 +204,30 @@ def test_answers_end_to_end(spark):
     expected = spark.createDataFrame([(1, "plumber"), (2, None), (3, "florist")], "query_id long, expected string")
     found = spark.createDataFrame([(r["query_id"], r["mode"], r["job"]) for r in rows.values()], "query_id long, mode string, job string")
     assert tuple(evaluate_rankings(found, expected).first()) == (3, 2, 0.5, 1.0)
+
+
+def test_postings_travel_without_null_lists(spark, corpus, monkeypatch):
+    """Arrow takes time by the rows since the last list for each NULL one."""
+    docs, asked = corpus
+
+    def seen(batches, k):
+        import pyarrow as pa
+        for batch in batches:
+            lists = batch.column("weights")
+            yield pa.RecordBatch.from_pydict({"query_id": [lists.null_count], "doc_id": [batch.num_rows], "sparse": [0.0]})
+    monkeypatch.setattr(lexical, "_scored", seen)
+    d = spark.createDataFrame(docs, "d long, t string")
+    q = spark.createDataFrame(asked, "q long, t string")
+    wanted = lexical.question_tokens(q, "q", "t")
+    terms, n_docs, avg_len, _ = lexical._text_terms(d, "d", "t", wanted)
+    rows = lexical.best_documents(terms, lexical.token_weights(terms, wanted, n_docs), avg_len, 3, 1).collect()
+    assert sum(r["doc_id"] for r in rows) > 0 and sum(r["query_id"] for r in rows) == 0
+
+
+def test_a_scan_reads_the_texts_once(spark, corpus, tmp_path):
+    docs, asked = corpus
+    texts = str(tmp_path / "texts")
+    spark.createDataFrame(docs, "d long, t string").write.parquet(texts)
+    q = spark.createDataFrame(asked, "q long, t string")
+    found = lexical.bm25_topk(spark.read.parquet(texts), "d", "t", q, "q", "t", 5)
+    assert not any("texts" in path for path in found.inputFiles())
