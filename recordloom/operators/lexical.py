@@ -65,9 +65,8 @@ def _text_terms(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> t
     marker = docs.sparkSession.createDataFrame([(_DOCUMENT,)], "token string")
     small = measured_bytes(wanted) <= BROADCAST_BYTES
     vocabulary = wanted.select("token").distinct().unionByName(marker)
-    terms = matched_terms(docs, doc_id, text, F.broadcast(vocabulary) if small else vocabulary)
-    # All uses of `terms` need the same columns and filter nothing, so that Spark reuses
-    # the one shuffle: the texts are read and tokenised once.
+    # Written out, so that the texts are read and tokenised once however often `terms` is used.
+    terms = stored(matched_terms(docs, doc_id, text, F.broadcast(vocabulary) if small else vocabulary), "terms")
     lexicon = terms.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.avg("len").alias("avg_len"))
     of_all = lambda c: F.coalesce(F.max(F.when(F.col("token") == _DOCUMENT, F.col(c))), F.lit(1.0))
     return terms, lexicon.agg(of_all("df").alias("n")).scalar(), lexicon.agg(of_all("avg_len").alias("avg_len")).scalar(), small
