@@ -12,7 +12,7 @@ from .. import fixed_values as fv
 from ..functions.text import lexical_tokens
 from ..session import stored
 from .dense import Best
-from .lexical_index import LexicalIndex
+from .lexical_index import LexicalIndex, doc_terms
 from .shuffle import BROADCAST_BYTES, measured_bytes, top_per_group
 
 # No token is empty, so the empty token can stand for the document itself.
@@ -28,8 +28,7 @@ def build_index(docs: DataFrame, doc_id: str, text: str) -> dict[str, DataFrame]
     """The index as tables `postings`, `doc_len`, `lexicon` and one-row `stats`."""
     tokens = docs.select(F.col(doc_id).alias("doc_id"), lexical_tokens(F.col(text)).alias("toks"))
     doc_len = tokens.select("doc_id", F.size("toks").alias("len"))
-    postings = (tokens.select("doc_id", F.explode("toks").alias("token"))
-                .groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf")))
+    postings = doc_terms(docs, doc_id, text).select("doc_id", "token", "tf")
     stats = doc_len.agg(F.count(F.lit(1)).alias("n"),
                         F.coalesce(F.avg("len"), F.lit(1.0)).alias("avg_len"))
     stats = stats.withColumn("oov_idf", _idf(F.col("n"), F.lit(0)))

@@ -8,12 +8,20 @@ from time to time: what a change costs follows the change, not the corpus.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import lexical_tokens
+from ..session import stored
 from ..sources.vectors import VersionedTable
+from .shuffle import broadcast_if_small
 
 PARTS = 16
+#: Tokens that are counted at once.
+CHUNK_TOKENS = 1 << 20
 POSTINGS = "doc_id long, token string, tf int, len int, part int"
 LENGTHS = "doc_id long, len int"
 
@@ -23,6 +31,51 @@ def token_part(token, parts: int):
     return F.floor((F.xxhash64(token) / (2.0 ** 64) + 0.5) * parts).cast("int")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct tokens of each row with their number in it."""
+    for batch in batches:
+        ends = np.cumsum(batch.column("toks").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + CHUNK_TOKENS, side="right")))
+            rows = batch.slice(start, stop - start)
+            words = rows.column("toks").flatten().dictionary_encode()
+            width = max(1, len(words.dictionary))
+            row = np.repeat(np.arange(rows.num_rows), np.diff(ends[start:stop], prepend=before))
+            pairs, tf = np.unique(row * width + words.indices.to_numpy(), return_counts=True)
+            row, word = np.divmod(pairs, width)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id").take(pa.array(row)), words.dictionary.take(pa.array(word)), pa.array(tf),
+                 rows.column("len").take(pa.array(row))], names=["doc_id", "token", "tf", "len"])
+            start = stop
+
+
+def _row_terms(docs: DataFrame) -> DataFrame:
+    toks = docs.select("doc_id", lexical_tokens(F.col("text")).alias("toks"))
+    none = F.array().cast("array<string>")
+    schema = T.StructType([docs.schema["doc_id"], *T.DataType.fromDDL("token string, tf long, len int").fields])
+    return toks.select("doc_id", F.size("toks").alias("len"), F.coalesce("toks", none).alias("toks")).mapInArrow(_counted, schema)
+
+
+def doc_terms(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """`(doc_id, token, tf, len)`: the distinct tokens of each document.
+
+    A row's tokens are counted where it lies, without a shuffle; only rows that share their id
+    are brought together.
+    """
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    shared = stored(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+                    .select(F.col("doc_id").alias("_id")), "shared")
+    if shared.isEmpty():
+        return _row_terms(docs)
+    shared = broadcast_if_small(shared)
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    merged = (_row_terms(docs.join(shared, same, "left_semi")).groupBy("doc_id", "token")
+              .agg(F.sum("tf").alias("tf"), F.max("len").alias("len")))
+    return _row_terms(docs.join(shared, same, "left_anti")).unionByName(merged)
+
+
 class LexicalIndex:
     """G6 as stored tables below `root`: `postings` and `lengths`, both replaced by document."""
 

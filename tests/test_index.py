@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordloom import fixed_values as fv
-from recordloom.operators import dense, lexical
+from recordloom.operators import dense, lexical, lexical_index
 from recordloom.operators.embedding import encoder_udf
 from recordloom.operators.lexical_index import LexicalIndex
 from recordloom.plans import search
@@ -184,3 +184,20 @@ def test_a_question_without_candidates_is_out_of_domain(spark):
     asked = asked.withColumn("query_vec", none)
     rows = {r["query_id"]: r for r in search.answer_batch(records, asked).collect()}
     assert {i: (r["mode"], r["answer"], r["job"]) for i, r in rows.items()} == {i: ("out_of_domain", fv.OUT_OF_DOMAIN, None) for i in (1, 2)}
+
+
+def test_postings_need_no_shuffle_by_document(spark):
+    docs = _docs(spark, [(1, "a b a"), (2, None), (3, ""), (4, "C c\tb")])
+    terms = lexical_index.doc_terms(docs, "d", "t")
+    assert "Exchange" not in terms._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in terms.collect()} == {(1, "a", 2, 3), (1, "b", 1, 3), (4, "c", 2, 3), (4, "b", 1, 3)}
+
+
+def test_rows_that_share_an_id_are_one_document(spark, monkeypatch):
+    monkeypatch.setattr(lexical_index, "CHUNK_TOKENS", 2)
+    docs = _docs(spark, [(1, "a b a"), (1, "a c"), (None, "x"), (None, "x y"), (5, "a"), (6, None), (6, "z")])
+    rows = [tuple(r) for r in lexical_index.doc_terms(docs, "d", "t").collect()]
+    assert sorted(rows, key=repr) == sorted([(1, "a", 3, 3), (1, "b", 1, 3), (1, "c", 1, 2), (None, "x", 2, 2), (None, "y", 1, 2),
+                                             (5, "a", 1, 1), (6, "z", 1, 1)], key=repr)
+    lexicon = {r["token"]: r["df"] for r in lexical.build_index(docs, "d", "t")["lexicon"].collect()}
+    assert lexicon == {"a": 2, "b": 1, "c": 1, "x": 1, "y": 1, "z": 1}
