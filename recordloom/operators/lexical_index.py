@@ -86,12 +86,11 @@ class LexicalIndex:
         self.lengths = VersionedTable(spark, f"{root}/lengths", LENGTHS, key="doc_id")
 
     def _tables(self, docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-        tokens = docs.select(F.col(doc_id).cast("long").alias("doc_id"), lexical_tokens(F.col(text)).alias("toks"))
-        sized = tokens.select("doc_id", F.size("toks").alias("len"), "toks")
-        postings = (sized.select("doc_id", "len", F.explode("toks").alias("token")).groupBy("doc_id", "token")
-                    .agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("len").alias("len")))
-        return (postings.withColumn("part", token_part("token", self.parts)).select("doc_id", "token", "tf", "len", "part"),
-                sized.select("doc_id", "len"))
+        docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        postings = doc_terms(docs, "doc_id", "text")
+        lengths = docs.select("doc_id", F.size(lexical_tokens(F.col("text"))).alias("len"))
+        return (postings.select("doc_id", "token", F.col("tf").cast("int").alias("tf"), "len", token_part("token", self.parts).alias("part")),
+                lengths)
 
     def rebuild(self, docs: DataFrame, doc_id: str, text: str) -> None:
         """The index of these documents and no others."""
