@@ -21,9 +21,10 @@ WS = fv.WHITESPACE
 TEXT_TABLES = ("documents", "pages", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, task_rows: int | None = None) -> DataFrame:
+    """A driver table; with `task_rows`, dealt out in tasks of so many rows (see `spread`)."""
     found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(found) if name in TEXT_TABLES else found
+    return spread(found, task_rows) if name in TEXT_TABLES or task_rows else found
 
 
 def kept(df: DataFrame, label: str) -> DataFrame:

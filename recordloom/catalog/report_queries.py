@@ -47,7 +47,7 @@ def related_minus_matched(spark, sf_dir):
 
 def report_validate(spark, sf_dir):
     """Conversation turns as posted reports, long texts and lists being the faults."""
-    rows = table(spark, sf_dir, "conversations")
+    rows = table(spark, sf_dir, "conversations", task_rows=2_000)
     words = F.split("text", "[.,]")
     shaped = rows.select(
         F.concat_ws("-", "conv_id", "turn").alias("report"), F.when(F.col("turn") == 0, F.lit("")).otherwise(F.col("text")).alias("question"),

@@ -38,14 +38,18 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES,
     return F.broadcast(df) if size <= max_bytes else df
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, task_rows: int | None = None) -> DataFrame:
     """A scan of a few splits dealt out over all cores; larger scans are left as they are.
 
     Only meant for stored tables with heavy per-row work: a small file is one split,
-    however many cores wait.
+    however many cores wait.  With `task_rows`, for the heaviest work, no task is dealt many
+    more rows than that, so more rows mean more tasks.  Counting rows of a stored table reads
+    no column.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if task_rows is not None:
+        tasks = max(tasks, -(-df.count() // task_rows))
+    return df.repartition(tasks) if df.rdd.getNumPartitions() * 4 <= tasks else df
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int,

@@ -53,3 +53,12 @@ def test_lookup_join_with_and_without_broadcast(spark):
     for limit in (S.BROADCAST_BYTES, -1):
         got = S.lookup_join(rows, table, "k", ["i"], salts=4, max_bytes=limit).select("i", "v").collect()
         assert len(got) == 302 and {r["i"]: r["v"] for r in got} == want
+
+
+def test_heavy_rows_are_dealt_to_more_tasks(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(1000).coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path)
+    dealt = S.spread(rows, 20)
+    assert dealt.rdd.getNumPartitions() == 50 and dealt.count() == 1000
+    assert S.spread(rows).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
