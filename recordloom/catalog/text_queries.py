@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions import calendar, display, identity, intent, text as T
-from ..operators.shuffle import spread
 from .common import (SQL_PART_RECORDS, WS, part_records, sql_combined, sql_items, sql_match_key, sql_normalize,
                      sql_squeeze, sql_strip, sql_words, table)
 
@@ -120,7 +119,7 @@ _REPLY = """'note: ' || CASE event_type
 
 
 def json_reply_parse(spark, sf_dir):
-    events = spread(table(spark, sf_dir, "events")).withColumn("props_text", F.regexp_replace("props", '["{}]', ""))
+    events = table(spark, sf_dir, "events", task_rows=50_000).withColumn("props_text", F.regexp_replace("props", '["{}]', ""))
     reply = F.expr(_REPLY.replace("@NL@", "\\\\n"))
     k = T.object_value(T.parse_object(F.concat(F.lit("x "), F.col("props"), F.lit(" y"))), "k")
     # A column of its own, so that the reply is parsed once for all cells taken from it.
