@@ -12,7 +12,7 @@ from ..plans.corpus import assemble_master
 from ..session import fresh_path, stored
 from ..sources import records as R
 from ..sources.vectors import import_legacy, store_vectors, vector_store
-from .common import sql_match_key, sql_normalize, table
+from .common import kept, sql_match_key, sql_normalize, table
 
 
 
@@ -208,7 +208,8 @@ def language_normalizer(spark, sf_dir):
 
 def vector_round_trip(spark, sf_dir):
     """Texts encoded in two goes through the store: the second encodes what the first did not hold, and reads all."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", normalize(F.col("text")).alias("text"))
+    # Read several times a go, so normalised once.
+    docs = kept(table(spark, sf_dir, "documents").select("doc_id", normalize(F.col("text")).alias("text")), "normalised")
     store = vector_store(spark, fresh_path(spark, "vectors"))
     udf = embedding.encoder_udf(embedding.hashing_encoder(8))
     embedding.embed(docs.filter("doc_id % 3 <> 0"), "text", store, udf).write.format("noop").mode("overwrite").save()
