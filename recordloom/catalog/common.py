@@ -89,9 +89,12 @@ def sql_match_key(x: str) -> str:
 
 
 # ----------------------------------------------------------------- records and questions
-def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Record cells from `part` and `documents`: title and lists from the part, prose from the text."""
-    part = table(spark, sf_dir, "part")
+def part_records(spark: SparkSession, sf_dir: str, part: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """Record cells from `part` and `documents`: title and lists from the part, prose from the text.
+
+    `part` may come with columns of its own, kept where `more` names them.
+    """
+    part = table(spark, sf_dir, "part") if part is None else part
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("p_partkey"), "text", "lang")
     rows = part.join(docs, "p_partkey", "left")
     cells = {
@@ -106,7 +109,7 @@ def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "description": F.coalesce(F.col("text"), F.lit("")),
         "responsibilities": F.concat_ws(" | ", "p_brand", "p_name"),
     }
-    return rows.select(F.col("p_partkey").alias("record_id"), *[normalize(cells[c]).alias(c) for c in fv.RECORD_COLUMNS])
+    return rows.select(F.col("p_partkey").alias("record_id"), *[normalize(cells[c]).alias(c) for c in fv.RECORD_COLUMNS], *more)
 
 
 SQL_PART_RECORDS = f"""
@@ -140,11 +143,13 @@ def search_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _search_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    rows = with_slot(part_records(spark, sf_dir), "record_id", vectors)
+    parts = with_slot(table(spark, sf_dir, "part"), "p_partkey", vectors)
     count = F.lit(vectors.count())
     paired = vectors.select(F.col("vec_id").alias("_slot"), F.col("embedding").alias("full_vec")).join(
         vectors.select(F.pmod(F.col("vec_id") - 1, count).alias("_slot"), F.col("embedding").alias("title_vec")), "_slot")
-    rows = rows.join(paired, "_slot", "left").drop("_slot")
+    # The vectors come to the short parts, so that the texts are shuffled once, by their own key.
+    parts = parts.join(paired, "_slot", "left").drop("_slot")
+    rows = part_records(spark, sf_dir, parts, ("full_vec", "title_vec"))
     return kept(rows.withColumn("combined_text", display.combined_text()), "records")
 
 
