@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import display
 from ..operators import coverage, lists, validate
+from ..operators.shuffle import broadcast_if_small
 from ..plans import profiles as P
 from ..session import stored
 from .common import SQL_PART_RECORDS, kept, part_records, table, with_slot
@@ -24,7 +25,7 @@ def _order_records(spark, sf_dir):
     skills = lists.ordered_distinct_list(facts, "l_orderkey", "p_name", "skills", "seq")
     kinds = lists.ordered_distinct_list(facts, "l_orderkey", "p_type", "knowledge", "seq")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_slot"), F.col("embedding").alias("full_vec"))
-    rows = with_slot(skills.join(kinds, "l_orderkey"), "l_orderkey", vectors).join(vectors, "_slot", "left")
+    rows = with_slot(skills.join(kinds, "l_orderkey"), "l_orderkey", vectors).join(broadcast_if_small(vectors), "_slot", "left")
     blank = [F.lit("").alias(c) for c in fv.RECORD_COLUMNS if c not in ("job_title", "skills", "knowledge", "work_context")]
     return rows.select(
         F.col("l_orderkey").alias("record_id"), F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("job_title"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as fv
-from ..functions.text import clean_item, is_blank, squeeze
+from ..functions.text import clean_item, is_blank
 
 
 def scored_filter(facts: DataFrame, scale: str | None = None, min_value: float | None = None) -> DataFrame:
@@ -32,9 +32,10 @@ def ordered_distinct_list(facts: DataFrame, key: str, element: str, name: str, s
     cell is gathered from its distinct elements only.
     """
     item = clean_item(F.coalesce(F.col(element).cast("string"), F.lit("")))
+    # Blanks of a cleaned item are collapsed already.
     rank = F.struct((-F.col(score)).alias("s"), F.col(seq).alias("q")) if score else F.struct(F.col(seq).alias("q"))
     rows = facts.filter(F.col(key).isNotNull()).select(
-        F.col(key), item.alias("_item"), squeeze(F.lower(item)).alias("_form"), rank.alias("_rank"))
+        F.col(key), item.alias("_item"), F.lower(item).alias("_form"), rank.alias("_rank"))
     firsts = rows.groupBy(key, "_form").agg(
         F.min_by("_item", "_rank").alias("_item"), F.min("_rank").alias("_rank"))
     usable = F.when(F.col("_form") != "", F.struct("_rank", "_item") if score else F.struct("_item"))

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from .. import fixed_values as fv
 from ..functions import display
 from ..functions.text import normalize
-from ..operators.coverage import (ProfileIndex, clean_profiles, coverage_fields, coverage_ratios,
-                                  profile_fields, record_cells)
+from ..operators.coverage import (ProfileIndex, clean_profiles, coverage_fields, coverage_lists,
+                                  field_texts, profile_fields)
 from ..operators.dense import SCORE_DIGITS, dense_topk
 from ..operators.shuffle import number_rows
 from ..session import fresh_path, stored
@@ -24,12 +24,10 @@ def profile_queries(profiles: DataFrame) -> DataFrame:
 PROFILE_BLOCK = 256
 
 
-def covered_lists(records: DataFrame, profiles: DataFrame, index: ProfileIndex, cells: DataFrame | None = None) -> DataFrame:
-    """`(record_id, bonus)`: per record the list of (profile, share covered) of those that share a form with it."""
-    covered = coverage_ratios(records, "record_id", profiles, index, cells=cells)
-    return covered.groupBy(F.col("doc_id").alias("record_id")).agg(
-        F.collect_list(F.struct(F.col("profile_id").cast("long").alias("query_id"),
-                                F.col("coverage").alias("value"))).alias("bonus"))
+def covered_lists(texts: DataFrame, profiles: DataFrame, index: ProfileIndex, fields: list[str]) -> DataFrame:
+    """`(record_id, full_vec, bonus)`: per record the list of (profile, share covered) of those that share a form with it."""
+    covered = coverage_lists(texts, profiles, index, fields, ["full_vec"])
+    return covered.select(F.col("doc_id").alias("record_id"), "full_vec", F.when(F.col("doc_id").isNotNull(), F.col("bonus")).alias("bonus"))
 
 
 def profile_rank(records: DataFrame, profiles: DataFrame, vectors: DataFrame, index: ProfileIndex | None = None,
@@ -43,30 +41,30 @@ def profile_rank(records: DataFrame, profiles: DataFrame, vectors: DataFrame, in
     Coverage reaches the vector scan as a list per record, so every record takes part with
     both halves of its score.  Profiles come in blocks of at most `block`, which bounds the
     list; more profiles mean more blocks, run and stored one after the other over the records'
-    words and vectors, which are stored once.
+    texts and vectors, which are stored once.  A small profile table goes to the records: each
+    task covers and scores its rows where they lie.
     """
     asked = vectors.join(profiles.select("profile_id").distinct(), "profile_id", "left_semi")
     ids = profiles.select("profile_id").distinct()
     blocks = max(1, -(-ids.count() // block))
     none = F.array().cast("array<struct<query_id:bigint,value:double>>")
-    cells = None
+    fields = [f for f in fv.PROFILE_FIELDS if f in records.columns]
 
-    def ranked(profiles: DataFrame, asked: DataFrame, index: ProfileIndex) -> DataFrame:
-        per_record = covered_lists(records, profiles, index, cells)
-        held = records.select("record_id", "full_vec").join(per_record, "record_id", "left")
-        return dense_topk(held, "record_id", F.col("full_vec"), asked, "profile_id", "query_vec", top,
+    def ranked(texts: DataFrame, profiles: DataFrame, asked: DataFrame, index: ProfileIndex, fields: list[str]) -> DataFrame:
+        return dense_topk(covered_lists(texts, profiles, index, fields), "record_id", F.col("full_vec"), asked, "profile_id", "query_vec", top,
                           F.coalesce("bonus", none), (w_dense, w_cover))
     if blocks == 1:
-        best = ranked(profiles, asked, index or ProfileIndex(profiles))
+        index = index or ProfileIndex(profiles)
+        fields = [f for f in fields if f in index.fields]
+        best = ranked(field_texts(records, "record_id", fields, ["full_vec"]), profiles, asked, index, fields)
     else:
-        cells = stored(record_cells(records, "record_id"), "cells")
-        records = stored(records.select("record_id", "full_vec"), "vectors")
+        texts = stored(field_texts(records, "record_id", fields, ["full_vec"]), "texts")
         placed = stored(number_rows(ids, ["profile_id"], "_no").select("profile_id", F.floor((F.col("_no") - 1) / block).alias("_b")), "blocks")
         path = fresh_path(records.sparkSession, "ranked")
         for b in range(blocks):
             own = F.broadcast(placed.filter(F.col("_b") == b).select("profile_id"))  # at most `block` rows
             part = stored(profiles.join(own, "profile_id", "left_semi"), "profiles")
-            ranked(part, asked.join(own, "profile_id", "left_semi"), ProfileIndex(part)).write.mode("append").parquet(path)
+            ranked(texts, part, asked.join(own, "profile_id", "left_semi"), ProfileIndex(part), fields).write.mode("append").parquet(path)
         best = records.sparkSession.read.parquet(path)
     return best.select(F.col("query_id").alias("profile_id"), "doc_id", "dense",
                        F.round("bonus", SCORE_DIGITS).alias("coverage"), "score", "rank")

@@ -176,3 +176,56 @@ def test_profile_rank_by_blocks(spark, block, monkeypatch):
         best = sorted(score, key=lambda d: (-round(score[d], 9), d))[:6]
         assert [got[p, n + 1] for n in range(6)] == [(d, pytest.approx(score[d], abs=1e-8), pytest.approx(pairs.get((d, p), 0), abs=1e-8)) for d in best]
     assert len(longest) == -(-11 // block) and max(longest) <= block
+
+
+def _odd_records(spark):
+    """Odd cells and ids: separators, letters beyond ASCII, blank and missing cells, ids that repeat or are missing."""
+    rng = random.Random(5)
+    words = [*WORDS, "Straße", "STRASSE", "İstanbul", "ΟΔΟΣ", "οδοσ", "طراحی", "طراح", "x\u2003data", "e-design", "a|b"]
+    phrase = lambda: rng.choice([" ", "\t", "\u00a0", ", ", "/"]).join(rng.choices(words, k=rng.randint(1, 3)))
+    rows = [(i, rng.choice([None, "", " - ", " | ".join(phrase() for _ in range(3))]), rng.choice([None, "—", phrase()]),
+             [rng.gauss(0, 1) for _ in range(3)]) for i in [*range(40), *range(5), 3, None, None]]
+    records = spark.createDataFrame(rows, "record_id long, skills string, work_context string, full_vec array<double>").repartition(3)
+    items = [(p, f, n, phrase()) for p in range(7) for f in ("skills", "work_context", "knowledge") for n in range(4)]
+    return records, C.clean_profiles(spark.createDataFrame(items, "profile_id long, field string, pos long, item string"))
+
+
+def _ratios(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_rows_covered_in_place_equal_the_joins(spark, monkeypatch):
+    records, profiles = _odd_records(spark)
+    placed = _ratios(C.coverage_ratios(records, "record_id", profiles, C.ProfileIndex(profiles)))
+    vectors = spark.createDataFrame([(p, [p - 3.0, 1.0, 0.5]) for p in range(7)], "profile_id long, query_vec array<double>")
+    ranked = lambda **k: _ratios(P.profile_rank(records.filter("record_id IS NOT NULL"), profiles, vectors, **k).withColumn("score", F.round("score", 9)))
+    in_place = ranked()
+    assert in_place == ranked(block=3) and in_place
+    for few in (1, 1 << 22):  # one row at a time, and no table of products
+        monkeypatch.setattr(C, "_CELLS", few)
+        assert _ratios(C.coverage_ratios(records, "record_id", profiles, C.ProfileIndex(profiles))) == placed
+    monkeypatch.setattr(C, "BROADCAST_BYTES", -1)
+    assert _ratios(C.coverage_ratios(records, "record_id", profiles, C.ProfileIndex(profiles))) == placed and placed
+    assert ranked() == in_place
+
+
+def test_few_known_words_are_enough():
+    forms = [("data", "design"), ("systems",), ("oper",)]
+    table = C._FieldForms("skills", forms, [[(0, 2)], [(0, 1), (1, 3)], [(1, 1)]], 2)
+    table.most = 2
+    cells = [["data | designer"], ["system"], ["operate | x"], [], ["", "designs data systems"]]
+    one = [table.hits(C.pa.array([c], C.pa.list_(C.pa.string())))[0].tolist() for c in cells]
+    assert one == table.hits(C.pa.array(cells, C.pa.list_(C.pa.string()))).tolist()
+    assert one == [[True, False, False], [False, True, False], [False, False, True], [False] * 3, [True, True, False]]
+    assert table.matched(C.np.array(one)).tolist() == [[2, 0], [1, 3], [0, 1], [0, 0], [3, 3]]
+
+
+def test_records_are_covered_without_a_row_per_pair(spark):
+    """Neither a shuffle nor a row per record, form and profile: their number grew with records times profiles."""
+    records = spark.range(30).selectExpr("id AS record_id", "concat('shared ', id) AS skills", "array(1D) AS full_vec")
+    profiles = spark.range(20).selectExpr("id AS profile_id", "'skills' AS field", "1 AS field_no", "0 AS pos", "'shared' AS item")
+    index = C.ProfileIndex(profiles)
+    lists = P.covered_lists(C.field_texts(records, "record_id", ["skills"], ["full_vec"]), profiles, index, ["skills"])
+    plan = lists._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Generate", "Join")) and "MapInArrow" in plan
+    assert [len(r["bonus"]) for r in lists.collect()] == [20] * 30
