@@ -440,7 +440,9 @@ def coverage_fields(matches: DataFrame, records: DataFrame, doc_id: str, profile
     items in the profile's own words and order.
     """
     chosen = matches.select(F.col("doc_id").alias(doc_id)).distinct()
-    hits = covered_forms(records.join(chosen, doc_id, "left_semi"), doc_id, index, fields)
+    # Written out, so that the records are read once for the few that are shown.
+    cells = stored(record_cells(records.join(chosen, doc_id, "left_semi"), doc_id, fields), "chosen")
+    hits = covered_forms(records, doc_id, index, fields, cells)
     pairs = matches.select("profile_id", "doc_id").join(index.items, "profile_id")
     flagged = pairs.join(hits.withColumn("hit", F.lit(True)), ["doc_id", "field", "form"], "left")
     entry = F.struct("pos", "item", F.coalesce("hit", F.lit(False)).alias("hit"))
