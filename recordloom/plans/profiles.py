@@ -89,8 +89,10 @@ def analyze_batch(records: DataFrame, profiles: DataFrame, vectors: DataFrame,
     # The short result is used three times; the corpus behind it is scanned once.
     ranked = stored(profile_rank(records, cleaned, vectors, index, top), "ranked")
     passing = ranked.join(open_profiles(ranked, dense_only), "profile_id", "left_semi")
-    listed = coverage_fields(passing, records, "record_id", cleaned, index)
-    shown = (records.select(F.col("record_id").alias("doc_id"),
+    # So are the records' cells, and only those of the few that are shown are written out.
+    picked = stored(records.join(passing.select(F.col("doc_id").alias("record_id")).distinct(), "record_id", "left_semi"), "picked")
+    listed = coverage_fields(passing, picked, "record_id", cleaned, index)
+    shown = (picked.select(F.col("record_id").alias("doc_id"),
                             display.record_cells().alias("cells")).join(listed, "doc_id"))
     primary = F.transform("fields", lambda f: f["key"])
     match = F.struct("rank", F.col("cells")["job_title"].alias("job_title"), "score", "dense", "coverage",

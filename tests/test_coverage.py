@@ -229,3 +229,13 @@ def test_records_are_covered_without_a_row_per_pair(spark):
     plan = lists._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Exchange", "Generate", "Join")) and "MapInArrow" in plan
     assert [len(r["bonus"]) for r in lists.collect()] == [20] * 30
+
+
+def test_shown_records_are_read_once(spark, case, monkeypatch):
+    """Cells are made for the records that are shown, not for all."""
+    _, _, r, p, vp, _ = case
+    kept, store = {}, P.stored
+    monkeypatch.setattr(P, "stored", lambda df, label: kept.setdefault(label, store(df, label)))
+    ranked = P.analyze_batch(r, p, vp).collect()
+    shown = {m["job_title"] for row in ranked for m in row["matches"]}
+    assert {f"t{x['record_id']}" for x in kept["picked"].collect()} == shown and 0 < len(shown) <= 30
