@@ -1,20 +1,24 @@
 """A stored BM25 index that questions probe.
 
-Postings lie in folders by ranges of the token's hash, sorted by token within, so a batch of
-questions reads the folders of its own tokens only; lengths lie beside them.  Changed documents
-are written as deltas that hide the rows of their older versions, and are folded into the base
-from time to time: what a change costs follows the change, not the corpus.
+Postings lie in folders by ranges of the token's hash, so a batch of questions reads the folders
+of its own tokens only; lengths lie beside them.  In a folder the postings of a document are one
+row, its tokens one sorted text (no token holds a blank), and read as a row each: so they are written, replaced and folded by document,
+without a sort or a shuffle of single postings.  Changed documents are written as deltas that
+hide the rows of their older versions, and are folded into the base from time to time: what a
+change costs follows the change, not the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.text import lexical_tokens
+from ..functions.text import WS, is_blank, lexical_tokens
 from ..session import stored
 from ..sources.vectors import VersionedTable
 from .shuffle import broadcast_if_small
@@ -22,58 +26,121 @@ from .shuffle import broadcast_if_small
 PARTS = 16
 #: Tokens that are counted at once.
 CHUNK_TOKENS = 1 << 20
-POSTINGS = "doc_id long, token string, tf int, len int, part int"
+POSTINGS = "doc_id long, len int, part int, tokens string, tfs array<int>"
 LENGTHS = "doc_id long, len int"
 
 
 def token_part(token, parts: int):
     """The folder of a token: which of `parts` equal ranges its hash lies in."""
-    return F.floor((F.xxhash64(token) / (2.0 ** 64) + 0.5) * parts).cast("int")
+    return F.shiftright(F.crc32(F.col(token).cast("binary")) * parts, 32).cast("int")
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct tokens of each row with their number in it."""
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of some `CHUNK_TOKENS` tokens, with the number of tokens of each row."""
     for batch in batches:
         ends = np.cumsum(batch.column("toks").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(ends, before + CHUNK_TOKENS, side="right")))
-            rows = batch.slice(start, stop - start)
+            yield batch.slice(start, stop - start), np.diff(ends[start:stop], prepend=before)
+            start = stop
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct tokens of each row with their number in it."""
+    for rows, sizes in _chunks(batches):
+        words = rows.column("toks").flatten().dictionary_encode()
+        width = max(1, len(words.dictionary))
+        row = np.repeat(np.arange(rows.num_rows), sizes)
+        pairs, tf = np.unique(row * width + words.indices.to_numpy(), return_counts=True)
+        row, word = np.divmod(pairs, width)
+        yield pa.RecordBatch.from_arrays(
+            [rows.column("doc_id").take(pa.array(row)), words.dictionary.take(pa.array(word)), pa.array(tf),
+             rows.column("len").take(pa.array(row))], names=["doc_id", "token", "tf", "len"])
+
+
+def _packed(parts: int):
+    """The distinct tokens of each row with their number in it, a list for each folder."""
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, sizes in _chunks(batches):
             words = rows.column("toks").flatten().dictionary_encode()
-            width = max(1, len(words.dictionary))
-            row = np.repeat(np.arange(rows.num_rows), np.diff(ends[start:stop], prepend=before))
-            pairs, tf = np.unique(row * width + words.indices.to_numpy(), return_counts=True)
+            if not len(words):
+                continue
+            width = len(words.dictionary)
+            part = np.array([crc32(w.encode()) * parts >> 32 for w in words.dictionary.to_pylist()], dtype=np.int32)
+            # Words are numbered by folder, then by token.
+            order = pc.sort_indices(pa.table({"part": part, "token": words.dictionary}), [("part", "ascending"), ("token", "ascending")]).to_numpy()
+            number = np.empty(width, dtype=np.int64)
+            number[order] = np.arange(width)
+            row = np.repeat(np.arange(rows.num_rows), sizes)
+            pairs, tf = np.unique(row * width + number[words.indices.to_numpy()], return_counts=True)
             row, word = np.divmod(pairs, width)
+            place = row * parts + part[order][word]
+            starts = np.flatnonzero(np.diff(place, prepend=-1))
+            ends = pa.array(np.append(starts, len(place)), pa.int32())
+            at = pa.array(row[starts])
+            tokens = words.dictionary.take(pa.array(order)).take(pa.array(word))
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id").take(pa.array(row)), words.dictionary.take(pa.array(word)), pa.array(tf),
-                 rows.column("len").take(pa.array(row))], names=["doc_id", "token", "tf", "len"])
-            start = stop
+                [rows.column("doc_id").take(at), rows.column("len").take(at), pa.array((place[starts] % parts).astype(np.int32)),
+                 pc.binary_join(pa.ListArray.from_arrays(ends, tokens), " "), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))],
+                names=["doc_id", "len", "part", "tokens", "tfs"])
+    return packed
 
 
-def _row_terms(docs: DataFrame) -> DataFrame:
+def _tokens(docs: DataFrame) -> DataFrame:
     toks = docs.select("doc_id", lexical_tokens(F.col("text")).alias("toks"))
-    none = F.array().cast("array<string>")
-    schema = T.StructType([docs.schema["doc_id"], *T.DataType.fromDDL("token string, tf long, len int").fields])
-    return toks.select("doc_id", F.size("toks").alias("len"), F.coalesce("toks", none).alias("toks")).mapInArrow(_counted, schema)
+    return toks.select("doc_id", F.size("toks").alias("len"), F.coalesce("toks", F.array().cast("array<string>")).alias("toks"))
 
 
-def doc_terms(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """`(doc_id, token, tf, len)`: the distinct tokens of each document.
+def _row_terms(docs: DataFrame) -> DataFrame:
+    schema = T.StructType([docs.schema["doc_id"], *T.DataType.fromDDL("token string, tf long, len int").fields])
+    return _tokens(docs).mapInArrow(_counted, schema)
 
-    A row's tokens are counted where it lies, without a shuffle; only rows that share their id
-    are brought together.
-    """
+
+def _by_id(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows that have their id alone, and the terms of those that share one, brought together (None without)."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     shared = stored(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
                     .select(F.col("doc_id").alias("_id")), "shared")
     if shared.isEmpty():
-        return _row_terms(docs)
+        return docs, None
     shared = broadcast_if_small(shared)
     same = F.col("doc_id").eqNullSafe(F.col("_id"))
     merged = (_row_terms(docs.join(shared, same, "left_semi")).groupBy("doc_id", "token")
               .agg(F.sum("tf").alias("tf"), F.max("len").alias("len")))
-    return _row_terms(docs.join(shared, same, "left_anti")).unionByName(merged)
+    return docs.join(shared, same, "left_anti"), merged
+
+
+def doc_terms(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """`(doc_id, token, tf, len)`: the distinct tokens of each document.
+
+    A row's tokens are counted where it lies, without a shuffle; only rows that share their id
+    are brought together.
+    """
+    alone, merged = _by_id(docs, doc_id, text)
+    return _row_terms(alone) if merged is None else _row_terms(alone).unionByName(merged)
+
+
+def packed_terms(docs: DataFrame, doc_id: str, text: str, parts: int) -> DataFrame:
+    """`doc_terms` as `POSTINGS`: a row for each document and folder."""
+    alone, merged = _by_id(docs, doc_id, text)
+    rows = _tokens(alone).mapInArrow(_packed(parts), POSTINGS)
+    if merged is None:
+        return rows
+    pair = F.struct("token", F.col("tf").cast("int").alias("tf"))
+    # A token has the length of the longest row that holds it.
+    lists = (merged.groupBy("doc_id", "len", token_part("token", parts).alias("part"))
+             .agg(F.sort_array(F.collect_list(pair)).alias("e")))
+    return rows.unionByName(lists.select("doc_id", "len", "part", F.array_join("e.token", " ").alias("tokens"), F.col("e.tf").alias("tfs")))
+
+
+class Postings(VersionedTable):
+    """`(doc_id, token, tf, len, part)`, kept as `POSTINGS`."""
+
+    def read(self, where: Column | None = None) -> DataFrame:
+        pairs = F.inline(F.arrays_zip(F.split("tokens", " ").alias("token"), F.col("tfs").alias("tf")))
+        return self.rows(where).select("doc_id", "len", "part", pairs).select("doc_id", "token", "tf", "len", "part")
 
 
 class LexicalIndex:
@@ -81,21 +148,19 @@ class LexicalIndex:
 
     def __init__(self, spark: SparkSession, root: str, parts: int = PARTS):
         self.parts = parts
-        self.postings = VersionedTable(spark, f"{root}/postings", POSTINGS, key="doc_id",
-                                       layout=(["part"], ["part", "token", "doc_id"]))
+        self.postings = Postings(spark, f"{root}/postings", POSTINGS, key="doc_id", layout=(["part"], ["part", "doc_id"]))
         self.lengths = VersionedTable(spark, f"{root}/lengths", LENGTHS, key="doc_id")
 
     def _tables(self, docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
         docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        postings = doc_terms(docs, "doc_id", "text")
-        lengths = docs.select("doc_id", F.size(lexical_tokens(F.col("text"))).alias("len"))
-        return (postings.select("doc_id", "token", F.col("tf").cast("int").alias("tf"), "len", token_part("token", self.parts).alias("part")),
-                lengths)
+        # As many as `lexical_tokens`, without making them.
+        n_tokens = F.when(F.col("text").isNotNull(), F.regexp_count("text", F.lit(f"(?U)[^{WS}]+"))).otherwise(F.size(lexical_tokens(F.col("text"))))
+        return packed_terms(docs, "doc_id", "text", self.parts), docs.select("doc_id", n_tokens.alias("len"))
 
     def rebuild(self, docs: DataFrame, doc_id: str, text: str) -> None:
         """The index of these documents and no others."""
         postings, lengths = self._tables(docs, doc_id, text)
-        self.postings.replace(postings)
+        self.postings.replace(postings, docs.count() * self.parts)
         self.lengths.replace(lengths)
 
     def change(self, docs: DataFrame, doc_id: str, text: str, gone: DataFrame | None = None) -> None:
@@ -107,7 +172,8 @@ class LexicalIndex:
         postings, lengths = self._tables(docs, doc_id, text)
         ids = lengths.select("doc_id")
         ids = ids if gone is None else ids.unionByName(gone.select(F.col("doc_id").cast("long").alias("doc_id")))
-        self.postings.upsert(postings, ids)
+        worded = docs.filter(~is_blank(F.col(text))).select(F.col(doc_id).cast("long").alias("doc_id"))
+        self.postings.upsert(postings, ids, worded, docs.count() * self.parts)
         self.lengths.upsert(lengths, ids)
 
     def stats(self) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from .. import fixed_values as fv
 from ..functions.identity import ordered_digest, text_key
+from ..operators.shuffle import broadcast_if_small
 
 SCHEMA = "key string, model string, vector array<float>"
 # More than a key and a vector of 4,000 dimensions take.
@@ -18,6 +19,8 @@ _FOLDER = re.compile(r"^([vd])=(\d+)$")
 _GONE, _AT = "_gone", "_at"
 #: Deltas are folded into a new base when they hold more than this share of its rows (so many at least), or are this many.
 FOLD_SHARE, FOLD_COUNT, FOLD_LEAST = 0.25, 12, 1000
+#: Rows of a table in folders up to which they are gathered by folder; more are written by the tasks that hold them.
+FEW_ROWS = 1 << 16
 #: Bases kept beside the one in force, for jobs that still read them.
 KEPT_BASES = 1
 
@@ -67,13 +70,16 @@ class VersionedTable:
     def _next(self) -> int:
         return max((n for n, _ in self._folders(committed=False)), default=0) + 1
 
-    def _write(self, df: DataFrame, path: str) -> None:
+    def _write(self, df: DataFrame, path: str, rows: int | None = None) -> None:
+        """`rows`, where known, tells how many rows there are at most."""
         if self.layout is None:
             df.write.parquet(path)
             return
         folders, order = self.layout
-        # One shuffle by folder; those that hold much are split at run time, each piece sorted.
-        df.hint("rebalance", *[F.col(c) for c in folders]).sortWithinPartitions(*order).write.partitionBy(*folders).parquet(path)
+        if rows is None or rows <= FEW_ROWS:
+            # One shuffle by folder; those that hold much are split at run time, each piece sorted.
+            df = df.hint("rebalance", *[F.col(c) for c in folders])
+        df.sortWithinPartitions(*order).write.partitionBy(*folders).parquet(path)
 
     def _open(self, folder: str, deltas: bool = False) -> DataFrame | None:
         """The rows of one folder, in the table's types; None where it counts as empty."""
@@ -99,7 +105,11 @@ class VersionedTable:
 
     # ------------------------------------------------------------- reading
     def read(self, where: Column | None = None) -> DataFrame:
-        """The table in force; none yet is an empty table.  `where` narrows what is read.
+        """The table in force (see `rows`)."""
+        return self.rows(where)
+
+    def rows(self, where: Column | None = None) -> DataFrame:
+        """The rows in force as they are kept; none yet is an empty table.  `where` narrows what is read.
 
         A folder that cannot be opened raises, unless its rows can be made again
         (`rebuildable`): then it counts as empty and is logged.
@@ -121,7 +131,7 @@ class VersionedTable:
         news = news if where is None else news.filter(where)
         if self.key is not None:
             # Which folder has the last word on each key that any delta names.
-            last = changes.groupBy(self.key).agg(F.max(_AT).alias(_AT))
+            last = broadcast_if_small(changes.groupBy(self.key).agg(F.max(_AT).alias(_AT)))
             news = news.join(last, [self.key, _AT], "left_semi")
             held = held.join(last, self.key, "left_anti")
         return held.select(*names).unionByName(news.select(*names))
@@ -143,28 +153,31 @@ class VersionedTable:
         return damaged
 
     # ------------------------------------------------------------- writing
-    def replace(self, df: DataFrame) -> int:
-        """Write `df` as the next base and return its number."""
+    def replace(self, df: DataFrame, count: int | None = None) -> int:
+        """Write `df` (of at most `count` rows, where known) as the next base and return its number."""
         number = self._next()
-        self._write(df, f"{self.root}/v={number}")
+        self._write(df, f"{self.root}/v={number}", count)
         return number
 
-    def upsert(self, rows: DataFrame, replaced: DataFrame | None = None) -> int:
+    def upsert(self, rows: DataFrame, replaced: DataFrame | None = None, keys: DataFrame | None = None,
+               count: int | None = None) -> int:
         """Write rows that take the place of all older rows of their keys; return the number.
 
-        Keys of `replaced` that have no row here are taken out.
+        Keys of `replaced` that have no row here are taken out.  `keys` may name those that have
+        one, where that is cheaper than to make the rows again, and `count` tell how many rows
+        there are at most.
         """
         if self.key is None:
             raise ValueError("changes need a key")
         fields = self._fields()
         if self.in_force() == (0, []):
-            return self.replace(rows.select(*[f.name for f in fields]))
+            return self.replace(rows.select(*[f.name for f in fields]), count)
         out = rows.select(*[f.name for f in fields], F.lit(False).alias(_GONE))
         if replaced is not None:
-            gone = replaced.select(self.key).distinct().join(rows.select(self.key), self.key, "left_anti")
+            gone = replaced.select(self.key).distinct().join((rows if keys is None else keys).select(self.key), self.key, "left_anti")
             out = out.unionByName(gone.select(*[F.col(f.name) if f.name == self.key else F.lit(None).cast(f.dataType).alias(f.name)
                                                 for f in fields], F.lit(True).alias(_GONE)))
-        number = self._delta(out)
+        number = self._delta(out, count)
         base, deltas = self.in_force()
         least = max(FOLD_LEAST, FOLD_SHARE * self._rows([f"v={base}"] if base else []))
         return self.fold() if len(deltas) > FOLD_COUNT or self._rows(f"d={n}" for n in deltas) > least else number
@@ -173,9 +186,9 @@ class VersionedTable:
         """Write rows beside all others; return the number."""
         return self._delta(rows.select(*[f.name for f in self._fields()], F.lit(False).alias(_GONE)))
 
-    def _delta(self, rows: DataFrame) -> int:
+    def _delta(self, rows: DataFrame, count: int | None = None) -> int:
         number = self._next()
-        self._write(rows, f"{self.root}/d={number}")
+        self._write(rows, f"{self.root}/d={number}", count)
         return number
 
     def _rows(self, folders) -> int:
@@ -185,7 +198,8 @@ class VersionedTable:
 
     def fold(self) -> int:
         """Write base and deltas as one new base, and delete what is no longer read."""
-        number = self.replace(self.read())
+        base, deltas = self.in_force()
+        number = self.replace(self.rows(), self._rows([*([f"v={base}"] if base else []), *(f"d={n}" for n in deltas)]))
         self.vacuum()
         return number
 

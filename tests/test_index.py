@@ -201,3 +201,31 @@ def test_rows_that_share_an_id_are_one_document(spark, monkeypatch):
                                              (5, "a", 1, 1), (6, "z", 1, 1)], key=repr)
     lexicon = {r["token"]: r["df"] for r in lexical.build_index(docs, "d", "t")["lexicon"].collect()}
     assert lexicon == {"a": 2, "b": 1, "c": 1, "x": 1, "y": 1, "z": 1}
+
+
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_a_document_is_one_row_of_a_folder(spark, tmp_path, monkeypatch, few):
+    """Written without a shuffle, and so also replaced and folded; read as a row a posting, the folder as the probe names it."""
+    monkeypatch.setattr(V, "FEW_ROWS", few)
+    monkeypatch.setattr(V, "FOLD_LEAST", 2)
+    monkeypatch.setattr(V, "FOLD_SHARE", 0.1)
+    texts = [(1, "a b a"), (1, "a c"), (None, "x"), (None, "x y"), (5, "a Straße　z"), (6, None), (6, "z"), (7, " \t"), (8, "گل a-b"), (9, None)]
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    terms = lambda docs: rows(lexical_index.doc_terms(docs, "d", "t").select("doc_id", "token", "tf", "len"))
+    docs = _docs(spark, texts)
+    index = LexicalIndex(spark, str(tmp_path / "i"), 4)
+    index.rebuild(docs, "d", "t")
+    held = index.postings.read()
+    assert rows(held.select("doc_id", "token", "tf", "len")) == terms(docs)
+    assert held.filter(F.col("part") != lexical_index.token_part("token", 4)).isEmpty()
+    packed = index.postings.rows()
+    assert packed.count() == packed.select("doc_id", "len", "part").distinct().count() < held.count()
+    lengths = [(i, None if t is None else len(t.split())) for i, t in texts]
+    assert rows(index.lengths.read()) == sorted(lengths, key=repr)
+    later = [(5, "new words"), (8, ""), (10, "a a")]
+    index.change(_docs(spark, later), "d", "t", spark.createDataFrame([(6,)], "doc_id long"))
+    assert index.postings.in_force() == (3, [])  # folded at once
+    now = _docs(spark, [r for r in texts if r[0] not in (5, 6, 8)] + later)
+    assert rows(index.postings.read().select("doc_id", "token", "tf", "len")) == terms(now)
+    alone = lexical_index.packed_terms(_docs(spark, later), "d", "t", 4)
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
