@@ -18,7 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.text import WS, is_blank, lexical_tokens
+from .. import fixed_values as fv
+from ..functions.text import is_blank, lexical_tokens
 from ..session import stored
 from ..sources.vectors import VersionedTable
 from .shuffle import broadcast_if_small
@@ -30,6 +31,11 @@ POSTINGS = "doc_id long, len int, part int, tokens string, tfs array<int>"
 LENGTHS = "doc_id long, len int"
 
 
+#: The blanks of `fixed_values.WHITESPACE`: bytes that are one, and those beyond ASCII.
+_BLANK = np.isin(np.arange(256), [*range(0x09, 0x0e), *range(0x1c, 0x21)])
+_WIDE_BLANK = "[" + fv.WHITESPACE.partition("\\x20")[2] + "]"
+
+
 def token_part(token, parts: int):
     """The folder of a token: which of `parts` equal ranges its hash lies in."""
     return F.shiftright(F.crc32(F.col(token).cast("binary")) * parts, 32).cast("int")
@@ -60,6 +66,21 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              rows.column("len").take(pa.array(row))], names=["doc_id", "token", "tf", "len"])
 
 
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many `lexical_tokens` each text has, from where its bytes pass from blank to not."""
+    for batch in batches:
+        text = pc.replace_substring_regex(batch.column("text").cast(pa.large_string()), _WIDE_BLANK, " ")
+        ends = np.frombuffer(text.buffers()[1], dtype=np.int64)[text.offset:text.offset + len(text) + 1]
+        data = text.buffers()[2]
+        blank = _BLANK[np.frombuffer(data, dtype=np.uint8)] if data is not None else np.zeros(0, dtype=bool)
+        opens = ~blank
+        opens[1:] &= blank[:-1]
+        opens[ends[:-1][np.diff(ends) > 0]] = ~blank[ends[:-1][np.diff(ends) > 0]]
+        sizes = [np.count_nonzero(opens[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32(), mask=text.is_null().to_numpy(zero_copy_only=False))],
+                                         names=["doc_id", "len"])
+
+
 def _packed(parts: int):
     """The distinct tokens of each row with their number in it, a list for each folder."""
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +174,9 @@ class LexicalIndex:
 
     def _tables(self, docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
         docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        # As many as `lexical_tokens`, without making them.
-        n_tokens = F.when(F.col("text").isNotNull(), F.regexp_count("text", F.lit(f"(?U)[^{WS}]+"))).otherwise(F.size(lexical_tokens(F.col("text"))))
-        return packed_terms(docs, "doc_id", "text", self.parts), docs.select("doc_id", n_tokens.alias("len"))
+        lengths = docs.mapInArrow(_lengths, LENGTHS)
+        none = F.size(F.lit(None).cast("array<string>"))
+        return packed_terms(docs, "doc_id", "text", self.parts), lengths.select("doc_id", F.coalesce("len", none).alias("len"))
 
     def rebuild(self, docs: DataFrame, doc_id: str, text: str) -> None:
         """The index of these documents and no others."""
@@ -170,11 +191,11 @@ class LexicalIndex:
         the new text has no token.
         """
         postings, lengths = self._tables(docs, doc_id, text)
-        ids = lengths.select("doc_id")
-        ids = ids if gone is None else ids.unionByName(gone.select(F.col("doc_id").cast("long").alias("doc_id")))
+        own = docs.select(F.col(doc_id).cast("long").alias("doc_id"))
+        ids = own if gone is None else own.unionByName(gone.select(F.col("doc_id").cast("long").alias("doc_id")))
         worded = docs.filter(~is_blank(F.col(text))).select(F.col(doc_id).cast("long").alias("doc_id"))
         self.postings.upsert(postings, ids, worded, docs.count() * self.parts)
-        self.lengths.upsert(lengths, ids)
+        self.lengths.upsert(lengths, ids, own)
 
     def stats(self) -> DataFrame:
         """One row: `n` documents and their mean length (1 where there is none)."""

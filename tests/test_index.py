@@ -229,3 +229,13 @@ def test_a_document_is_one_row_of_a_folder(spark, tmp_path, monkeypatch, few):
     assert rows(index.postings.read().select("doc_id", "token", "tf", "len")) == terms(now)
     alone = lexical_index.packed_terms(_docs(spark, later), "d", "t", 4)
     assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lengths_count_the_tokens_of_odd_texts(spark, tmp_path):
+    blanks = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2005\u200a\u2028\u2029\u202f\u205f\u3000"
+    texts = ["", " ", "a", " a", "a ", "\u200bx", "é\u3000گل", None, "a\x00b c", *(f"a{b}b{b}{b}ç{b}" for b in blanks), *(b for b in blanks), "z" * 5000 + " z"]
+    docs = _docs(spark, list(enumerate(texts))).repartition(2)
+    index = LexicalIndex(spark, str(tmp_path / "i"), 4)
+    index.rebuild(docs, "d", "t")
+    want = docs.select("d", F.size(lexical_index.lexical_tokens(F.col("t"))))
+    assert _rows(index.lengths.read().select("doc_id", F.coalesce("len", F.lit(-1)))) == _rows(want.na.fill(-1))
